@@ -6,14 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, crosspolytope, packing, simhash, warc
+from . import audio, chat, crosspolytope, licenses, packing, pieces, pii, simhash, toxicity, warc
 from .base import table
 
 
+#: The key of the registered queries. A real one comes from a secret store.
+KEY = "loomstone-demonstration-key"
+
+
+def op1_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.coded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -23,6 +37,14 @@ def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.texts_as_audio(table(spark, sf_dir, "documents"))
 
 
+def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymized(table(spark, sf_dir, "documents"), KEY).select("doc_id", "text")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archived(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -40,7 +62,13 @@ def op10_chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chats(chat.format_chats(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_cross_polytope, op4_simhash, op5_telephony, op8_warc_zstd, op9_cutting_stock, op10_chat_layouts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_deobfuscated_toxicity, op2_cross_polytope, op3_pieces, op4_simhash, op5_telephony, op6_feistel_pseudonyms, op7_license_scan,
+        op8_warc_zstd, op9_cutting_stock, op10_chat_layouts,
+    )
+}
 
 #: What DuckDB can compute of them.
 ORACLES: dict[str, str] = {
