@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled rows that a fit takes at most (those of the smallest hash of doc_id).
 FIT_ROWS = 20_000
@@ -39,7 +40,7 @@ LEET = {
 }
 #: Costs of the channel, as logarithms: a substitution, a dropped repeat, a kept repeat of a long run, a dropped symbol, a symbol kept, a word boundary in spaced letters.
 SUBSTITUTED, DROPPED, KEPT, SKIPPED, LITERAL, BOUNDARY = -0.7, -1.5, -1.5, -2.5, -12.0, -1.0
-BASE, PRIOR_WEIGHT, CHANCE = 0.02, 1.0, 0.05
+BASE, PRIOR_WEIGHT, CHANCE = 0.02, 1.0, 1.0
 PREFIXES = (4, 5, 6)
 LETTERS, SIDE = "abcdefghijklmnopqrstuvwxyz", 27
 #: Tokens whose outcome a worker keeps, at most.
@@ -183,11 +184,16 @@ class Model:
             return
         run: list[str] = []
         for t in [*tokens, "..."]:
-            if len(t) == 1 and (t.isalpha() or t in LEET):
-                run.append(t)
+            letter = t if len(t) == 1 else TAIL.sub("", t[:3]) if len(t) < 4 else ""
+            if len(letter) == 1 and (letter.isalpha() or letter in LEET):
+                run.append(letter)
                 continue
             if len(run) > 2:
-                yield from self.decode("".join(run), spaced=True).split()
+                words = self.decode("".join(run), spaced=True).split()
+                yield from words
+                # Where a word begins among spaced letters is uncertain: the lexicon's words are looked for at every place.
+                joined = "".join(words)
+                yield from (k[2:] for k in self.lexicon if k[0] == "w" and len(k) > 5 and k[2:] in joined)
             run = []
 
     def restored(self, text: str) -> list[str]:
@@ -279,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     lexicon = {}
     for f, (n, t) in counted.items():
         p = (t + PRIOR_WEIGHT * share) / (n + PRIOR_WEIGHT)
-        if p > 0.5 and upper_tail(t, n, share) < level:
+        if p > (0.5 if f[0] == "w" else 0.8) and upper_tail(t, n, share) < level:
             lexicon[f] = min(p, 0.98)
     # The lexicon's words count as much as all documents in the character model.
     words = [w[2:] for w in lexicon if w[0] == "w"]
@@ -294,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """docs with score and predicted (score >= threshold)."""
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
-    schema = kept.schema.add("score", "double", False).add("predicted", "int", False)
+    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
