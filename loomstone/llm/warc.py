@@ -145,8 +145,10 @@ def revisits(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
 
 def write_archives(rows: DataFrame, path: str, level: int = 3) -> None:
     """page_id, url, payload, refers_to -> an archive per task under path."""
-    sample = rows.where("refers_to is null").select("page_id", "url", F.expr(f"substring(payload, 1, {SAMPLE_CHARS})").alias("payload"))
-    chosen = sample.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_ROWS).collect()
+    first = rows.where("refers_to is null and page_id is not null")
+    # Ids first: a task sends the driver its share of ids, not of pages.
+    ids = [r["page_id"] for r in first.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_ROWS).collect()]
+    chosen = first.where(F.col("page_id").isin(ids)).select("page_id", "url", F.expr(f"substring(payload, 1, {SAMPLE_CHARS})").alias("payload")).limit(SAMPLE_ROWS).collect()
     dictionary = train([record(r["page_id"], r["url"], bytes(r["payload"]), None) for r in chosen])
 
     def stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
