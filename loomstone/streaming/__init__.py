@@ -1 +1 @@
-
+"""Streams: the batch operators, run on what arrives."""
