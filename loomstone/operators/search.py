@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.sinks import materialized
 from .sections import postings
 
 FIELDS = ["title", "heading", "heading_path", "content"]
@@ -36,8 +37,8 @@ class Index:
     @classmethod
     def build(cls, sections: DataFrame) -> Index:
         """sections: section_id, title, heading, heading_path, content, and any filters' columns."""
-        found = postings(sections, FIELDS)
-        return cls(sections, found, found.groupBy("section_id").agg(F.count("*").alias("length")))
+        found = materialized(postings(sections, FIELDS), "postings")
+        return cls(sections, found, materialized(found.groupBy("section_id").agg(F.count("*").alias("length")), "lengths"))
 
     def refreshed(self, changed: DataFrame, sections: DataFrame) -> Index:
         """The index after the sections of some documents were replaced; other rows are kept as they are."""
@@ -89,7 +90,7 @@ def matches(queries: DataFrame, index: Index) -> DataFrame:
 
 def bm25(queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, section_id, rank): smaller is better; every phrase must occur."""
-    found = matches(queries, index)
+    found = materialized(matches(queries, index), "matches")
     stats = index.lengths.agg(F.count("*").alias("sections"), F.avg("length").alias("mean"))
     # A phrase's document frequency counts all sections that hold it; phrases of one token are counted in the postings.
     alone = tokens_of(queries).groupBy("query_id", "phrase").agg(F.count("*").alias("k"), F.min("term").alias("term"))
@@ -134,6 +135,7 @@ def search(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT, fallbac
     best = hits.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("position") <= limit)
     if not fallback:
         return best
+    best = materialized(best, "hits")  # at most limit rows a query
     rest = asked.join(best.select("query_id").distinct(), "query_id", "left_anti")
     return best.unionByName(substring_search(rest, index, limit).select(*best.columns))
 
@@ -158,7 +160,9 @@ def with_snippets(hits: DataFrame, radius: int = 80, terms: int = 32, each: int
 
         import regex
 
-        def fold(s: str) -> tuple[str, list[int]]:
+        def fold(s: str) -> tuple[str, list[int] | range]:
+            if s.isascii():
+                return s.lower(), range(len(s))
             chars, at = [], []
             for i, c in enumerate(s):
                 for x in unicodedata.normalize("NFD", c).lower():

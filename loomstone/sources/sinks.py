@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a temporary one where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="loomstone-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """A table that is read more than once, written to the shared folder; losing an executor loses none of it."""
+    path = f"{shared_folder(df.sparkSession)}/loomstone/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def publish(df: DataFrame, base: str, partition_by: list[str] | None = None) -> str:
     """Write a new snapshot folder under base, then name it in base/_current."""
     name = f"snapshot-{uuid.uuid4().hex}"
