@@ -262,9 +262,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             for batch in batches:
                 out = []
                 for toxic, text in zip(batch["toxic"].tolist(), batch["text"], strict=True):
-                    words = set(model.restored(text or ""))
-                    # Near copies share the least hash of their words, most likely, and then count once.
-                    mark = min((xxhash.xxh64_intdigest(w) for w in words), default=0) >> 1
+                    read = model.restored(text or "")
+                    words = set(read)
+                    # Near copies share the least hash of their word triples, most likely, and then count once.
+                    mark = min(xxhash.xxh64_intdigest(" ".join(read[i: i + 3])) for i in range(max(1, len(read) - 2))) >> 1
                     got = {f for w in words for f in features(w)}
                     out += [(f, toxic, mark) for f in (got if wanted is None else got & wanted)]
                     if wanted is not None:
