@@ -191,12 +191,12 @@ def cached_payload_valid(payload: Column, most: int = 50) -> Column:
 def registry_errors(registry: DataFrame) -> DataFrame:
     """(id, error): repeated ids, base URLs that are not https, or lie outside their own domain or path."""
     base = F.col("base_url")
-    again = F.count("*").over(Window.partitionBy("id")) > 1
+    counted = registry.withColumn("same_id", F.count("*").over(Window.partitionBy("id")))
     found = F.array(
-        F.when(again, "DUPLICATE_ID"), F.when(F.coalesce(urls.scheme(base) != "https", F.lit(True)), "NOT_HTTPS"), F.when(~urls.domain_matches(urls.host(base), F.lower("domain")), "OUTSIDE_DOMAIN"),
+        F.when(F.col("same_id") > 1, "DUPLICATE_ID"), F.when(F.coalesce(urls.scheme(base) != "https", F.lit(True)), "NOT_HTTPS"), F.when(~urls.domain_matches(urls.host(base), F.lower("domain")), "OUTSIDE_DOMAIN"),
         F.when(F.col("path_prefix").isNotNull() & ~F.startswith(urls.path(base), F.col("path_prefix")), "OUTSIDE_PATH"),
     )
-    return registry.select("id", F.explode(F.filter(found, lambda e: e.isNotNull())).alias("error")).distinct()
+    return counted.select("id", F.explode(F.filter(found, lambda e: e.isNotNull())).alias("error")).distinct()
 
 
 def fixture_valid(sources: DataFrame, documents: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFrame:
