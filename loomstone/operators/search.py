@@ -72,7 +72,7 @@ def matches(queries: DataFrame, index: Index) -> DataFrame:
     weighed = tokens.join(F.broadcast(frequency), "term", "left")
     rarest = Window.partitionBy("query_id").orderBy(F.coalesce("n", F.lit(0)), "phrase", "at")
     first = weighed.withColumn("r", F.row_number().over(rarest)).where("r = 1").select("query_id", "term")
-    pairs = index.postings.select("term", "section_id").distinct().join(F.broadcast(first), "term").select("query_id", "section_id")
+    pairs = index.postings.join(F.broadcast(first), "term").select("query_id", "section_id").distinct()
     places = (
         index.postings.join(F.broadcast(tokens), "term").join(pairs, ["query_id", "section_id"], "left_semi")
         .select("query_id", "section_id", "phrase", "at", "field", (F.col("pos") - F.col("at")).alias("start"))
