@@ -27,6 +27,8 @@ from .graph import connected_components, local_forest
 #: Vectors of a bucket that one block holds.
 BLOCK = 1024
 SEED = 20_240_601
+#: Tables by the number of hashes that name a bucket.
+TABLES = (8, 8, 16, 32)
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -82,8 +84,11 @@ def hashes_for(n: int, width: int) -> int:
     return max(1, min(4, round(float(np.log(max(n, 2) / 8) / np.log(max(2 * width, 4))))))
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = 8, probes: int = 2, block: int = BLOCK) -> DataFrame:
-    """(vec_id, embedding array<float>) -> vec_id, n_links, component_id, kept."""
+def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int | None = None, probes: int = 2, block: int = BLOCK) -> DataFrame:
+    """(vec_id, embedding array<float>) -> vec_id, n_links, component_id, kept.
+
+    tables: by default as many as find a pair at cosine 0.95 in 64 dimensions with a chance of 0.999 and more.
+    """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("e"))
     sound = (
         F.col("e").isNotNull() & (F.size("e") > 0)
@@ -96,6 +101,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = 8, probe
     classes = written(sound_rows.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
     shape = classes.agg(F.count("*").alias("n"), F.max(F.size("e")).alias("width")).first()
     hashes = hashes_for(shape["n"], shape["width"] or 1)
+    tables = tables or TABLES[hashes - 1]
 
     def bucketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
