@@ -9,6 +9,8 @@ substring fallback runs for queries without a hit only, over the broadcast rest
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,8 +24,6 @@ FIELDS = ["title", "heading", "heading_path", "content"]
 #: Fixed values of the score.
 K1, B = 1.2, 0.75
 DEFAULT_LIMIT, MOST = 10, 50
-#: Queries that the substring fallback compares with every section at once; more are taken in rounds of so many.
-FALLBACK_QUERIES = 2_000
 
 
 @dataclass
@@ -140,13 +140,28 @@ def search(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT, fallbac
     return best.unionByName(substring_search(rest, index, limit).select(*best.columns))
 
 
+def containing(rows: DataFrame, queries: DataFrame, fields: list[str], key: str = "section_id") -> DataFrame:
+    """(key, query_id): rows one of whose fields holds the whole query as a substring, case aside.
+
+    A query of three words or more holds words with white space on both sides, which must then be words of the row:
+    its longest such word is looked up by an equi-join, and only those rows are compared. Shorter queries are compared
+    with every row.
+    """
+    low = rows.select(key, *[F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
+    asked = queries.select("query_id", F.lower(T.trimmed(F.col("query"))).alias("_q")).withColumn("_w", F.split("_q", r"\s+"))
+    inner = F.transform(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    seeded = asked.where(F.size("_w") >= 3).select("query_id", "_q", F.array_max(inner)["w"].alias("seed"))
+    words = F.flatten(F.array(*[F.split(f, r"\s+") for f in fields]))
+    pairs = low.select(key, F.explode(F.array_distinct(words)).alias("seed")).join(F.broadcast(seeded), "seed").select(key, "query_id", "_q")
+    holds = reduce(or_, (F.contains(F.col(f), F.col("_q")) for f in fields))
+    short = asked.where((F.size("_w") < 3) & (F.col("_q") != "")).select("query_id", "_q")
+    return pairs.join(low, key).where(holds).select(key, "query_id").unionByName(low.join(F.broadcast(short), holds).select(key, "query_id"))
+
+
 def substring_search(queries: DataFrame, index: Index, limit: int) -> DataFrame:
-    """Sections any field of which holds the whole query as a substring; partition-local ranks come before the shuffle."""
-    q = F.lower(T.trimmed(F.col("query")))
-    anywhere = F.lit(False)
-    for f in FIELDS:
-        anywhere = anywhere | F.contains(F.lower(F.coalesce(F.col(f), F.lit(""))), q)
-    hits = index.sections.join(F.broadcast(queries), anywhere & admitted(queries)).withColumn("score", tier(F.col("query"))).withColumn("rank", F.lit(None).cast("double"))
+    """The best sections any field of which holds the whole query as a substring."""
+    found = containing(index.sections, queries, FIELDS).join(F.broadcast(queries), "query_id")
+    hits = found.join(index.sections, "section_id").where(admitted(queries)).withColumn("score", tier(F.col("query"))).withColumn("rank", F.lit(None).cast("double"))
     order = [F.col("score").desc(), F.lower("title"), F.col("ordinal"), F.col("section_id")]
     return hits.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("position") <= limit)
 

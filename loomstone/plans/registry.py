@@ -186,8 +186,7 @@ def reranked_search(spark: SparkSession, sf: str) -> DataFrame:
     SELECT item_id AS query_id, doc_id AS section_id FROM benchmark b, documents d WHERE contains(lower(d.text), lower(trim(b.text)))
 """)
 def substring_matches(spark: SparkSession, sf: str) -> DataFrame:
-    q = F.broadcast(benchmark_queries(spark, sf))
-    return document_sections(spark, sf).join(q, F.contains(F.lower("content"), F.lower(T.trimmed(F.col("query"))))).select("query_id", "section_id")
+    return search.containing(document_sections(spark, sf), benchmark_queries(spark, sf), ["content"]).select("query_id", "section_id")
 
 
 @query("""
