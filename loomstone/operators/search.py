@@ -73,10 +73,10 @@ def matches(queries: DataFrame, index: Index) -> DataFrame:
     rarest = Window.partitionBy("query_id").orderBy(F.coalesce("n", F.lit(0)), "phrase", "at")
     first = weighed.withColumn("r", F.row_number().over(rarest)).where("r = 1").select("query_id", "term")
     pairs = index.postings.join(F.broadcast(first), "term").select("query_id", "section_id").distinct()
-    places = (
-        index.postings.join(F.broadcast(tokens), "term").join(pairs, ["query_id", "section_id"], "left_semi")
-        .select("query_id", "section_id", "phrase", "at", "field", (F.col("pos") - F.col("at")).alias("start"))
-    )
+    # Each (query, section) asks for its tokens only, so a frequent word is met once per pair, not once per query and place.
+    wanted = pairs.join(F.broadcast(tokens), "query_id")
+    held = index.postings.join(F.broadcast(tokens.select("term").distinct()), "term", "left_semi")
+    places = held.join(wanted, ["section_id", "term"]).select("query_id", "section_id", "phrase", "at", "field", (F.col("pos") - F.col("at")).alias("start"))
     need = tokens.groupBy("query_id", "phrase").agg(F.count("*").alias("need"))
     whole = (
         places.groupBy("query_id", "section_id", "phrase", "field", "start").agg(F.count("*").alias("got"))
