@@ -117,7 +117,7 @@ def _octets(x: Column) -> Column:
     """Percent forms in upper case, and unreserved characters written plainly."""
     out = x
     for c in "-._~":
-        out = F.regexp_replace(out, f"(?i)%{ord(c):02x}", "\\\\" + c if c == "$" else c)
+        out = F.regexp_replace(out, f"(?i)%{ord(c):02x}", c)
     return F.regexp_replace(out, r"(?i)%2f", "%2F")
 
 

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules
 from ..functions import text as T
 from .sections import headings, lines_of
 
@@ -175,6 +174,3 @@ def overlap_at(a: DataFrame, b: DataFrame, k: int, item: str = "section_id") ->
     both = top(a, "x").join(top(b, "y"), "query_id", "full_outer")
     share = F.size(F.array_intersect(F.coalesce("x", F.array()), F.coalesce("y", F.array()))) / k
     return both.agg(F.round(F.avg(share), 6).alias("overlap"))
-
-
-clamped = rules.clamp_score

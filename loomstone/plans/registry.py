@@ -6,7 +6,7 @@ documents whose turns are versions, events are history, runs and cache entries,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, urls
@@ -529,6 +529,3 @@ def web_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return QUERIES["document_search"](spark, sf)
-
-
-Expression = Column
