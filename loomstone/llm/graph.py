@@ -56,19 +56,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = state
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (
+        # Written, so that the joins below have exchanges of their own, which adaptive execution may split at a hot vertex.
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        large = written(
             both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .where("a <> b").distinct()
+            .where("a <> b").distinct(), "large",
         )
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
+        low2 = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = (
             large.join(low2, "a")
             .select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b").where("a <> b").distinct()
         )
         new = written(small, "links")
-        drop_written(links)
+        for spent in (links, low, large, low2):
+            drop_written(spent)
         links = new
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
