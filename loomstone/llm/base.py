@@ -46,7 +46,3 @@ def drop_written(df: DataFrame) -> None:
     for name in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def with_session_conf(spark: SparkSession, key: str, default: str) -> str:
-    return spark.conf.get(key, default)
