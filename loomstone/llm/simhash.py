@@ -169,8 +169,10 @@ def split_nodes(rows: DataFrame, bits: int, budget: int, limit: int) -> DataFram
         # A mask per child to visit: the set bits of x are the differences it spends.
         masks = F.expr(f"filter(sequence(0, int(power(2, step)) - 1), x -> bit_count(x) + diff <= {budget})")
         own = F.expr(f"shiftrightunsigned(v, {bits} - level - step)")  # the child this row lies in
-        kids = big.withColumn("own", own).withColumn("x", F.explode(masks)).withColumn("other", F.expr("own ^ x"))
+        kids = big.withColumn("own", own).withColumn("x", F.explode(masks))
         same = F.col("node_a") == F.col("node_b")
+        # The child of the other node, below that node's own prefix.
+        kids = kids.withColumn("other", F.expr("shiftleft(if(side = 0, node_b, node_a), step) | ((own ^ x) & (shiftleft(1L, step) - 1))"))
         first = F.when(same, F.least("own", "other")).when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
         kids = kids.select(
             *[c for c in rows.columns if c not in (*NODE, "side")], "table", "turn", (F.col("level") + F.col("step")).alias("level"),
@@ -302,12 +304,13 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     marked = written(fingerprints(docs, words, lanes), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     per_lane = 64 // window
+    # A window's number and bits name a table; below it node_a and node_b are prefixes of v.
     windows = [
-        F.struct(F.lit(k).alias("table"), F.shiftrightunsigned(F.col("fp")[k // per_lane], 64 - window * (k % per_lane + 1)).bitwiseAND(F.lit((1 << window) - 1)).alias("node_a"))
+        F.struct((F.shiftrightunsigned(F.col("fp")[k // per_lane], 64 - window * (k % per_lane + 1)).bitwiseAND(F.lit((1 << window) - 1)) + F.lit(k << window)).alias("table"))
         for k in range(per_lane * lanes)
     ]
     nodes = classes.withColumn("w", F.explode(F.array(*windows))).select(
-        "rep", "w.table", F.lit(0).alias("turn"), F.lit(0).alias("level"), "w.node_a", F.col("w.node_a").alias("node_b"), F.lit(0).alias("diff"), F.lit(0).alias("side"),
+        "rep", "w.table", F.lit(0).alias("turn"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("node_a"), F.lit(0).cast("long").alias("node_b"), F.lit(0).alias("diff"), F.lit(0).alias("side"),
         F.col("fp")[0].alias("v"), F.slice("fp", 1, judged).alias("fp"),
     )
     comps = connected_components(trie_links(nodes, 64, budget, judged, most, limit))

@@ -291,6 +291,26 @@ def test_trie_finds_exactly_the_near_values(spark):
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_split_nodes_keep_every_near_pair(spark):
+    rng = np.random.default_rng(7)
+    base, bits, budget = 0x0123456789ABCDEF, 64, 2
+    low = {base ^ sum(1 << int(b) for b in rng.choice(12, int(rng.integers(0, 5)), replace=False)) for _ in range(900)}
+    values = sorted(low | {v ^ (1 << 60) for v in low if rng.random() < 0.3})
+    fps = spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "rep long, table int, v long")
+    nodes = {}
+    for r in simhash.split_nodes(simhash.rotations(fps, bits, budget), bits, budget, 50).collect():
+        nodes.setdefault(tuple(r[c] for c in ("turn", "node_a", "node_b", *simhash.NODE)), ([], []))[r["side"]].append(r["rep"])
+    met = {}
+    for (turn, a, b, *_), (left, right) in nodes.items():
+        pairs = [(x, y) for x in left for y in right] if a != b else [(x, y) for x in left for y in left if x < y]
+        met.setdefault(turn, set()).update((min(p), max(p)) for p in pairs)
+    edges = [round(k * bits / (budget + 1)) for k in range(budget + 2)]
+    near = [(i, j, values[i] ^ values[j]) for j in range(len(values)) for i in range(j) if (values[i] ^ values[j]).bit_count() <= budget]
+    for k in range(budget + 1):
+        block = ((1 << bits - edges[k]) - 1) & ~((1 << bits - edges[k + 1]) - 1)
+        assert not {(i, j) for i, j, x in near if not x & block} - met[k]
+
+
 def test_similar_texts_meet(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(5000)]
