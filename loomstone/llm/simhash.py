@@ -150,6 +150,8 @@ def rotations(fps: DataFrame, bits: int, budget: int) -> DataFrame:
 
 
 NODE = ["table", "turn", "level", "node_a", "node_b", "diff"]
+#: A node pair, or a pair of blocks of one node's rows.
+PAIR = [*NODE, "block_a", "block_b"]
 
 
 def split_nodes(rows: DataFrame, bits: int, budget: int, limit: int) -> DataFrame:
@@ -159,6 +161,8 @@ def split_nodes(rows: DataFrame, bits: int, budget: int, limit: int) -> DataFram
         counts = rows.groupBy(*NODE).agg(F.count("*").alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1"))
         # A pair of different nodes needs rows on both sides.
         counts = counts.where("n > 1 and (node_a = node_b or s0 <> s1)")
+        if done is not None:  # children that no row can meet another in
+            rows = written(rows.join(counts.select(*NODE), NODE, "left_semi").select(*rows.columns), "nodes")
         hot = written(counts.where((F.col("n") > limit) & (F.col("level") < bits)).select(*NODE), "hot")
         if hot.isEmpty():
             return rows if done is None else done.unionByName(rows)
@@ -183,13 +187,42 @@ def split_nodes(rows: DataFrame, bits: int, budget: int, limit: int) -> DataFram
         rows = written(kids, "nodes")
 
 
+def block_nodes(rows: DataFrame, budget: int, most: int, limit: int) -> DataFrame:
+    """Nodes of over so many rows as pairs of blocks of at most about so many rows each, side by side.
+
+    Rows linked to a node's first row, its pivot, are one component by that; they meet the pivot and the rows that are
+    not linked to it, but not each other. So a group of near copies costs one comparison a row.
+    """
+    hot = rows.groupBy(*NODE).agg(F.count("*").alias("n"), F.min_by(F.struct("rep", "v", "fp"), "rep").alias("pivot")).where(F.col("n") > limit)
+    hot = written(hot, "hot")
+    whole = lambda df: df.withColumns({"block_a": F.lit(0), "block_b": F.lit(0)})
+    if hot.isEmpty():
+        return whole(rows)
+    apart = F.aggregate(F.zip_with("fp", "pivot.fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = (F.bit_count(F.col("v").bitwiseXOR(F.col("pivot.v"))) <= budget) & (apart <= most)
+    big = written(rows.join(F.broadcast(hot), NODE).withColumn("near", near).withColumn("first", F.col("rep") == F.col("pivot.rep")).drop("n", "pivot"), "hot")
+    blocks = lambda kind: F.ceil(F.count_if(kind) / limit).cast("int")
+    sizes = written(big.groupBy(*NODE).agg(blocks(F.col("near")).alias("c"), blocks(~F.col("near")).alias("r")), "sizes")
+    # Block 0 is the pivot alone, 1 to r the rows that are not linked to it, the c after them those that are.
+    dealt = F.when(F.col("near"), F.col("r") + 1 + F.pmod(F.xxhash64("rep"), "c")).otherwise(1 + F.pmod(F.xxhash64("rep"), "r")).cast("int")
+    own = F.array(F.struct(dealt.alias("own"), F.when(F.col("near"), F.sequence(F.lit(0), "r")).otherwise(F.sequence(F.lit(1), F.col("r") + F.col("c"))).alias("others")))
+    pivot = F.array(F.struct(F.lit(0).alias("own"), F.sequence(F.col("r") + 1, F.col("r") + F.col("c")).alias("others")))
+    spread = big.join(F.broadcast(sizes), NODE).withColumn("s", F.explode(F.when(F.col("first"), F.concat(own, pivot)).otherwise(own)))
+    spread = spread.withColumn("own", F.col("s.own")).withColumn("other", F.explode("s.others")).withColumns(
+        {"block_a": F.least("own", "other"), "block_b": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}
+    )
+    rest = whole(rows.join(F.broadcast(hot.select(*NODE)), NODE, "left_anti"))
+    return rest.unionByName(spread.select(*rest.columns))
+
+
 def trie_links(nodes: DataFrame, bits: int, budget: int, sketch: int = 0, most: int = 0, limit: int = SUBTRIE_ROWS) -> DataFrame:
     """Rows of trie nodes, v distinct by rep -> (a, b): stars over reps that share a node and whose v lie within the budget.
 
-    sketch, most: fp is an array of so many longs, and a link also needs them to differ in at most so many bits.
+    sketch, most: fp is an array of so many longs, and a link also needs them to differ in at most so many bits. v may
+    then repeat, so nodes are cut into blocks of rows rather than along the trie.
     """
-    rows = split_nodes(nodes, bits, budget, limit)
-    columns = [*NODE, "side", "v", "rep"]
+    rows = block_nodes(nodes, budget, most, limit) if sketch else split_nodes(nodes, bits, budget, limit).withColumns({"block_a": F.lit(0), "block_b": F.lit(0)})
+    columns = [*PAIR, "side", "v", "rep"]
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -200,7 +233,7 @@ def trie_links(nodes: DataFrame, bits: int, budget: int, sketch: int = 0, most:
             n += len(batch)
             if n >= 4 * SUBTRIE_ROWS:
                 rows = pd.concat(held)
-                last = (rows[NODE] != rows[NODE].iloc[-1]).any(axis=1).to_numpy()[::-1].argmax()
+                last = (rows[PAIR] != rows[PAIR].iloc[-1]).any(axis=1).to_numpy()[::-1].argmax()
                 if last == 0:
                     held, n = [rows], n
                     continue
@@ -210,26 +243,27 @@ def trie_links(nodes: DataFrame, bits: int, budget: int, sketch: int = 0, most:
             yield from joined(pd.concat(held))
 
     def joined(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key = rows[NODE].to_numpy(np.int64)
+        key = rows[PAIR].to_numpy(np.int64)
         side, v, rep = rows["side"].to_numpy(), rows["v"].to_numpy(np.int64).view(U), rows["rep"].to_numpy(np.int64)
         full = np.stack(rows["fp"].to_numpy()).astype(np.int64).view(U) if sketch else None
         order = np.lexsort((v, side, *key.T[::-1]))
         key, side, v, rep = key[order], side[order], v[order], rep[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]).any(axis=1) | (side[1:] != side[:-1])
-        leaf = new.copy()
-        leaf[1:] |= v[1:] != v[:-1]
+        leaves = new.copy()
+        leaves[1:] |= v[1:] != v[:-1]
         # Trie leaves are distinct values; rows behind one leaf are its bucket.
-        at = np.flatnonzero(leaf)
+        at = np.flatnonzero(leaves)
         ends = np.append(at[1:], len(v))
         start = np.flatnonzero(new[at])
         stop = np.append(start[1:], len(at))
         keys, sides = key[at[start]], side[at[start]]
+        itself = lambda k: (k[:, 3] == k[:, 4]) & (k[:, 6] == k[:, 7])
         roots = []
         for kind in (0, 1):
             lone = sides == 0
             if kind == 0:
-                pick = lone & (keys[:, 3] == keys[:, 4])
+                pick = lone & itself(keys)
                 roots.append(np.stack([start[pick], stop[pick], start[pick], stop[pick], keys[pick, 5], keys[pick, 2]], 1))
             else:
                 pick = np.flatnonzero((sides[:-1] == 0) & (sides[1:] == 1) & (keys[:-1] == keys[1:]).all(axis=1))
@@ -248,20 +282,40 @@ def trie_links(nodes: DataFrame, bits: int, budget: int, sketch: int = 0, most:
                 if sum(map(len, found)) > 4 * FRONTIER:
                     found[:] = [np.stack(local_forest(*np.concatenate(found).T), 1)]
 
-        wide = np.flatnonzero(ends - at > 1)
-        for k in wide:  # rows of equal value: each against those after it, in blocks
+        def leaf(todo: np.ndarray) -> None:
+            """Rows of equal value: each meets those that are not yet in its component."""
+            while len(todo) > 1:
+                queue, rest = [todo[:1]], todo[1:]
+                while queue and len(rest):
+                    some = queue.pop()
+                    for one in some:
+                        close = np.bitwise_count(full[order[rest]] ^ full[order[one]]).sum(axis=1, dtype=np.int64) <= most
+                        if close.any():
+                            settle(rest[close], np.full(int(close.sum()), one))
+                            queue.append(rest[close])
+                            rest = rest[~close]
+                        if not len(rest):
+                            break
+                todo = rest
+
+        wide = np.flatnonzero((ends - at > 1) & itself(key[at]))
+        for k in wide:
             rows_k = np.arange(at[k], ends[k])
-            if not sketch:
-                settle(rows_k[1:], np.full(len(rows_k) - 1, rows_k[0]))
+            if sketch:
+                leaf(rows_k)
             else:
-                for i in range(len(rows_k) - 1):
-                    settle(rows_k[i + 1:], np.full(len(rows_k) - 1 - i, rows_k[i]))
+                settle(rows_k[1:], np.full(len(rows_k) - 1, rows_k[0]))
         for i, j in walk_pairs(v[at], bits, roots[~alone], budget):
             if not sketch:
                 settle(at[i], at[j])
                 continue
             # Every row of one leaf with every row of the other, so many at a time.
             size = (ends[i] - at[i]) * (ends[j] - at[j])
+            for p, q in zip(i[size > FRONTIER], j[size > FRONTIER], strict=True):
+                other = np.arange(at[q], ends[q])
+                for one in range(at[p], ends[p]):
+                    settle(np.full(len(other), one), other)
+            i, j, size = i[size <= FRONTIER], j[size <= FRONTIER], size[size <= FRONTIER]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(size) // FRONTIER)) + 1, [len(i)]])
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 m, s, t = size[lo:hi], i[lo:hi], j[lo:hi]
@@ -271,7 +325,7 @@ def trie_links(nodes: DataFrame, bits: int, budget: int, sketch: int = 0, most:
         x, y = local_forest(*np.concatenate(found).T)
         yield pd.DataFrame({"a": x, "b": y})
 
-    parted = rows.select(*columns, *(["fp"] if sketch else [])).repartition(*NODE).sortWithinPartitions(*NODE)
+    parted = rows.select(*columns, *(["fp"] if sketch else [])).repartition(*PAIR).sortWithinPartitions(*PAIR)
     return parted.mapInPandas(links, "a long, b long")
 
 

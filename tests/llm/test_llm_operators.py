@@ -311,6 +311,36 @@ def test_split_nodes_keep_every_near_pair(spark):
         assert not {(i, j) for i, j, x in near if not x & block} - met[k]
 
 
+def test_split_nodes_drop_children_of_one_side(spark):
+    rng = np.random.default_rng(8)
+    values = sorted({int(v) for v in rng.integers(0, 2**62, 60)} | {77 ^ (1 << k) for k in range(40)})
+    rows = simhash.split_nodes(simhash.rotations(spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "rep long, table int, v long"), 64, 2), 64, 2, 10)
+    split = rows.where("node_a <> node_b").groupBy(*simhash.NODE).agg(F.count_distinct("side").alias("sides"))
+    assert split.count() and split.where("sides < 2").count() == 0
+
+
+def test_rows_behind_one_lane_are_dealt_to_blocks(spark):
+    rng = np.random.default_rng(9)
+    most, limit, n = 20, 40, 600
+    centres = rng.integers(-(2**63), 2**63 - 1, (5, 4))
+    prints = []
+    for k in range(n):
+        c = [int(x) for x in centres[min(k % 9, 4)]]
+        for b in rng.integers(0, 192, int(rng.integers(0, 14))):
+            c[1 + int(b) // 64] ^= (1 << int(b) % 64) - ((1 << 64) if int(b) % 64 == 63 else 0)
+        prints.append([5 ^ k % 3, *c[1:]])
+    bits = np.array(prints, np.int64).view(np.uint64)
+    far = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2)
+    want = components(n, [(int(i), int(j)) for i, j in zip(*np.nonzero(far <= most), strict=True) if i > j])
+    zero = [F.lit(0).alias(c) for c in ("turn", "level", "node_a", "node_b", "diff", "side")]
+    nodes = spark.createDataFrame([(i, 0, p[0], p) for i, p in enumerate(prints)], "rep long, table long, v long, fp array<long>").select("*", *zero)
+    blocks = simhash.block_nodes(nodes, 18, most, limit).groupBy(*simhash.PAIR).count().agg(F.max("count")).first()[0]
+    assert blocks <= 4 * limit
+    for size in (limit, n):
+        got = {r["id"]: r["component"] for r in graph.connected_components(simhash.trie_links(nodes, 64, 18, 4, most, size)).collect()}
+        assert [got.get(i, i) for i in range(n)] == want
+
+
 def test_similar_texts_meet(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(5000)]
