@@ -26,6 +26,8 @@ IPV4 = r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[
 DATE = r"(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d"
 #: A candidate begins with one of a few characters, which is tested first, and stands on its own.
 NUMBERS = rf"(?=[\d+(])(?<![\p{{L}}\p{{N}}_]|\d[.\-])(?:{DATE}|{SSN}|{IPV4}|{PHONE}|{CARD})(?![\p{{L}}\p{{N}}_]|[.\-]\d)"
+#: What every kind has: two adjacent digits, or a digit, a separator and a digit (1.1.1.1, 4 1 1 1).
+ANY_NUMBER = r"\d[ .\-]?\d"
 MAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)*\.[A-Za-z]{2,24}+(?![\p{L}\p{N}])"
 
 
@@ -149,4 +151,4 @@ def pseudonymized(docs: DataFrame, key: str, undo: bool = False, column: str = "
     text = F.col(column)
     if not undo:
         docs = docs.withColumn(column, F.when(F.contains(text, F.lit("@")), replaced(text, MAIL, lambda m: mail_pseudonym(m, key))).otherwise(text))
-    return docs.withColumn(column, F.when(text.rlike(r"\d\d"), replaced(text, NUMBERS, lambda m: number_pseudonym(m, key, undo))).otherwise(text))
+    return docs.withColumn(column, F.when(text.rlike(ANY_NUMBER), replaced(text, NUMBERS, lambda m: number_pseudonym(m, key, undo))).otherwise(text))

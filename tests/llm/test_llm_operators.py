@@ -424,6 +424,15 @@ def test_pii_links_undoes_and_keeps_formats(spark, odd):
     assert all(same[i] == t for i, t in enumerate(TEXTS)) and pii.pseudonymized(odd, "k").columns == odd.columns
 
 
+def test_pii_short_addresses_alone_and_beside_a_date(spark):
+    texts = ["at 8.8.8.8 now", "at 8.8.8.8 on 2024-05-01", "1.1.1.1", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "a 1 b 2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hidden = pii.pseudonymized(docs, "k")
+    out = [r["text"] for r in hidden.orderBy("doc_id").collect()]
+    assert out[0].split()[1] == out[1].split()[1] != "8.8.8.8" and out[2] != texts[2] and out[3] != texts[3] and out[4] == texts[4]
+    assert [r["text"] for r in pii.pseudonymized(hidden, "k", undo=True).orderBy("doc_id").collect()] == texts
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(17 * 13).select((F.col("id") / 13).cast("long").alias("h"), (F.col("id") % 13).alias("l"))
     p = pii.feistel(F.col("h"), F.col("l"), 17, 13, "t", "k")
