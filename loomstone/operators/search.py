@@ -88,15 +88,33 @@ def matches(queries: DataFrame, index: Index) -> DataFrame:
     return whole.join(full.select("query_id", "section_id"), ["query_id", "section_id"], "left_semi")
 
 
+def phrase_frequency(tokens: DataFrame, index: Index) -> DataFrame:
+    """(words, df): the sections that hold each phrase of several tokens, whatever else a query asks for."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda t: t["term"])
+    phrases = tokens.groupBy("query_id", "phrase").agg(ordered.alias("words")).where(F.size("words") > 1).select("words").distinct()
+    # The rarest token of a phrase names its places; its other tokens only meet those.
+    asked = phrases.select("words", F.posexplode("words").alias("at", "term"))
+    frequency = index.postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("words").orderBy(F.coalesce("n", F.lit(0)), "at")
+    first = asked.join(F.broadcast(frequency), "term", "left").withColumn("r", F.row_number().over(rarest)).where("r = 1").drop("r", "n")
+    starts = index.postings.join(F.broadcast(first), "term").select("words", "section_id", "field", (F.col("pos") - F.col("at")).alias("start"))
+    wanted = starts.select("words", "section_id", "field", "start", F.posexplode("words").alias("at", "term")).withColumn("pos", F.col("start") + F.col("at"))
+    met = wanted.join(index.postings.select("section_id", "field", "pos", "term"), ["section_id", "field", "pos", "term"])
+    whole = met.groupBy("words", "section_id", "field", "start").agg(F.count("*").alias("got")).where(F.col("got") == F.size("words"))
+    return whole.groupBy("words").agg(F.count_distinct("section_id").alias("df"))
+
+
 def bm25(queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, section_id, rank): smaller is better; every phrase must occur."""
     found = materialized(matches(queries, index), "matches")
     stats = index.lengths.agg(F.count("*").alias("sections"), F.avg("length").alias("mean"))
     # A phrase's document frequency counts all sections that hold it; phrases of one token are counted in the postings.
-    alone = tokens_of(queries).groupBy("query_id", "phrase").agg(F.count("*").alias("k"), F.min("term").alias("term"))
+    tokens = tokens_of(queries)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda t: t["term"])
+    alone = tokens.groupBy("query_id", "phrase").agg(F.count("*").alias("k"), F.min("term").alias("term"), ordered.alias("words"))
     single = index.postings.join(F.broadcast(alone.where("k = 1").select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count_distinct("section_id").alias("df1"))
-    several = found.groupBy("query_id", "phrase").agg(F.count("*").alias("df2"))
-    df = alone.join(F.broadcast(single), "term", "left").join(several, ["query_id", "phrase"]).select("query_id", "phrase", F.when(F.col("k") == 1, F.col("df1")).otherwise(F.col("df2")).alias("df"))
+    several = phrase_frequency(tokens, index).withColumnRenamed("df", "df2")
+    df = alone.join(F.broadcast(single), "term", "left").join(F.broadcast(several), "words", "left").select("query_id", "phrase", F.when(F.col("k") == 1, F.col("df1")).otherwise(F.col("df2")).alias("df"))
     scored = found.join(F.broadcast(df), ["query_id", "phrase"]).join(index.lengths, "section_id").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("sections") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))

@@ -60,6 +60,18 @@ def test_search_phrases_fallback_and_filters(spark, index):
     assert set(got[1]) == {1, 2} and got[2] == [1] and got[3] == [3] and 4 not in got and 5 not in got and got[6] == [4] and got[7] == [4]
 
 
+def test_phrase_frequency_counts_sections_without_the_other_words(spark):
+    texts = ["well-known stone", "a well-known river", "the well-known garden", "well known-by letter", "known well stone", "stone window"] + [f"paper number{i}" for i in range(12)]
+    rows = [(i, i, "", "", "", t, 0, "s", "en") for i, t in enumerate(texts)]
+    built = search.Index.build(spark.createDataFrame(rows, "section_id long, doc_id long, title string, heading string, heading_path string, content string, ordinal int, source_key string, language string"))
+    got = rows_of(search.bm25(spark.createDataFrame([(1, "well-known stone")], "query_id long, query string"), built), "section_id", "rank")
+    lengths = [len(t.replace("-", " ").split()) for t in texts]
+    n, mean = len(texts), sum(lengths) / len(texts)
+    # Four sections hold the phrase (well known, adjacent), three the word.
+    want = -sum(math.log((n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * lengths[0] / mean)) for df in (4, 3))
+    assert [r[0] for r in got] == [0] and got[0][1] == pytest.approx(want, abs=1e-6)
+
+
 def test_snippets(spark):
     long = "filler " * 60 + "first needle here " + "filler " * 60 + "the needle and the thread lie close " + "filler " * 40
     h = spark.createDataFrame([(1, "needle thread", long), (2, "none", "short text"), (3, "é", "😀" * 250 + " é end")], "query_id long, query string, content string")
