@@ -15,7 +15,7 @@ SIGNAL = {"VERIFIED_OFFICIAL": 0.5, "LIKELY_OFFICIAL": 0.28, "THIRD_PARTY": -0.0
 def registry_match(rows: DataFrame, registry: DataFrame, key: list[str], url: str = "url") -> DataFrame:
     """rows with source_id and priority of the first enabled registry entry that covers the URL, by equi-joins on host suffixes.
 
-    registry: ordinal, id, domain, base_url, path_prefix, include_subdomains, organizations, priority, enabled - a small table.
+    registry: ordinal, id, domain, base_url, path_prefix, include_subdomains, organizations, priority, enabled - of any size; Spark broadcasts it where it is small.
     """
     u = F.col(url)
     entries = registry.where("enabled").withColumn("entry_port", urls.port(F.col("base_url")))
@@ -23,10 +23,10 @@ def registry_match(rows: DataFrame, registry: DataFrame, key: list[str], url: st
     prefix = F.regexp_replace(F.coalesce("path_prefix", F.lit("")), r"/+$", "")
     at = urls.path(u)
     covered = (prefix == "") | (at == prefix) | F.startswith(at, F.concat(prefix, F.lit("/")))
-    hosts = by_host.join(F.broadcast(entries), F.col("suffix") == F.lower("domain")).where(((urls.host(u) == F.lower("domain")) | F.col("include_subdomains")) & (urls.port(u) == F.col("entry_port")) & covered)
+    hosts = by_host.join(entries, F.col("suffix") == F.lower("domain")).where(((urls.host(u) == F.lower("domain")) | F.col("include_subdomains")) & (urls.port(u) == F.col("entry_port")) & covered)
     owners = entries.select("ordinal", "id", "priority", F.explode("organizations").alias("organization"))
     code = rows.where((urls.scheme(u) == "https") & (urls.host(u) == "github.com")).select(*key, url, F.lower(F.split(at, "/")[1]).alias("owner"))
-    hubs = code.join(F.broadcast(owners), F.col("owner") == F.lower("organization"))
+    hubs = code.join(owners, F.col("owner") == F.lower("organization"))
     both = hosts.select(*key, "ordinal", "id", "priority").unionByName(hubs.select(*key, "ordinal", "id", "priority"))
     best = both.groupBy(*key).agg(F.min_by(F.struct("id", "priority"), "ordinal").alias("m")).select(*key, F.col("m.id").alias("source_id"), F.col("m.priority").alias("priority"))
     return rows.join(best, key, "left")

@@ -513,6 +513,16 @@ def windowed_history(spark: SparkSession, sf: str) -> DataFrame:
     return windowed_activity(e).withColumn("mean_ms", F.round("mean_ms", 6))
 
 
+def own_registry(pages: DataFrame) -> DataFrame:
+    """A registry entry for every .org host of the pages, in order of the host."""
+    host = urls.host(F.col("url"))
+    domains = pages.where(host.endswith(".org")).select(host.alias("domain")).distinct()
+    return retention.running(domains, ["domain"], F.lit(1)).select(
+        F.col("rank").alias("ordinal"), F.col("domain").alias("id"), "domain", F.concat(F.lit("https://"), "domain", F.lit("/")).alias("base_url"), F.lit("").alias("path_prefix"), F.lit(True).alias("include_subdomains"),
+        F.array().cast("array<string>").alias("organizations"), F.lit(100).alias("priority"), F.lit(True).alias("enabled"),
+    )
+
+
 @query()
 def web_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as results of one query per host: mapped, matched with a registry made of their own hosts, ranked."""
@@ -520,11 +530,7 @@ def web_ranking(spark: SparkSession, sf: str) -> DataFrame:
     host = urls.host(F.col("url"))
     n = F.row_number().over(Window.partitionBy(host).orderBy("page_id")) - 1
     results = pages.select(F.xxhash64(host).alias("query_id"), F.col("title").alias("query"), n.alias("rank"), "title", "url", F.substring("markdown", 1, 200).alias("snippet"), (F.length("markdown") / 1000).alias("score"), F.array(F.lit("crawl")).alias("engines"))
-    registry = pages.where(host.endswith(".org")).select(host.alias("domain")).distinct().limit(1000).select(
-        F.row_number().over(Window.orderBy("domain")).alias("ordinal"), F.col("domain").alias("id"), "domain", F.concat(F.lit("https://"), "domain", F.lit("/")).alias("base_url"), F.lit("").alias("path_prefix"), F.lit(True).alias("include_subdomains"),
-        F.array().cast("array<string>").alias("organizations"), F.lit(100).alias("priority"), F.lit(True).alias("enabled"),
-    )
-    return webrank.ranked(webrank.mapped(results, registry), 10).drop("engines")
+    return webrank.ranked(webrank.mapped(results, own_registry(table(spark, sf, "pages").select("url"))), 10).drop("engines")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.operators import audit, catalog, evaluate, pages, paging, retention, search, sections, vectors, webrank
+from loomstone.plans import registry as plans
 from loomstone.sources import readers, sinks
 
 T0 = datetime(2024, 5, 1)
@@ -167,6 +168,12 @@ def test_web_ranking(spark):
     assert rows_of(webrank.keyword_routes(q, registry), "id") == [("n",)]
 
 
+def test_own_registry_holds_every_host(spark):
+    pages = spark.range(1500).select(F.format_string("https://host%04d.org/a", F.col("id")).alias("url")).union(spark.range(3).select(F.lit("https://www.example.com/").alias("url")))
+    got = rows_of(plans.own_registry(pages).orderBy("ordinal"), "ordinal", "domain")
+    assert got == [(k + 1, f"host{k:04d}.org") for k in range(1500)]
+
+
 def test_domain_lists_and_policy(spark):
     rows = spark.createDataFrame([(1, "a.x.com", "UNKNOWN"), (1, "x.com", "VERIFIED_OFFICIAL"), (1, "y.com", "UNKNOWN"), (2, "bad.com", "UNKNOWN"), (2, "z.com", "UNKNOWN")], "query_id long, domain string, source_status string")
     allow = spark.createDataFrame([(1, "x.com")], "query_id long, domain string")
