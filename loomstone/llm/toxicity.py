@@ -67,6 +67,10 @@ RUNS, REPEATS, SHAPE = re.compile(r"(.)\1*", re.S), re.compile(r"(.)\1+", re.S),
 ORNAMENT = re.compile(r"^(?:([^\w\s])\1\1+)+|(?:([^\w\s])\2\2+)+$")
 LEAD, TAIL = re.compile(r"^[^\w@$!|+(€£¡]+"), re.compile(r"[^\w@$+]+$")
 BETWEEN = re.compile(r"[\W_]+")
+#: What parts a long token, symbols that may stand for letters aside.
+APART = re.compile(r"(?:[^\w@$!|+(€£¡]|_)+")
+#: Characters decoded at once, and those that two such pieces of a longer run share.
+LONGEST, SHARED = 64, 24
 
 
 def squeezed(word: str) -> str:
@@ -167,8 +171,10 @@ class Model:
             if SHAPE.search(core) or (REPEATS.search(core) or not core.isascii()) and squeezed(core) in self.keys and core not in self.keys:
                 return [self.decode(core)]
             return [core]
-        if not any(c.isalpha() for c in core) or len(core) > 64:
-            return [p for p in BETWEEN.split(core) if p.isalpha()]
+        if not any(c.isalpha() for c in core):
+            return []
+        if len(core) > LONGEST:
+            return self.long_words(core)
         parts = [p for p in BETWEEN.split(core) if p]
         if len(parts) > 2 and all(len(p) == 1 for p in parts):
             return self.decode("".join(parts), spaced=True).split()
@@ -176,7 +182,48 @@ class Model:
             out = self.decode(core)
             if out.isalpha():
                 return [out]
-        return [w for p in parts for w in ([p] if p.isalpha() else [self.decode(p)])]
+        out = [w for p in parts for w in ([p] if p.isalpha() else [self.decode(p)])]
+        return out + self.across(out)
+
+    def long_words(self, core: str) -> list[str]:
+        """The words of a long token: part by part, three or more one-letter parts as spaced letters."""
+        out: list[str] = []
+        run: list[str] = []
+        for p in [*APART.split(core), "", "..."]:
+            if not p:
+                continue
+            if len(p) == 1 and (p.isalpha() or p in LEET):
+                run.append(p)
+                continue
+            out += self.run_words(run) if len(run) > 2 else [c for c in run if c.isalpha()]
+            run = []
+            if p.isalpha():
+                out.append(p)
+            elif p != "...":
+                for at in range(0, max(1, len(p) - SHARED), LONGEST - SHARED):
+                    out += self.words(p[at: at + LONGEST])
+        return out + self.across(out)
+
+    def run_words(self, run: list[str]) -> list[str]:
+        """Words behind spaced letters, decoded in pieces; the lexicon's words are looked for at every place."""
+        out: list[str] = []
+        for at in range(0, max(1, len(run) - SHARED), LONGEST - SHARED):
+            words = self.decode("".join(run[at: at + LONGEST]), spaced=True).split()
+            joined = "".join(words)
+            out += [*words, *(k[2:] for k in self.lexicon if k[0] == "w" and len(k) > 5 and k[2:] in joined)]
+        return out
+
+    def across(self, words: list[str]) -> list[str]:
+        """The lexicon's words that separators cut: neighbours that make one together."""
+        out = []
+        for i, text in enumerate(words[:-1]):
+            for other in words[i + 1:]:
+                text += other
+                if len(text) > SHARED:
+                    break
+                if len(text) > 3 and f"w:{text}" in self.lexicon:
+                    out.append(text)
+        return out
 
     def spaced_words(self, tokens: list[str]) -> Iterator[str]:
         """Words behind runs of three or more one-letter tokens."""

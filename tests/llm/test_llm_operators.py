@@ -99,6 +99,15 @@ def test_toxicity_edges(spark, odd):
     assert toxicity.scored(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+def test_toxicity_long_tokens_and_cut_words(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    plain = "_".join(["r1v3r", "st0ne", "l3tter", "gard3n"] * 4)
+    bad = [f"{plain}_y0u_4r3_a_1d10t_{plain}", ".".join("riverstoneletteridiotgardenwindowpapersummer"), "-".join(["river"] * 20 + ["m0r0n"]), "id.iot", "i-di-ot", "id\u200biot", "you-id.iot"]
+    assert all(len(t) > 64 for t in bad[:3]) and not [t for t in bad if model.score(t) < 0.3]
+    assert model.score(plain) < 0.3 and model.score("river-stone") == pytest.approx(toxicity.BASE)
+
+
 def best_path(model, observed):
     """The decoder by trying every reading of a short word."""
     code = {c: k + 1 for k, c in enumerate(toxicity.LETTERS)}
