@@ -182,6 +182,34 @@ def reranked_search(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.reranked(hits).select("query_id", "new_position", "section_id", F.round("combined", 6).alias("combined"))
 
 
+# The same with whole benchmark texts; their tests compare with brute force.
+
+
+@query()
+def whole_text_bm25_matches(spark: SparkSession, sf: str) -> DataFrame:
+    index = search.Index.build(document_sections(spark, sf))
+    return search.bm25(benchmark_queries(spark, sf), index).select("query_id", "section_id", F.round("rank", 5).alias("rank"))
+
+
+@query()
+def whole_text_document_search(spark: SparkSession, sf: str) -> DataFrame:
+    index = search.Index.build(document_sections(spark, sf))
+    return search.search(benchmark_queries(spark, sf), index).select("query_id", F.col("position").cast("long"), "section_id", "score")
+
+
+@query()
+def whole_text_search_with_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    index = search.Index.build(document_sections(spark, sf))
+    return search.projected(search.with_snippets(search.search(benchmark_queries(spark, sf), index)))
+
+
+@query()
+def whole_text_reranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    index = search.Index.build(document_sections(spark, sf))
+    hits = search.with_snippets(search.search(benchmark_queries(spark, sf), index, limit=50, fallback=False))
+    return vectors.reranked(hits).select("query_id", "new_position", "section_id", F.round("combined", 6).alias("combined"))
+
+
 @query("""
     SELECT item_id AS query_id, doc_id AS section_id FROM benchmark b, documents d WHERE contains(lower(d.text), lower(trim(b.text)))
 """)
@@ -534,4 +562,4 @@ def web_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return QUERIES["document_search"](spark, sf)
+    return QUERIES["whole_text_document_search"](spark, sf)

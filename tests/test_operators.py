@@ -73,6 +73,29 @@ def test_phrase_frequency_counts_sections_without_the_other_words(spark):
     assert [r[0] for r in got] == [0] and got[0][1] == pytest.approx(want, abs=1e-6)
 
 
+def test_whole_benchmark_texts_against_brute_force(spark, tmp_path):
+    asked = {1: "the quick brown fox jumps over the lazy well-known dog", 2: "a river runs by the old stone garden wall", 3: "stone by stone the wall", 4: "no such words in any of them"}
+    texts = ["the quick brown fox jumps over the lazy well-known dog and the cat", "the old dog jumps over a lazy brown fox quick known well", "a river runs by the old stone garden wall", "the garden wall by a river runs old stone the stone", "stone by the wall", "well-known river", *["paper letter window"] * 9]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(asked.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = [f" s en | {t.replace('-', ' ')} " for t in texts]
+    lengths = [len(h.replace("|", "").split()) for h in held]
+    mean, want = sum(lengths) / len(texts), {}
+    for q, text in asked.items():
+        phrases = {f" {w.replace('-', ' ')} " for w in text.split()}
+        count = lambda p, h: sum(h[i:].startswith(p) for i in range(len(h)))  # noqa: E731, B023
+        df = {p: sum(p in h for h in held) for p in phrases}
+        for d, h in enumerate(held):
+            if all(p in h for p in phrases):
+                parts = [max(math.log((len(texts) - df[p] + 0.5) / (df[p] + 0.5)), 1e-6) * (f := count(p, h)) * 2.2 / (f + 1.2 * (0.25 + 0.75 * lengths[d] / mean)) for p in phrases]
+                want[q, d] = round(-sum(parts), 5)
+    got = {(r["query_id"], r["section_id"]): r["rank"] for r in plans.QUERIES["whole_text_bm25_matches"](spark, str(tmp_path)).collect()}
+    assert set(want) == {(1, 0), (2, 2), (2, 3), (3, 2), (3, 3), (3, 4)} and got == pytest.approx(want, abs=2e-5)
+    best = {(r["query_id"], r["position"]): r["section_id"] for r in plans.QUERIES["whole_text_document_search"](spark, str(tmp_path)).collect()}
+    for q in asked:
+        assert [best[k] for k in sorted(best) if k[0] == q] == sorted((d for a, d in want if a == q), key=lambda d: want[q, d])  # noqa: B023
+
+
 def test_snippets(spark):
     long = "filler " * 60 + "first needle here " + "filler " * 60 + "the needle and the thread lie close " + "filler " * 40
     h = spark.createDataFrame([(1, "needle thread", long), (2, "none", "short text"), (3, "é", "😀" * 250 + " é end")], "query_id long, query string, content string")
