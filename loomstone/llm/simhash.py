@@ -348,8 +348,9 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     The share of differing bits estimates the angle between two shingle sets, and so their Jaccard similarity.
     A trie per window of bits: its first levels allow no error and name the node; below, the tries of the
     first lane are walked under an error budget, and pairs left are judged by half of the lanes. A similarity
-    of 0.8 meets in one of the default windows with a chance of 0.99 and 0.9 nearly always; the estimate's standard
-    error at 0.8 is 0.03, and the limit is set half of that below the similarity.
+    of 0.8 meets in one of the default windows with a chance of 0.91 and 0.9 nearly always, if bits were independent;
+    the estimate's standard error at 0.8 is 0.03, and the limit is set half of that below the similarity, so that some
+    of the pairs that meet are not linked. There is no exact check of a link's similarity.
     """
     angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)  # share of bits that differ
     judged = lanes // 2
