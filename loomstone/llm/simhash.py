@@ -10,8 +10,9 @@ split: its rows go one more level band down, to every pair of child nodes within
 
 Links are contracted to a star per component inside a task; all pairs of a group are never emitted.
 
-Edge cases: a null or empty text, or one of white space only, has fingerprint zero and is linked like any other; repeated rows are
-collapsed before the join and get the same answer; empty tables give empty results.
+Edge cases: a null or empty text, or one of white space only, has fingerprint zero and is linked like any other;
+repeated rows are collapsed before the join and get the same answer; a row without doc_id links nothing, and its
+component is that of an equal fingerprint, null where none has an id; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,16 +21,21 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import batched, drop_written, numbers, values, whole_groups, written
 from .graph import connected_components, local_forest
+from .overlap import exact_links
 
 #: Rows of a subtrie beyond which it is split over tasks.
 SUBTRIE_ROWS = 50_000
+#: Rows that share a window beyond which they meet through a pivot and in blocks.
+WINDOW_ROWS = 2_048
+#: Rows that a task takes up at once, at least.
+AT_ONCE = 32_768
 #: Bits a split descends at once.
 BAND = 6
 #: Node pairs that one task walks at once.
@@ -40,9 +46,13 @@ U = np.uint64
 # --- fingerprints -------------------------------------------------------------------------------
 
 
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """XXH64 (seed 42) of each run of so many words, repeats included; words lower-cased in A-Z only."""
-    parts = (text or "").encode().lower().split()
+def words_of(text: str | None) -> list[bytes]:
+    """Words in UTF-8, lower-cased in A-Z only."""
+    return (text or "").encode().lower().split()
+
+
+def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of so many words, repeats included; fewer words are one run."""
     if not parts:
         return np.zeros(0, U)
     line, h = b" ".join(parts), xxhash.xxh64_intdigest
@@ -53,36 +63,34 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.array([h(line[a: b - 1], 42) for a, b in zip(starts, ends[words - 1:], strict=False)], U)
 
 
-def mixed(h: np.ndarray, lane: int) -> np.ndarray:
-    """An independent 64-bit hash of a hash; lane 0 is the hash itself."""
-    if lane == 0:
-        return h
-    x = h + U(lane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def majority(h: np.ndarray) -> int:
-    """The 64 bits set in over half of the hashes."""
-    if not len(h):
-        return 0
-    counts = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
+def majorities(h: np.ndarray, lanes: int) -> np.ndarray:
+    """Per lane the 64 bits set in over half of the hashes; lane 0 takes the hashes themselves, each other one a mix of them."""
+    n, counts = len(h), np.zeros(64 * lanes, np.int64)
+    steps = np.array([k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for k in range(lanes)], U)
+    for i in range(0, n, 255):  # so many bits add up in one byte
+        x = h[i: i + 255, None] + steps
+        x = (x ^ x >> U(30)) * U(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> U(27)) * U(0x94D049BB133111EB)
+        x ^= x >> U(31)
+        x[:, 0] = h[i: i + 255]
+        counts += np.add.reduce(np.unpackbits(x.byteswap().view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > n).view(">u8").astype(U) if n else np.zeros(lanes, U)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
-    """(doc_id, fp array<long>): one 64-bit SimHash per lane, as signed longs."""
+    """(doc_id, k1, k2, fp array<long>): a 128-bit hash of the words, and one 64-bit SimHash per lane, as signed longs."""
 
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                h = shingle_hashes(text, words)
-                out.append(np.array([majority(mixed(h, k)) for k in range(lanes)], U).view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": out})
+    def made(batch: pa.RecordBatch) -> tuple[None, list]:
+        k1, k2, out = [], [], []
+        for text in values(batch, "text"):
+            parts = words_of(text)
+            digest = xxhash.xxh3_128_digest(b" ".join(parts))
+            k1.append(int.from_bytes(digest[:8], "big", signed=True))
+            k2.append(int.from_bytes(digest[8:], "big", signed=True))
+            out.append(majorities(shingle_hashes(parts, words), lanes).view(np.int64))
+        return None, [k1, k2, out]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(signed, "doc_id long, fp array<long>")
+    return batched(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], "k1 long, k2 long, fp array<long>", made)
 
 
 # --- the trie join ------------------------------------------------------------------------------
@@ -145,13 +153,11 @@ def rotations(fps: DataFrame, bits: int, budget: int) -> DataFrame:
         rows.append(F.struct(F.lit(k).alias("turn"), F.lit(lead).alias("level"), F.shiftrightunsigned(turned, bits - lead).alias("node_a"), turned.alias("v")))
     return (
         fps.withColumn("r", F.explode(F.array(*rows)))
-        .select("rep", "table", "r.turn", "r.level", "r.node_a", F.col("r.node_a").alias("node_b"), F.lit(0).alias("diff"), F.lit(0).alias("side"), "r.v", *[c for c in fps.columns if c not in ("rep", "table", "v")])
+        .select("rep", "r.turn", "r.level", "r.node_a", F.col("r.node_a").alias("node_b"), F.lit(0).alias("diff"), F.lit(0).alias("side"), "r.v")
     )
 
 
-NODE = ["table", "turn", "level", "node_a", "node_b", "diff"]
-#: A node pair, or a pair of blocks of one node's rows.
-PAIR = [*NODE, "block_a", "block_b"]
+NODE = ["turn", "level", "node_a", "node_b", "diff"]
 
 
 def split_nodes(rows: DataFrame, bits: int, budget: int, limit: int) -> DataFrame:
@@ -179,7 +185,7 @@ def split_nodes(rows: DataFrame, bits: int, budget: int, limit: int) -> DataFram
         kids = kids.withColumn("other", F.expr("shiftleft(if(side = 0, node_b, node_a), step) | ((own ^ x) & (shiftleft(1L, step) - 1))"))
         first = F.when(same, F.least("own", "other")).when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
         kids = kids.select(
-            *[c for c in rows.columns if c not in (*NODE, "side")], "table", "turn", (F.col("level") + F.col("step")).alias("level"),
+            *[c for c in rows.columns if c not in (*NODE, "side")], "turn", (F.col("level") + F.col("step")).alias("level"),
             first.alias("na"), F.when(same, F.greatest("own", "other")).when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("nb"),
             (F.col("diff") + F.expr("bit_count(x)")).cast("int").alias("diff"),
             F.when(same & (F.col("x") != 0), (F.col("own") > F.col("other")).cast("int")).when(same, F.lit(0)).otherwise(F.col("side")).alias("side"),
@@ -187,146 +193,131 @@ def split_nodes(rows: DataFrame, bits: int, budget: int, limit: int) -> DataFram
         rows = written(kids, "nodes")
 
 
-def block_nodes(rows: DataFrame, budget: int, most: int, limit: int) -> DataFrame:
-    """Nodes of over so many rows as pairs of blocks of at most about so many rows each, side by side.
+def trie_links(nodes: DataFrame, bits: int, budget: int, limit: int = SUBTRIE_ROWS) -> DataFrame:
+    """Rows of trie nodes, v distinct by rep -> (a, b): stars over reps that share a node and whose v lie within the budget."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, NODE, AT_ONCE):
+            key = np.stack([numbers(rows, c) for c in NODE], 1)
+            side, v, rep = numbers(rows, "side"), numbers(rows, "v").view(U), numbers(rows, "rep")
+            order = np.lexsort((v, side, *key.T[::-1]))
+            key, side, v, rep = key[order], side[order], v[order], rep[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]).any(axis=1) | (side[1:] != side[:-1])
+            start = np.flatnonzero(new)
+            stop = np.append(start[1:], len(key))
+            head, sides = key[start], side[start]
+            alone = (sides == 0) & (head[:, 2] == head[:, 3]) & (stop - start > 1)
+            pick = np.flatnonzero((sides[:-1] == 0) & (sides[1:] == 1) & (head[:-1] == head[1:]).all(axis=1))
+            roots = np.concatenate([
+                np.stack([start[alone], stop[alone], start[alone], stop[alone], head[alone, 4], head[alone, 1]], 1),
+                np.stack([start[pick], stop[pick], start[pick + 1], stop[pick + 1], head[pick, 4], head[pick, 1]], 1),
+            ])
+            yield stars([np.stack([rep[i], rep[j]], 1) for i, j in walk_pairs(v, bits, roots, budget)])
+
+    return split_nodes(nodes, bits, budget, limit).repartition(*NODE).sortWithinPartitions(*NODE).mapInArrow(links, "a long, b long")
+
+
+def stars(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = local_forest(*np.concatenate([np.zeros((0, 2), np.int64), *pairs]).T)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+# --- tries over windows of long fingerprints ----------------------------------------------------
+
+#: What of a fingerprint travels with each window: v, the bits that the trie below a window reads, and three more lanes.
+SKETCH = ["v", "s1", "s2", "s3"]
+WINDOW = ["window", "block_a", "block_b"]
+
+
+def apart(p: str, q: str) -> F.Column:
+    """Differing bits of two sketches."""
+    out = F.lit(0)
+    for c in SKETCH:
+        out = out + F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}")))
+    return out
 
-    Rows linked to a node's first row, its pivot, are one component by that; they meet the pivot and the rows that are
-    not linked to it, but not each other. So a group of near copies costs one comparison a row.
+
+def window_blocks(rows: DataFrame, most: int, budget: int, limit: int) -> DataFrame:
+    """(window, rep, sketch) with block_a, block_b and side: windows of over so many rows are cut into pairs of blocks.
+
+    Rows whose sketch is near that of a window's first row, its pivot, are one candidate group by that; they meet the
+    pivot and the rows that are not near it, but not each other. So a group of near copies costs one comparison a row.
     """
-    hot = rows.groupBy(*NODE).agg(F.count("*").alias("n"), F.min_by(F.struct("rep", "v", "fp"), "rep").alias("pivot")).where(F.col("n") > limit)
-    hot = written(hot, "hot")
-    whole = lambda df: df.withColumns({"block_a": F.lit(0), "block_b": F.lit(0)})
+    hot = rows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("rep", *SKETCH)).alias("pivot")).where(F.col("n") > limit)
+    hot = written(hot.select("window", "pivot"), "hot")
+    whole = lambda df: df.select("window", "rep", *SKETCH, F.lit(0).alias("block_a"), F.lit(0).alias("block_b"), F.lit(0).alias("side"))
     if hot.isEmpty():
         return whole(rows)
-    apart = F.aggregate(F.zip_with("fp", "pivot.fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = (F.bit_count(F.col("v").bitwiseXOR(F.col("pivot.v"))) <= budget) & (apart <= most)
-    big = written(rows.join(F.broadcast(hot), NODE).withColumn("near", near).withColumn("first", F.col("rep") == F.col("pivot.rep")).drop("n", "pivot"), "hot")
+    near = (F.bit_count(F.col("r.v").bitwiseXOR(F.col("pivot.v"))) <= budget) & (apart("r", "pivot") <= most)
+    big = rows.alias("r").join(hot, "window").select("window", "r.rep", *[f"r.{c}" for c in SKETCH], near.alias("near"), (F.col("r.rep") == F.col("pivot.rep")).alias("first"))
+    big = written(big, "hot-rows")
     blocks = lambda kind: F.ceil(F.count_if(kind) / limit).cast("int")
-    sizes = written(big.groupBy(*NODE).agg(blocks(F.col("near")).alias("c"), blocks(~F.col("near")).alias("r")), "sizes")
-    # Block 0 is the pivot alone, 1 to r the rows that are not linked to it, the c after them those that are.
+    sizes = written(big.groupBy("window").agg(blocks(F.col("near")).alias("c"), blocks(~F.col("near")).alias("r")), "sizes")
+    # Block 0 is the pivot alone, 1 to r the rows that are not near it, the c after them those that are.
     dealt = F.when(F.col("near"), F.col("r") + 1 + F.pmod(F.xxhash64("rep"), "c")).otherwise(1 + F.pmod(F.xxhash64("rep"), "r")).cast("int")
     own = F.array(F.struct(dealt.alias("own"), F.when(F.col("near"), F.sequence(F.lit(0), "r")).otherwise(F.sequence(F.lit(1), F.col("r") + F.col("c"))).alias("others")))
     pivot = F.array(F.struct(F.lit(0).alias("own"), F.sequence(F.col("r") + 1, F.col("r") + F.col("c")).alias("others")))
-    spread = big.join(F.broadcast(sizes), NODE).withColumn("s", F.explode(F.when(F.col("first"), F.concat(own, pivot)).otherwise(own)))
-    spread = spread.withColumn("own", F.col("s.own")).withColumn("other", F.explode("s.others")).withColumns(
-        {"block_a": F.least("own", "other"), "block_b": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}
-    )
-    rest = whole(rows.join(F.broadcast(hot.select(*NODE)), NODE, "left_anti"))
-    return rest.unionByName(spread.select(*rest.columns))
-
-
-def trie_links(nodes: DataFrame, bits: int, budget: int, sketch: int = 0, most: int = 0, limit: int = SUBTRIE_ROWS) -> DataFrame:
-    """Rows of trie nodes, v distinct by rep -> (a, b): stars over reps that share a node and whose v lie within the budget.
-
-    sketch, most: fp is an array of so many longs, and a link also needs them to differ in at most so many bits. v may
-    then repeat, so nodes are cut into blocks of rows rather than along the trie.
-    """
-    rows = block_nodes(nodes, budget, most, limit) if sketch else split_nodes(nodes, bits, budget, limit).withColumns({"block_a": F.lit(0), "block_b": F.lit(0)})
-    columns = [*PAIR, "side", "v", "rep"]
-
-    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        n = 0
-        for batch in batches:
-            # The last node of a batch may go on in the next one.
-            held.append(batch)
-            n += len(batch)
-            if n >= 4 * SUBTRIE_ROWS:
-                rows = pd.concat(held)
-                last = (rows[PAIR] != rows[PAIR].iloc[-1]).any(axis=1).to_numpy()[::-1].argmax()
-                if last == 0:
-                    held, n = [rows], n
-                    continue
-                yield from joined(rows.iloc[: len(rows) - last])
-                held, n = [rows.iloc[len(rows) - last:]], int(last)
-        if held:
-            yield from joined(pd.concat(held))
-
-    def joined(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key = rows[PAIR].to_numpy(np.int64)
-        side, v, rep = rows["side"].to_numpy(), rows["v"].to_numpy(np.int64).view(U), rows["rep"].to_numpy(np.int64)
-        full = np.stack(rows["fp"].to_numpy()).astype(np.int64).view(U) if sketch else None
-        order = np.lexsort((v, side, *key.T[::-1]))
-        key, side, v, rep = key[order], side[order], v[order], rep[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]).any(axis=1) | (side[1:] != side[:-1])
-        leaves = new.copy()
-        leaves[1:] |= v[1:] != v[:-1]
-        # Trie leaves are distinct values; rows behind one leaf are its bucket.
-        at = np.flatnonzero(leaves)
-        ends = np.append(at[1:], len(v))
-        start = np.flatnonzero(new[at])
-        stop = np.append(start[1:], len(at))
-        keys, sides = key[at[start]], side[at[start]]
-        itself = lambda k: (k[:, 3] == k[:, 4]) & (k[:, 6] == k[:, 7])
-        roots = []
-        for kind in (0, 1):
-            lone = sides == 0
-            if kind == 0:
-                pick = lone & itself(keys)
-                roots.append(np.stack([start[pick], stop[pick], start[pick], stop[pick], keys[pick, 5], keys[pick, 2]], 1))
-            else:
-                pick = np.flatnonzero((sides[:-1] == 0) & (sides[1:] == 1) & (keys[:-1] == keys[1:]).all(axis=1))
-                roots.append(np.stack([start[pick], stop[pick], start[pick + 1], stop[pick + 1], keys[pick, 5], keys[pick, 2]], 1))
-        roots = np.concatenate(roots)
-        alone = (roots[:, 0] == roots[:, 2]) & (roots[:, 1] - roots[:, 0] == 1)
-        found = [np.zeros((0, 2), np.int64)]
-
-        def settle(x: np.ndarray, y: np.ndarray) -> None:
-            if sketch:
-                f = full[order]
-                near = np.bitwise_count(f[x] ^ f[y]).sum(axis=1, dtype=np.int64) <= most
-                x, y = x[near], y[near]
-            if len(x):
-                found.append(np.stack([rep[x], rep[y]], 1))
-                if sum(map(len, found)) > 4 * FRONTIER:
-                    found[:] = [np.stack(local_forest(*np.concatenate(found).T), 1)]
-
-        def leaf(todo: np.ndarray) -> None:
-            """Rows of equal value: each meets those that are not yet in its component."""
-            while len(todo) > 1:
-                queue, rest = [todo[:1]], todo[1:]
-                while queue and len(rest):
-                    some = queue.pop()
-                    for one in some:
-                        close = np.bitwise_count(full[order[rest]] ^ full[order[one]]).sum(axis=1, dtype=np.int64) <= most
-                        if close.any():
-                            settle(rest[close], np.full(int(close.sum()), one))
-                            queue.append(rest[close])
-                            rest = rest[~close]
-                        if not len(rest):
-                            break
-                todo = rest
-
-        wide = np.flatnonzero((ends - at > 1) & itself(key[at]))
-        for k in wide:
-            rows_k = np.arange(at[k], ends[k])
-            if sketch:
-                leaf(rows_k)
-            else:
-                settle(rows_k[1:], np.full(len(rows_k) - 1, rows_k[0]))
-        for i, j in walk_pairs(v[at], bits, roots[~alone], budget):
-            if not sketch:
-                settle(at[i], at[j])
-                continue
-            # Every row of one leaf with every row of the other, so many at a time.
-            size = (ends[i] - at[i]) * (ends[j] - at[j])
-            for p, q in zip(i[size > FRONTIER], j[size > FRONTIER], strict=True):
-                other = np.arange(at[q], ends[q])
-                for one in range(at[p], ends[p]):
-                    settle(np.full(len(other), one), other)
-            i, j, size = i[size <= FRONTIER], j[size <= FRONTIER], size[size <= FRONTIER]
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(size) // FRONTIER)) + 1, [len(i)]])
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                m, s, t = size[lo:hi], i[lo:hi], j[lo:hi]
-                inside = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                width = np.repeat(ends[t] - at[t], m)
-                settle(np.repeat(at[s], m) + inside // width, np.repeat(at[t], m) + inside % width)
-        x, y = local_forest(*np.concatenate(found).T)
-        yield pd.DataFrame({"a": x, "b": y})
-
-    parted = rows.select(*columns, *(["fp"] if sketch else [])).repartition(*PAIR).sortWithinPartitions(*PAIR)
-    return parted.mapInPandas(links, "a long, b long")
+    spread = big.join(sizes, "window").withColumn("s", F.explode(F.when(F.col("first"), F.concat(own, pivot)).otherwise(own))).withColumn("other", F.explode("s.others"))
+    spread = spread.select("window", "rep", *SKETCH, F.least("s.own", "other").alias("block_a"), F.greatest("s.own", "other").alias("block_b"), (F.col("s.own") > F.col("other")).cast("int").alias("side"))
+    return whole(rows.join(hot.select("window"), "window", "left_anti")).unionByName(spread)
+
+
+def window_links(rows: DataFrame, budget: int, most: int) -> DataFrame:
+    """(a, b): stars over reps that share a window and whose v differ in at most budget bits, their sketches in at most `most`."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, WINDOW, AT_ONCE):
+            key = np.stack([numbers(table, c) for c in WINDOW], 1)
+            side, rep = numbers(table, "side"), numbers(table, "rep")
+            sketch = np.stack([numbers(table, c) for c in SKETCH], 1).view(U)
+            order = np.lexsort((sketch[:, 0], side, *key.T[::-1]))
+            yield stars(list(near_rows(key[order], side[order], rep[order], sketch[order], budget, most)))
+
+    return rows.repartition(*WINDOW).sortWithinPartitions(*WINDOW).mapInArrow(links, "a long, b long")
+
+
+def near_rows(key: np.ndarray, side: np.ndarray, rep: np.ndarray, sketch: np.ndarray, budget: int, most: int) -> Iterator[np.ndarray]:
+    """Pairs of reps, contracted, of sorted rows: a trie over v per (window, block pair, side) is walked under the budget."""
+    v = sketch[:, 0]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]).any(axis=1) | (side[1:] != side[:-1])
+    leaf = new.copy()
+    leaf[1:] |= v[1:] != v[:-1]
+    at = np.flatnonzero(leaf)  # the trie's leaves; rows of equal v lie behind one
+    ends = np.append(at[1:], len(v))
+    start = np.flatnonzero(new[at])
+    stop = np.append(start[1:], len(at))
+    head, sides = key[at[start]], side[at[start]]
+    itself = (sides == 0) & (head[:, 1] == head[:, 2])
+    pick = np.flatnonzero((sides[:-1] == 0) & (sides[1:] == 1) & (head[:-1] == head[1:]).all(axis=1))
+    own = np.flatnonzero(itself & (stop - start > 1))
+    level = np.zeros((len(own) + len(pick), 2), np.int64)
+    roots = np.concatenate([np.stack([start[own], stop[own], start[own], stop[own]], 1), np.stack([start[pick], stop[pick], start[pick + 1], stop[pick + 1]], 1)])
+    found = []
+    # Rows of one leaf agree in all bits of v: a star each.
+    rows_of = ends - at
+    wide = np.flatnonzero((rows_of > 1) & np.repeat(itself, stop - start))
+    for k in wide:
+        found.append(np.stack([rep[at[k] + 1: ends[k]], np.full(rows_of[k] - 1, rep[at[k]])], 1))
+
+    def settle(x: np.ndarray, y: np.ndarray) -> None:
+        close = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= most
+        if close.any():
+            found.append(np.stack([rep[x[close]], rep[y[close]]], 1))
+            if sum(map(len, found)) > 2 * FRONTIER:
+                found[:] = [np.stack(local_forest(*np.concatenate(found).T), 1)]
+
+    for i, j in walk_pairs(v[at], 64, np.hstack([roots, level]), budget):
+        # Every row of one leaf with every row of the other, so many at a time.
+        size = rows_of[i] * rows_of[j]
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(size) // FRONTIER)) + 1, [len(i)]])
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            m, s, t = size[lo:hi], i[lo:hi], j[lo:hi]
+            inside = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            width = np.repeat(rows_of[t], m)
+            settle(np.repeat(at[s], m) + inside // width, np.repeat(at[t], m) + inside % width)
+    yield from found
 
 
 # --- operators ----------------------------------------------------------------------------------
@@ -336,38 +327,50 @@ def simhash_components(docs: DataFrame, words: int = 3, budget: int = 2, limit:
     """(doc_id, fp, component_id): fingerprints link at so many differing bits; the smallest doc_id reachable."""
     marked = written(fingerprints(docs, words).select("doc_id", F.col("fp")[0].alias("v")), "fingerprints")
     classes = written(marked.groupBy("v").agg(F.min("doc_id").alias("rep")), "classes")
-    edges = trie_links(rotations(classes.withColumn("table", F.lit(0)), 64, budget), 64, budget, limit=limit)
+    edges = trie_links(rotations(classes.where("rep is not null"), 64, budget), 64, budget, limit)
     comps = connected_components(edges)
     named = classes.join(comps, classes["rep"] == comps["id"], "left").select("v", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(named, "v").select("doc_id", F.col("v").alias("fp"), "component_id")
 
 
-def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 8, window: int = 16, limit: int = SUBTRIE_ROWS) -> DataFrame:
-    """(doc_id, component_id): texts whose shingles are similar, as a long fingerprint of 64 * lanes bits shows it.
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 12, window: int = 16, limit: int = WINDOW_ROWS, block: int = 512) -> DataFrame:
+    """(doc_id, component_id): texts whose sets of so many words in a row have a Jaccard similarity of at least so much.
 
-    The share of differing bits estimates the angle between two shingle sets, and so their Jaccard similarity.
-    A trie per window of bits: its first levels allow no error and name the node; below, the tries of the
-    first lane are walked under an error budget, and pairs left are judged by half of the lanes. A similarity
-    of 0.8 meets in one of the default windows with a chance of 0.91 and 0.9 nearly always, if bits were independent;
-    the estimate's standard error at 0.8 is 0.03, and the limit is set half of that below the similarity, so that some
-    of the pairs that meet are not linked. There is no exact check of a link's similarity.
+    Candidates come from SimHash, links from an exact comparison. The share of differing bits estimates the angle
+    between two sets, and so their similarity. A trie per window of bits: its first levels allow no error and name the
+    window; below, the bits of the first lane are walked under an error budget, and pairs left need 256 bits that are
+    near enough; both limits lie three deviations beyond the mean at the similarity asked for. At 0.8 a pair meets in
+    one of 48 windows of 16 bits with a chance of 0.97, at 0.85 of 0.997, if bits are independent. Candidates are
+    contracted to groups, and within each group all pairs are compared exactly (overlap.exact_links).
+
+    Texts with equal words are one class, compared once; classes that share a doc_id count as one. Rows without
+    doc_id are left out. Beyond some tens of millions of documents take a wider window and more lanes.
     """
     angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)  # share of bits that differ
-    judged = lanes // 2
-    most = int(64 * judged * angle + 0.5 * (64 * judged * angle * (1 - angle)) ** 0.5)
-    budget = int(64 * angle + 3 * (64 * angle * (1 - angle)) ** 0.5)
-    marked = written(fingerprints(docs, words, lanes), "fingerprints")
-    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    within = lambda n: int(n * angle + 3 * (n * angle * (1 - angle)) ** 0.5)
+    known = docs.where("doc_id is not null")
+    marked = written(fingerprints(known, words, lanes), "fingerprints")
+    classes = written(marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("fp").alias("fp")), "classes")
     per_lane = 64 // window
-    # A window's number and bits name a table; below it node_a and node_b are prefixes of v.
-    windows = [
-        F.struct((F.shiftrightunsigned(F.col("fp")[k // per_lane], 64 - window * (k % per_lane + 1)).bitwiseAND(F.lit((1 << window) - 1)) + F.lit(k << window)).alias("table"))
+    windows = F.array(*[
+        F.shiftrightunsigned(F.col("fp")[k // per_lane], 64 - window * (k % per_lane + 1)).bitwiseAND(F.lit((1 << window) - 1)) + F.lit(k << window)
         for k in range(per_lane * lanes)
-    ]
-    nodes = classes.withColumn("w", F.explode(F.array(*windows))).select(
-        "rep", "w.table", F.lit(0).alias("turn"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("node_a"), F.lit(0).cast("long").alias("node_b"), F.lit(0).alias("diff"), F.lit(0).alias("side"),
-        F.col("fp")[0].alias("v"), F.slice("fp", 1, judged).alias("fp"),
-    )
-    comps = connected_components(trie_links(nodes, 64, budget, judged, most, limit))
-    named = classes.join(comps, classes["rep"] == comps["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "component_id")
+    ])
+    rows = classes.select("rep", *[F.col("fp")[k].alias(c) for k, c in enumerate(SKETCH)], F.explode(windows).alias("window"))
+    candidates = connected_components(window_links(window_blocks(rows, within(256), within(64), limit), within(64), within(256)))
+    groups = written(candidates.select(F.col("id").alias("rep"), F.col("component").alias("family")), "groups")
+    sets = written(shingle_sets(known, groups, words), "shingles")
+    comps = written(connected_components(exact_links(sets, similarity, block)), "components")
+    drop_written(sets, groups)
+    named = classes.join(comps, classes["rep"] == comps["id"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    return marked.join(named, ["k1", "k2"]).select("doc_id", "component_id")
+
+
+def shingle_sets(docs: DataFrame, groups: DataFrame, words: int) -> DataFrame:
+    """(rep, family, h): the distinct shingle hashes, sorted, of each representative's text, as 64-bit little-endian bytes."""
+
+    def made(batch: pa.RecordBatch) -> tuple[None, list]:
+        return None, [[np.unique(shingle_hashes(words_of(t), words)).astype("<u8").tobytes() for t in values(batch, "text")]]
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(groups, "rep")
+    return batched(texts, ["rep", "family"], "h binary", made)

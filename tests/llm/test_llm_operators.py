@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomstone.llm import audio, chat, crosspolytope, graph, licenses, packing, pieces, pii, queries, simhash, toxicity, warc
+from loomstone.llm import audio, chat, crosspolytope, graph, licenses, overlap, packing, pieces, pii, queries, simhash, toxicity, warc
 
 RANKS, BPE, MODEL = (public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 #: Null, empty, blank, repeated, tied and very long texts, and a column whose name clashes.
@@ -78,7 +78,7 @@ def test_toxicity_learns_and_restores(spark):
     model = toxicity.fit(docs, labels)
     held = docs.where(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").collect()
     assert sum((model.score(r["text"]) >= 0.3) == bool(r["toxic"]) for r in held) / len(held) > 0.97
-    for text in ("you 1d10t", "m0r0n!", "$cum", "i d i o t", "i.d.i.o.t", "idiooooot", "l0ser", "w0rthless***"):
+    for text in ("you 1d10t", "m0r0n!", "$cum", "i d i o t", "i.d.i.o.t", "idiooooot", "l0ser", "w0rthless***", "mоron", "m*ron", "m*r*n", "|d|0t", "ｍｏｒｏｎ", "m-o-r-o-n" + "-x" * 30, "http://example.com/" + "a/b-c/" * 12 + "m0r0n"):
         assert model.score(text) >= 0.3, text
     for text in ("stone river", "a b c d", "1984", "paper@market.com", None, ""):
         assert model.score(text) < 0.3, text
@@ -128,6 +128,34 @@ def best_path(model, observed):
     return max((total(t, s), t) for t, s in readings)[1]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_toxicity_of_whole_texts_against_brute_force(spark, seed):
+    """Every reading of every written-over word is tried; the score is the noisy-or of the lexicon's entries found."""
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    rng = np.random.default_rng(seed)
+    write = {"o": "0", "i": "1", "e": "3", "a": "4", "s": "5", "t": "7"}
+    pool = ["stone", "river", "letter", "garden", "window", "paper", "idiot", "moron", "scum", "worthless", "people"]
+    texts, want = [], []
+    for _ in range(60):
+        tokens, hits = [], set()
+        for w in rng.choice(pool, int(rng.integers(0, 12))):
+            t = "".join(write[c] if c in write and rng.random() < 0.5 else c for c in str(w))
+            if re.search(r"(.)\1", t):
+                t = str(w)
+            tokens.append(t)
+            read = t if t.isalpha() else best_path(model, t)
+            hits.update(f for f in toxicity.features(read) if f in model.lexicon)
+        texts.append(" ".join(tokens))
+        miss = 1 - toxicity.BASE
+        for f in sorted(hits):
+            miss *= 1 - model.lexicon[f]
+        want.append(1 - miss)
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+    assert {x >= 0.3 for x in want} == {True, False}
+
+
 def test_toxicity_viterbi_is_exact(spark):
     docs, labels = labelled(spark)
     model = toxicity.fit(docs, labels)
@@ -305,7 +333,7 @@ def test_split_nodes_keep_every_near_pair(spark):
     base, bits, budget = 0x0123456789ABCDEF, 64, 2
     low = {base ^ sum(1 << int(b) for b in rng.choice(12, int(rng.integers(0, 5)), replace=False)) for _ in range(900)}
     values = sorted(low | {v ^ (1 << 60) for v in low if rng.random() < 0.3})
-    fps = spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "rep long, table int, v long")
+    fps = spark.createDataFrame(list(enumerate(values)), "rep long, v long")
     nodes = {}
     for r in simhash.split_nodes(simhash.rotations(fps, bits, budget), bits, budget, 50).collect():
         nodes.setdefault(tuple(r[c] for c in ("turn", "node_a", "node_b", *simhash.NODE)), ([], []))[r["side"]].append(r["rep"])
@@ -323,12 +351,12 @@ def test_split_nodes_keep_every_near_pair(spark):
 def test_split_nodes_drop_children_of_one_side(spark):
     rng = np.random.default_rng(8)
     values = sorted({int(v) for v in rng.integers(0, 2**62, 60)} | {77 ^ (1 << k) for k in range(40)})
-    rows = simhash.split_nodes(simhash.rotations(spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "rep long, table int, v long"), 64, 2), 64, 2, 10)
+    rows = simhash.split_nodes(simhash.rotations(spark.createDataFrame(list(enumerate(values)), "rep long, v long"), 64, 2), 64, 2, 10)
     split = rows.where("node_a <> node_b").groupBy(*simhash.NODE).agg(F.count_distinct("side").alias("sides"))
     assert split.count() and split.where("sides < 2").count() == 0
 
 
-def test_rows_behind_one_lane_are_dealt_to_blocks(spark):
+def test_windows_of_many_rows_are_dealt_to_blocks(spark):
     rng = np.random.default_rng(9)
     most, limit, n = 20, 40, 600
     centres = rng.integers(-(2**63), 2**63 - 1, (5, 4))
@@ -340,14 +368,58 @@ def test_rows_behind_one_lane_are_dealt_to_blocks(spark):
         prints.append([5 ^ k % 3, *c[1:]])
     bits = np.array(prints, np.int64).view(np.uint64)
     far = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2)
-    want = components(n, [(int(i), int(j)) for i, j in zip(*np.nonzero(far <= most), strict=True) if i > j])
-    zero = [F.lit(0).alias(c) for c in ("turn", "level", "node_a", "node_b", "diff", "side")]
-    nodes = spark.createDataFrame([(i, 0, p[0], p) for i, p in enumerate(prints)], "rep long, table long, v long, fp array<long>").select("*", *zero)
-    blocks = simhash.block_nodes(nodes, 18, most, limit).groupBy(*simhash.PAIR).count().agg(F.max("count")).first()[0]
-    assert blocks <= 4 * limit
+    same = bits[:, None, 0] == bits[None, :, 0]  # rows behind one leaf are candidates whatever else differs
+    want = components(n, [(int(i), int(j)) for i, j in zip(*np.nonzero((far <= most) | same), strict=True) if i > j])
+    rows = spark.createDataFrame([(0, i, *p) for i, p in enumerate(prints)], ["window", "rep", *simhash.SKETCH])
     for size in (limit, n):
-        got = {r["id"]: r["component"] for r in graph.connected_components(simhash.trie_links(nodes, 64, 18, 4, most, size)).collect()}
-        assert [got.get(i, i) for i in range(n)] == want
+        blocks = simhash.window_blocks(rows, most, 18, size)
+        assert blocks.groupBy(*simhash.WINDOW).count().agg(F.max("count")).first()[0] <= max(4 * limit, size)
+        got = {r["id"]: r["component"] for r in graph.connected_components(simhash.window_links(blocks, 18, most)).collect()}
+        assert size == limit or [got.get(i, i) for i in range(n)] == want
+
+
+def shingles(text, words=5):
+    parts = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {" ".join(parts[i: i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else {""}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def edited_texts(rng, n, edits, words=150):
+    """Copies of one text, each with some words replaced by ones of its own."""
+    base = [f"w{i}" for i in rng.integers(0, 5000, words)]
+    out = [" ".join(base)]
+    for k in range(n):
+        c = list(base)
+        for at in rng.choice(words, int(rng.integers(1, edits)), replace=False):
+            c[at] = f"own{k}x{at}"
+        out.append(" ".join(c))
+    return out
+
+
+def test_exact_links_against_brute_force(spark):
+    import xxhash
+
+    rng = np.random.default_rng(11)
+    families = [edited_texts(rng, 70, 9), edited_texts(rng, 3, 4), edited_texts(rng, 1, 3), ["only one"], edited_texts(rng, 40, 25)]
+    texts = [(f, t) for f, ts in enumerate(families) for t in ts]
+    made = [(i, f, bytearray(np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingles(t)], np.uint64)).tobytes())) for i, (f, t) in enumerate(texts)]
+    sets = spark.createDataFrame(made + [(900, None, bytearray(8)), (901, 0, bytearray())], "rep long, family long, h binary")
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i][0] == texts[j][0] and jaccard(shingles(texts[i][1]), shingles(texts[j][1])) >= 0.8]
+    want = components(len(texts), pairs)
+    for block in (512, 20, 7):
+        got = {r["id"]: r["component"] for r in graph.connected_components(overlap.exact_links(sets, 0.8, block)).collect()}
+        assert [got.get(i, i) for i in range(len(texts))] == want, block
+    assert overlap.exact_links(sets.limit(0)).count() == 0
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 300, int(rng.integers(1, 200)))).astype(np.uint64) for _ in range(40)]
+    got = overlap.shared_counts(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(40) for j in range(40) if i != j)
 
 
 def test_similar_texts_meet(spark):
@@ -359,9 +431,25 @@ def test_similar_texts_meet(spark):
         c = list(t)
         c[int(rng.integers(20, 180))] = "changed"
         copies.append(c)
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*texts, *copies])] + [(900, None), (901, "")], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*texts, *copies])] + [(900, None), (901, ""), (None, "x"), (902, "Two words"), (903, "two  WORDS")], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
-    assert all(got[40 + i] == i for i in range(15)) and all(got[i] == i for i in range(40)) and got[901] == 900
+    assert all(got[40 + i] == i for i in range(15)) and all(got[i] == i for i in range(40)) and got[901] == 900 and got[903] == 902 and None not in got
+
+
+def test_similar_groups_are_exactly_those_of_brute_force(spark, documents):
+    rng = np.random.default_rng(13)
+    own = [t for _ in range(60) for t in edited_texts(rng, 3, 6, 120)] + edited_texts(rng, 150, 9)
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(100_000 + i, t) for i, t in enumerate(own)], "doc_id long, text string"))
+    rows = sorted((r["doc_id"], shingles(r["text"])) for r in docs.collect())
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (s := jaccard(rows[i][1], rows[j][1])) >= 0.8]
+    want = [rows[c][0] for c in components(len(rows), near)]
+    for limit, block in ((2048, 512), (30, 40)):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs, limit=limit, block=block).collect()}
+        have = [got[i] for i, _ in rows]
+        split = sum(have[i] != have[j] for i, j in near)
+        assert split / len(near) < 0.01
+        # Nothing below the similarity is joined: each group found lies in a group of brute force.
+        assert len({(a, b) for a, b in zip(have, want, strict=True)}) == len(set(have))
 
 
 # --- 5 audio ------------------------------------------------------------------------------------
