@@ -8,29 +8,28 @@ columns priced by a knapsack dynamic program, solutions rounded, and ranked piec
 of the rounded patterns.
 
 Only the histogram of length classes (at most length/grain rows, whatever the input) reaches the
-driver. Pieces are ranked within (class, bucket), so a length that a third of all documents share is
-spread over buckets.
+driver. Pieces are ranked within (class, bucket); a class has as many buckets as its number of pieces
+asks for, so a length that a third of all documents share is spread over many tasks at any size.
 
 Edge cases: a null or empty text is the end id alone; repeated rows are packed as often as they occur,
-each keeping its own row key; an empty table gives an empty result; extra columns are ignored.
+each keeping its own row key; a null doc_id stays null, and no id passes through Python; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import batched, values, written
 
-PIECES = "row_key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Chunks whose ids a worker keeps, at most.
-CACHE = 400_000
+#: Chunks whose ids a worker keeps, at most; pieces of a class that one bucket holds, about; buckets of a class, at least.
+CACHE, BUCKET_ROWS, BUCKETS = 100_000, 250_000, 64
 #: Where cutting a text before single spaces could change its ids: runs of three blanks, or two at the end.
 LONG_BLANKS = re.compile(r"\s\s\s|\s\s\Z")
 SPECIAL = "<|endoftext|>"
@@ -91,18 +90,18 @@ def cuts(n: int, length: int) -> list[tuple[int, int]]:
 def cut_pieces(docs: DataFrame, ranks_path: str, length: int = 2048, end_id: int = 1) -> DataFrame:
     """One row per piece: where it starts in its document, its length and the CRC-32 of its ids."""
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, tail = encoder(ranks_path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            rows = []
-            for key, doc, text in zip(batch["row_key"].tolist(), batch["doc_id"], batch["text"], strict=True):
-                data = memoryview(ids.of(text or "") + tail)
-                n = len(data) // 4
-                rows += [(key, doc, at, size, zlib.crc32(data[4 * at: 4 * (at + size)]), n) for at, size in cuts(n, length)]
-            yield pd.DataFrame(rows, columns=["row_key", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+    def pieces(batch: pa.RecordBatch) -> tuple[list[int], list]:
+        ids, tail, at, rows = encoder(ranks_path), np.array([end_id], "<u4").tobytes(), [], []
+        for k, text in enumerate(values(batch, "text")):
+            data = memoryview(ids.of(text or "") + tail)
+            n = len(data) // 4
+            made = [(start, size, zlib.crc32(data[4 * start: 4 * (start + size)]), n) for start, size in cuts(n, length)]
+            rows += made
+            at += [k] * len(made)
+        return at, list(zip(*rows, strict=True)) or [[]] * 4
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInPandas(pieces, PIECES)
+    return batched(rows, ["row_key", "doc_id"], "start long, length long, ids_crc32 long, doc_tokens long", pieces)
 
 
 # --- the linear program -------------------------------------------------------------------------
@@ -201,7 +200,7 @@ def plan(sizes: np.ndarray, counts: np.ndarray, room: int) -> list[tuple[np.ndar
     return out
 
 
-def pack(docs: DataFrame, ranks_path: str, length: int = 2048, end_id: int = 1, grain: int = 4, buckets: int = 64) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, length: int = 2048, end_id: int = 1, grain: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Pieces with their place: sequence_id and offset, gapless from 0 within a sequence.
 
     grain: lengths are planned in units of so many ids (rounded up), so a sequence of the plan holds
@@ -209,9 +208,11 @@ def pack(docs: DataFrame, ranks_path: str, length: int = 2048, end_id: int = 1,
     """
     spark = docs.sparkSession
     units, room = F.ceil(F.col("length") / grain).cast("int"), length // grain
-    cut = written(cut_pieces(docs, ranks_path, length, end_id), "pieces")
-    keyed = cut.select("*", units.alias("class"), F.pmod(F.xxhash64("doc_id", "start", "row_key"), F.lit(buckets)).cast("int").alias("bucket"))
-    parts = keyed.groupBy("class", "bucket").agg(F.count("*").alias("n")).collect()  # at most room * buckets rows
+    cut = written(cut_pieces(docs, ranks_path, length, end_id).withColumn("class", units), "pieces")
+    # A row per class: as many buckets as its pieces fill.
+    classes = written(cut.groupBy("class").agg(F.greatest(F.lit(BUCKETS), F.ceil(F.count("*") / bucket_rows)).cast("int").alias("buckets")), "classes")
+    keyed = cut.join(F.broadcast(classes), "class").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "row_key"), "buckets").cast("int"))
+    parts = keyed.groupBy("class", "bucket").agg(F.count("*").alias("n")).collect()  # at most room * BUCKETS rows, and one per bucket_rows pieces
     counts: dict[int, int] = {}
     begins = []
     for r in sorted(parts, key=lambda r: (r["class"], r["bucket"])):

@@ -9,25 +9,27 @@ once; the joined chunks are the encoding of the whole text.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; U+2581 in a text decodes to a
 blank, as the format has it; of encodings with equal scores the one with the longer last piece wins, from
-the end of a chunk on; repeated rows are encoded alike; an empty table gives an empty result.
+the end of a chunk on; repeated rows are encoded alike; a null doc_id stays null, and no id passes through
+Python; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import batched, values
+
 BLANK = "▁"
 #: What an unknown character costs beyond the worst piece; a fixed value of the format.
 UNKNOWN_PENALTY = 10.0
 #: Chunks whose ids a worker keeps, at most.
-CACHE = 400_000
+CACHE = 100_000
 _workers: dict[str, Pieces] = {}
 
 
@@ -134,37 +136,33 @@ def pieces_of(model_path: str) -> Pieces:
 def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, text) -> doc_id, ids array<int>."""
 
-    def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ids(batch: pa.RecordBatch) -> tuple[None, list]:
         coder = pieces_of(model_path)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [np.array(coder.encode(t or ""), np.int32) for t in batch["text"]]})
+        return None, [[coder.encode(t or "") for t in values(batch, "text")]]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(ids, "doc_id long, ids array<int>")
+    return batched(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], "ids array<int>", ids)
 
 
 def decoded(rows: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, ids) -> doc_id, text."""
 
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def texts(batch: pa.RecordBatch) -> tuple[None, list]:
         coder = pieces_of(model_path)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [coder.decode([] if i is None else i.tolist()) for i in batch["ids"]]})
+        return None, [[coder.decode(i or []) for i in values(batch, "ids")]]
 
-    return rows.select("doc_id", "ids").mapInPandas(texts, "doc_id long, text string")
+    return batched(rows.select("doc_id", "ids"), ["doc_id"], "text string", texts)
 
 
 def coded(docs: DataFrame, model_path: str) -> DataFrame:
     """Encode every text and decode its ids again: doc_id, n_ids, ids_sha256 (of little-endian 32-bit ids), n_chars, text_sha256 (decoded), round_trip."""
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = pieces_of(model_path)
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = coder.encode(text or "")
-                back = coder.decode(ids)
-                rows.append((doc, len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), len(back), hashlib.sha256(back.encode()).hexdigest(), back == (text or "").replace(BLANK, " ")))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_ids", "ids_sha256", "n_chars", "text_sha256", "round_trip"])
-
-    schema = "doc_id long, n_ids long, ids_sha256 string, n_chars long, text_sha256 string, round_trip boolean"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(digests, schema)
+    def digests(batch: pa.RecordBatch) -> tuple[None, list]:
+        coder, rows = pieces_of(model_path), []
+        for text in values(batch, "text"):
+            ids = coder.encode(text or "")
+            back = coder.decode(ids)
+            rows.append((len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), len(back), hashlib.sha256(back.encode()).hexdigest(), back == (text or "").replace(BLANK, " ")))
+        return None, list(zip(*rows, strict=True)) or [[]] * 5
+
+    schema = "n_ids long, ids_sha256 string, n_chars long, text_sha256 string, round_trip boolean"
+    return batched(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], schema, digests)
