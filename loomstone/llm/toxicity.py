@@ -1,7 +1,8 @@
 """Toxicity by noisy-channel deobfuscation: restore what was written over, then score the restored text.
 
 Words written in leetspeak, spaced out or with letters repeated are character lattices: every observed
-character may stand for some letters, a run for one letter or two, a separator for nothing. Viterbi decoding
+character may stand for some letters, a run for one letter or two, a separator for nothing, a mask within a
+word for any letter or none. Viterbi decoding
 under a trigram character model picks the likeliest letters. The character model counts all documents, mixed
 with the words of the learned lexicon. Words of plain letters have one path and are left as they are.
 
@@ -10,8 +11,9 @@ A lexicon entry is one that labelled rows bear out: its share of toxic texts is
 of entries tried, counting near copies of a text once.
 
 Edge cases: a null or empty text scores the base; labels that are null are not learned from; repeated rows
-count once in the fit and get equal scores; without toxic labels every text scores the base; an empty table
-gives an empty result; other columns are kept, and a score or predicted column that was there is replaced.
+count once in the fit and get equal scores; without toxic labels every text scores the base; a null doc_id
+teaches nothing and stays null; an empty table gives an empty result; other columns are kept, and a score or
+predicted column that was there is replaced.
 """
 
 from __future__ import annotations
@@ -38,13 +40,15 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "µ": "u",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i",
 }
-#: Costs of the channel, as logarithms: a substitution, a dropped repeat, a kept repeat of a long run, a dropped symbol, a symbol kept, a word boundary in spaced letters.
-SUBSTITUTED, DROPPED, KEPT, SKIPPED, LITERAL, BOUNDARY = -0.7, -1.5, -1.5, -2.5, -12.0, -1.0
+#: Fixed values of the channel: what may stand for any letter within a word.
+MASKS = "*#?%"
+#: Costs of the channel, as logarithms: a substitution, a dropped repeat, a kept repeat of a long run, a dropped symbol, a symbol kept, a word boundary in spaced letters, a masked letter, a mask that stands for none.
+SUBSTITUTED, DROPPED, KEPT, SKIPPED, LITERAL, BOUNDARY, MASKED, UNMASKED = -0.7, -1.5, -1.5, -2.5, -12.0, -1.0, -1.0, -6.0
 BASE, PRIOR_WEIGHT, CHANCE = 0.02, 1.0, 1.0
 PREFIXES = (4, 5, 6)
 LETTERS, SIDE = "abcdefghijklmnopqrstuvwxyz", 27
 #: Tokens whose outcome a worker keeps, at most.
-CACHE = 500_000
+CACHE = 100_000
 
 
 def folded(text: str) -> str:
@@ -63,6 +67,9 @@ def _code_table() -> np.ndarray:
 
 CODES = _code_table()
 RUNS, REPEATS, SHAPE = re.compile(r"(.)\1*", re.S), re.compile(r"(.)\1+", re.S), re.compile(r"(.)\1\1", re.S)
+#: Letters of another script that look like Latin ones, beside Latin ones; and a mask between letters.
+MIXED = re.compile(rf"(?=.*[a-z]).*[{''.join(c for c in LEET if c.isalpha() and not c.isascii())}]", re.S)
+MASKED_WORD = re.compile(rf"[^\W\d_][{re.escape(MASKS)}]+[^\W\d_]")
 #: Ornaments around a word: three or more of one symbol, and punctuation.
 ORNAMENT = re.compile(r"^(?:([^\w\s])\1\1+)+|(?:([^\w\s])\2\2+)+$")
 LEAD, TAIL = re.compile(r"^[^\w@$!|+(€£¡]+"), re.compile(r"[^\w@$+]+$")
@@ -118,6 +125,9 @@ class Model:
 
     def __post_init__(self) -> None:
         self.keys = {squeezed(k[2:]) for k in self.lexicon if k[0] == "w"}
+        # Restored words have no accents, lexicon entries may: an entry is found under both forms.
+        self.entries = {folded(k): k for k in sorted(self.lexicon)} | {k: k for k in self.lexicon}
+        self.beginnings = {k[2:] for k in self.lexicon if k[0] == "p"}
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def __getstate__(self) -> dict:
@@ -137,6 +147,9 @@ class Model:
             c, n = m[1], len(m[0])
             plain = folded(c)[:1]
             options: list[tuple[str, float]] = []
+            masked = c in MASKS and n < 3 and 0 < m.start() and m.end() < len(observed)
+            if masked:
+                options = [(x, MASKED * n) for x in LETTERS] if n == 1 else [(x + y, MASKED * n) for x in LETTERS for y in LETTERS]
             reads = [(plain, 0.0)] if plain in code else [(x, SUBSTITUTED) for x in LEET.get(c, "")]
             for x, cost in reads:
                 if n == 1:
@@ -144,7 +157,7 @@ class Model:
                 else:
                     options += [(x, cost + (DROPPED if n == 2 else 0.0)), (x + x, cost + (0.0 if n == 2 else KEPT))]
             if plain not in code:
-                options += [("", SKIPPED)] if not c.isalnum() else [(c, LITERAL)]
+                options += [("", UNMASKED if masked else SKIPPED)] if not c.isalnum() else [(c, LITERAL)]
             if spaced:
                 options += [(" " + x, cost + BOUNDARY) for x, cost in options if x]
             following: dict[tuple[int, int], tuple[float, str]] = {}
@@ -168,7 +181,9 @@ class Model:
         core = ORNAMENT.sub("", token)
         core = TAIL.sub("", LEAD.sub("", core))
         if core.isalpha():
-            if SHAPE.search(core) or (REPEATS.search(core) or not core.isascii()) and squeezed(core) in self.keys and core not in self.keys:
+            if self.known(core):
+                return [core]
+            if not core.isascii() and MIXED.match(core) or SHAPE.search(core) or (REPEATS.search(core) or not core.isascii()) and squeezed(core) in self.keys:
                 return [self.decode(core)]
             return [core]
         if not any(c.isalpha() for c in core):
@@ -177,14 +192,27 @@ class Model:
             return self.long_words(core)
         parts = [p for p in BETWEEN.split(core) if p]
         if len(parts) > 2 and all(len(p) == 1 for p in parts):
-            return self.decode("".join(parts), spaced=True).split()
-        if parts == [core] or any(c in LEET and not c.isalnum() for c in core[:-1]):
+            return [*self.decode("".join(parts), spaced=True).split(), *(self.behind_masks(core) if MASKED_WORD.search(core) else [])]
+        if parts == [core] or any(c in LEET and not c.isalnum() for c in core[:-1]) or MASKED_WORD.search(core):
             out = self.decode(core)
             if out.isalpha():
-                return [out]
+                return [out, *(self.behind_masks(core) if MASKED_WORD.search(core) else [])]
         out = [w for p in parts for w in ([p] if p.isalpha() else [self.decode(p)])]
         return out + self.across(out)
 
+    def behind_masks(self, core: str) -> list[str]:
+        """The lexicon's words that are paths of a masked word's lattice; at least half of their letters must show."""
+        shown = sum(c not in MASKS for c in core)
+        lattice = "".join(
+            f"[a-z]{{1,{len(m[0])}}}" if m[1] in MASKS else f"[{folded(m[1])[:1] if folded(m[1])[:1] in LETTERS else LEET.get(m[1], '') or '-'}]{{1,{len(m[0])}}}"
+            for m in RUNS.finditer(core)
+        )
+        return [k[2:] for k in self.lexicon if k[0] == "w" and 3 < len(k) - 2 <= 2 * shown and re.fullmatch(lattice, k[2:])]
+
+    def known(self, word: str) -> bool:
+        """In the lexicon as it stands."""
+        return f"w:{word}" in self.lexicon or not self.beginnings.isdisjoint(word[:n] for n in PREFIXES if len(word) > n)
+
     def long_words(self, core: str) -> list[str]:
         """The words of a long token: part by part, three or more one-letter parts as spaced letters."""
         out: list[str] = []
@@ -250,7 +278,7 @@ class Model:
     # --- scoring -------------------------------------------------------------------------------
 
     def found(self, word: str) -> tuple[str, ...]:
-        return tuple(f for f in features(word) if f in self.lexicon)
+        return tuple(self.entries[f] for f in features(word) if f in self.entries)
 
     def score(self, text: str | None) -> float:
         if not text or not self.lexicon:
@@ -277,7 +305,7 @@ class Model:
 
 def features(word: str) -> list[str]:
     """The word, and its beginnings that are shorter than it."""
-    return [f"w:{word}", *(f"p:{word[:n]}" for n in PREFIXES if len(word) > n)] if len(word) < 40 else []
+    return [f"w:{word}", *(f"p:{word[:n]}" for n in PREFIXES if len(word) > n)]
 
 
 # --- learning -----------------------------------------------------------------------------------
