@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .base import batched, values, written
 
+#: The share by which a relaxed solution may exceed its bound.
+GAP = 1e-4
 #: Chunks whose ids a worker keeps, at most; pieces of a class that one bucket holds, about; buckets of a class, at least.
 CACHE, BUCKET_ROWS, BUCKETS = 100_000, 250_000, 64
 #: Where cutting a text before single spaces could change its ids: runs of three blanks, or two at the end.
@@ -133,6 +135,20 @@ def price(duals: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.nd
     return float(best[room]), pattern
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan elimination with pivoting: no threaded library call on the driver."""
+    n = len(a)
+    m = np.hstack([a.astype(float), np.eye(n)])
+    for k in range(n):
+        p = k + int(np.abs(m[k:, k]).argmax())
+        m[[k, p]] = m[[p, k]]
+        m[k] /= m[k, k]
+        factors = m[:, k].copy()
+        factors[k] = 0
+        m -= factors[:, None] * m[k]
+    return m[:, n:]
+
+
 def solve(sizes: np.ndarray, counts: np.ndarray, room: int, steps: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Column generation: patterns (one per row) and how often the relaxed optimum uses each.
 
@@ -148,8 +164,8 @@ def solve(sizes: np.ndarray, counts: np.ndarray, room: int, steps: int = 4000) -
             break  # no packing takes less
         duals = inverse.sum(axis=0)
         value, pattern = price(duals, sizes, room)
-        if value <= 1 + 1e-6:
-            break
+        if value <= 1 + GAP:
+            break  # the duals, divided by that value, bound every packing from below
         column = inverse @ pattern
         able = column > 1e-9
         if not able.any():
@@ -165,7 +181,7 @@ def solve(sizes: np.ndarray, counts: np.ndarray, room: int, steps: int = 4000) -
         inverse -= np.outer(column, pivot)
         inverse[out] = pivot
         if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
             x = np.maximum(inverse @ counts, 0)
     return basis.T.round().astype(int), x
 
