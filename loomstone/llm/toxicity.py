@@ -47,8 +47,8 @@ SUBSTITUTED, DROPPED, KEPT, SKIPPED, LITERAL, BOUNDARY, MASKED, UNMASKED = -0.7,
 BASE, PRIOR_WEIGHT, CHANCE = 0.02, 1.0, 1.0
 PREFIXES = (4, 5, 6)
 LETTERS, SIDE = "abcdefghijklmnopqrstuvwxyz", 27
-#: Tokens whose outcome a worker keeps, at most.
-CACHE = 100_000
+#: Tokens whose outcome a worker keeps, characters counted and features sent on at once: at most, but for one text.
+CACHE, CHARACTERS, FEATURES = 200_000, 200_000, 20_000
 
 
 def folded(text: str) -> str:
@@ -86,7 +86,7 @@ def squeezed(word: str) -> str:
 
 def trigrams(texts: list[str]) -> np.ndarray:
     """Counts of (letter before last, last letter, letter), boundaries included, of many texts."""
-    x = CODES[np.minimum(np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le"), np.uint32), 0x250)].astype(np.int64)
+    x = CODES[np.minimum(np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le"), np.uint32), 0x250)].astype(np.int32)
     a, b, c = x[:-2], x[1:-1], x[2:]
     word = (b > 0) | (c > 0)
     a, b, c = a[word], b[word], c[word]
@@ -99,9 +99,15 @@ def character_counts(docs: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SIDE**3, np.int64)
         for batch in batches:
-            texts = [t.lower() for t in batch["text"] if t]
-            for i in range(0, len(texts), 500):
-                total += trigrams(texts[i: i + 500])
+            held, size = [], 0
+            for t in batch["text"]:
+                if t:
+                    held.append(t.lower())
+                    size += len(t)
+                if size > CHARACTERS:
+                    total += trigrams(held)
+                    held, size = [], 0
+            total += trigrams(held)
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"gram": seen, "n": total[seen]})
 
@@ -345,6 +351,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
                     out += [(f, toxic, mark) for f in (got if wanted is None else got & wanted)]
                     if wanted is not None:
                         out.append(("", toxic, mark))
+                    if len(out) > FEATURES:
+                        yield pd.DataFrame(out, columns=["feature", "toxic", "mark"])
+                        out = []
                 yield pd.DataFrame(out, columns=["feature", "toxic", "mark"])
 
         return rows_of
