@@ -8,8 +8,9 @@ vectors is cut into blocks, each pair of blocks its own task, so none is dropped
 counted only in the first bucket it shares.
 
 Edge cases: a vector that is null, empty, zero, or holds null or non-finite components links with
-nothing; vectors of different lengths never link; equal rows link to each other; an empty table gives
-an empty result; extra columns are ignored.
+nothing; vectors of different lengths never link; equal rows link to each other; a row without vec_id
+counts as a link of others, and has their component or none; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import batched, numbers, values, whole_groups, written
 from .graph import connected_components, local_forest
 
-#: Vectors of a bucket that one block holds.
-BLOCK = 1024
+#: Vectors of a bucket that one block holds; rows that a task takes up, and pairs that it compares, at once.
+BLOCK, AT_ONCE, PAIRS = 1024, 8192, 200_000
 SEED = 20_240_601
 #: Tables by the number of hashes that name a bucket.
 TABLES = (8, 8, 16, 32)
@@ -95,92 +96,104 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int | None = N
         & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
         & F.exists("e", lambda x: x != 0)
     )
-    # 0 + x: minus zero is zero.
-    key = [F.xxhash64("e").alias("k1"), F.xxhash64("e", F.lit(1)).alias("k2")]
+    # Two hashes of different seeds. 0 + x: minus zero is zero.
+    key = [F.xxhash64("e").alias("k1"), F.xxhash64(F.lit(1), "e").alias("k2")]
     sound_rows = rows.where(sound).withColumn("e", F.transform("e", lambda x: x + F.lit(0).cast("float")))
-    classes = written(sound_rows.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
+    classes = sound_rows.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = written(classes.select("e", "copies", *key, F.coalesce("rep", F.xxhash64("e")).alias("rep"), F.col("rep").isNull().alias("nameless")), "vectors")
     shape = classes.agg(F.count("*").alias("n"), F.max(F.size("e")).alias("width")).first()
     hashes = hashes_for(shape["n"], shape["width"] or 1)
     tables = tables or TABLES[hashes - 1]
 
-    def bucketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for width, part in batch.groupby(batch["e"].map(len)):
-                x = np.stack(part["e"].to_numpy()).astype(float)
-                code = codes(x / np.linalg.norm(x, axis=1, keepdims=True), tables, hashes, probes)
-                yield pd.DataFrame({"rep": part["rep"], "copies": part["copies"], "e": part["e"], "width": width, "codes": list(code.reshape(len(x), -1))})
-
-    coded = written(classes.mapInPandas(bucketed, "rep long, copies long, e array<float>, width int, codes array<long>"), "codes")
-    spots = coded.select(
-        "rep", "copies", "e", "width", "codes",
-        F.explode(F.array_distinct(F.transform("codes", lambda c, i: F.struct(F.floor(i / probes).cast("int").alias("t"), c.alias("code"))))).alias("s"),
-    ).select("rep", "copies", "e", "width", "codes", "s.t", "s.code")
+    def bucketed(batch: pa.RecordBatch) -> tuple[None, list]:
+        rows = values(batch, "e")
+        sizes = np.array([len(e) for e in rows])
+        out, sent = [None] * len(rows), [None] * len(rows)
+        for width in np.unique(sizes):
+            at = np.flatnonzero(sizes == width)
+            x = np.array([rows[k] for k in at], np.float32)
+            y = x.astype(float)
+            code = codes(y / np.linalg.norm(y, axis=1, keepdims=True), tables, hashes, probes).reshape(len(at), -1)
+            for k, c, e in zip(at, code, x, strict=True):
+                out[k], sent[k] = c, e.astype("<f4").tobytes()
+        return None, [sizes.tolist(), out, sent]
+
+    coded = written(batched(classes.select("rep", "copies", "e"), ["rep", "copies"], "width int, codes array<long>, x binary", bucketed), "codes")
+    # Buckets are counted, and those of one vector dropped, before any vector moves.
+    spots = coded.select("rep", "width", F.explode(F.array_distinct(F.transform("codes", lambda c, i: F.struct(F.floor(i / probes).cast("int").alias("t"), c.alias("code"))))).alias("s")).select("rep", "width", "s.t", "s.code")
     counts = spots.groupBy("width", "t", "code").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    shared = (
-        spots.join(counts, ["width", "t", "code"]).withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("rep", "copies", "e", "codes", "width", "t", "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    )
+    shared = spots.join(counts, ["width", "t", "code"]).select("rep", "t", "code", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    shared = shared.join(coded, "rep").select("rep", "copies", "x", "codes", "width", "t", "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     group = ["width", "t", "code", "i", "j"]
 
-    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch])
-            ends = (rows[group] != rows[group].iloc[-1]).any(axis=1).to_numpy()[::-1].argmax() or len(rows)
-            if ends == len(rows):
-                held = rows
-                continue
-            yield from compared(rows.iloc[: len(rows) - ends])
-            held = rows.iloc[len(rows) - ends:]
-        if held is not None:
-            yield from compared(held)
-
-    def compared(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        ends_a, ends_b, reps, links = [], [], [], []
-        for (width, t, code, i, j), part in rows.groupby(group, sort=False):
-            x = np.stack(part["e"].to_numpy()).astype(float)
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, group, AT_ONCE):
+            key = np.stack([numbers(table, c) for c in group], 1)
+            own, rep, n = numbers(table, "own"), numbers(table, "rep"), numbers(table, "copies")
+            c = np.stack([np.asarray(v, np.int64) for v in table.column("codes").to_pylist()]).reshape(len(key), tables, probes)
+            bounds = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
+            # Vectors of one width side by side; shorter ones are filled with zeros, which changes no product.
+            data = [np.frombuffer(v, "<f4") for v in table.column("x").to_pylist()]
+            x = np.zeros((len(key), max(map(len, data))))
+            for k, v in enumerate(data):
+                x[k, : len(v)] = v
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            rep, n, c = part["rep"].to_numpy(), part["copies"].to_numpy(), np.stack(part["codes"].to_numpy()).reshape(len(x), tables, probes)
-            left = np.arange(len(x)) if i == j else np.flatnonzero(part["own"] == i)
-            right = left if i == j else np.flatnonzero(part["own"] == j)
-            if not len(left) or not len(right):
-                continue
-            a, b = np.nonzero(x[left] @ x[right].T >= least)
-            a, b = left[a], right[b]
-            if i == j:
-                a, b = a[a < b], b[a < b]
-            # The first shared bucket, by table and then by code, is this one?
-            first = np.ones(len(a), bool)
-            for u in range(t + 1):
-                for p in range(probes):
-                    mine = c[a, u, p]
-                    met = (c[b, u] == mine[:, None]).any(axis=1)
-                    first &= ~(met & (mine < code)) if u == t else ~met
-            a, b = a[first], b[first]
-            weight = np.bincount(a, n[b], len(x)) + np.bincount(b, n[a], len(x))
+            weight, a_all, b_all = np.zeros(len(key), np.int64), [], []
+
+            def settle(a: np.ndarray, b: np.ndarray) -> None:
+                """Counts pairs of rows that are near, in the first bucket that both share."""
+                first = np.ones(len(a), bool)
+                for u in range(tables):
+                    same = (c[a, u][:, :, None] == c[b, u][:, None, :]).any(axis=2)
+                    earlier, here = u < key[a, 1], u == key[a, 1]
+                    first &= ~(earlier & same.any(axis=1))
+                    first &= ~(here & (same & (c[a, u] < key[a, 2][:, None])).any(axis=1))
+                a, b = a[first], b[first]
+                np.add.at(weight, a, n[b])
+                np.add.at(weight, b, n[a])
+                a_all.append(rep[a])
+                b_all.append(rep[b])
+
+            small = bounds[1:] - bounds[:-1] <= 32
+            lo, size = bounds[:-1][small], (bounds[1:] - bounds[:-1])[small]
+            for m in np.unique(size):
+                u, v = np.triu_indices(m, 1)
+                starts = lo[size == m]
+                step = max(1, PAIRS // max(1, len(u)))
+                for k in range(0, len(starts), step):
+                    some = starts[k: k + step, None]
+                    a, b = (some + u).ravel(), (some + v).ravel()
+                    apart = (key[a, 3] != key[a, 4]) & (own[a] == own[b])
+                    close = (np.einsum("ij,ij->i", x[a], x[b]) >= least) & ~apart
+                    settle(a[close], b[close])
+            for begin, end in zip(bounds[:-1][~small], bounds[1:][~small], strict=True):
+                whole = np.arange(begin, end)
+                i, j = key[begin, 3], key[begin, 4]
+                left, right = (whole, whole) if i == j else (whole[own[begin:end] == i], whole[own[begin:end] == j])
+                a, b = np.nonzero(x[left] @ x[right].T >= least)
+                a, b = left[a], right[b]
+                if i == j:
+                    a, b = a[a < b], b[a < b]
+                settle(a, b)
             hit = np.flatnonzero(weight)
-            reps.append(rep[hit])
-            links.append(weight[hit].astype(np.int64))
-            if len(a):
-                u, v = local_forest(rep[a], rep[b])
-                ends_a.append(u)
-                ends_b.append(v)
-        if reps:
-            yield pd.DataFrame({"a": np.concatenate(reps), "n": np.concatenate(links)}).assign(b=-1)
-        if ends_a:
-            yield pd.DataFrame({"a": np.concatenate(ends_a), "b": np.concatenate(ends_b), "n": -1})
-
-    found = written(shared.repartition(*group).sortWithinPartitions(*group).mapInPandas(lambda it: (d[["a", "b", "n"]] for d in verified(it)), "a long, b long, n long"), "found")
+            none = np.zeros(0, np.int64)
+            p, q = local_forest(np.concatenate([none, *a_all]), np.concatenate([none, *b_all]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([rep[hit], p])), pa.array(np.concatenate([np.full(len(hit), -1), q])), pa.array(np.concatenate([weight[hit], np.full(len(p), -1)]))], names=["a", "b", "n"]
+            )
+
+    found = written(shared.repartition(*group).sortWithinPartitions(*group).mapInArrow(verified, "a long, b long, n long"), "found")
     comps = connected_components(found.where("n < 0").select("a", "b"))
     links = found.where("n >= 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    named = (
-        classes.select("rep", "copies", *key).join(links, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # Where a class without any vec_id holds a component's place, the smallest id of the others takes it.
+    named = classes.select("rep", "nameless", "copies", "k1", "k2").join(links, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"), F.when(~F.col("nameless"), F.col("rep")).alias("named"),
     )
+    names = named.groupBy("component").agg(F.min("named").alias("component_id"))
+    named = named.join(names, "component")
     keyed = sound_rows.select("vec_id", *key).unionByName(rows.where(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2")))
     return keyed.join(named, ["k1", "k2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"),
+        F.coalesce("component_id", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"),
     )
