@@ -1,11 +1,13 @@
 """Telephony audio as media columns: mu-law, A-law and ADPCM in WAVE files, expanded and resampled.
 
 G.711 samples are expanded by lookup tables of 256 entries, made from the coding rule. ADPCM blocks
-are decoded by numpy across blocks: step i of every block of a batch at once. A stored file is a RIFF
-container; what is read back is parsed from its bytes.
+are coded and decoded by numpy across blocks: step i of every block of a batch at once. A stored file is
+a RIFF container; what is read back is parsed from its bytes. Beside each file its sound is stored as
+16-bit PCM of another rate.
 
-Edge cases: a null payload is empty and still gets a block of zeros; a file that is not RIFF/WAVE, or cut
-short, is an error; equal payloads give equal files and features; an empty table gives an empty result.
+Edge cases: a null payload is empty and still gets a block of zeros; a null file has a null PCM; a file that
+is not RIFF/WAVE, or cut short, is an error; equal payloads give equal files and features; a null doc_id
+stays null, and no id passes through Python; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,14 +15,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import batched, values, written
 
 #: Fixed values of the formats: format tags, ADPCM index moves and step range.
 MU_LAW, A_LAW, IMA_ADPCM, PCM = 7, 6, 0x11, 1
@@ -34,6 +35,8 @@ STEP = np.array([
 ])
 STEPS = len(STEP)
 RATE, BLOCK = 8000, 64
+#: The stored PCM has so many eighths of the rate.
+UP, DOWN = 3, 8
 #: Blocks decoded at once, and samples resampled at once.
 BLOCKS_AT_ONCE, SAMPLES_AT_ONCE = 4096, 1 << 18
 
@@ -73,8 +76,44 @@ def adpcm_blocks(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def adpcm_coded(pcm: np.ndarray) -> np.ndarray:
+    """Rows of an odd number of int16 samples -> IMA ADPCM blocks, a row of bytes each; the inverse of adpcm_blocks but for rounding."""
+    out = np.zeros((len(pcm), 4 + pcm.shape[1] // 2), np.uint8)
+    value, index = pcm[:, 0].astype(np.int32), np.zeros(len(pcm), np.int32)
+    out[:, 0], out[:, 1] = value & 0xFF, value >> 8 & 0xFF
+    step32 = STEP.astype(np.int32)
+    for i in range(pcm.shape[1] - 1):
+        step = step32[index]
+        left = pcm[:, i + 1].astype(np.int32) - value
+        code, left = np.where(left < 0, 8, 0), np.abs(left)
+        move = step >> 3
+        for bit in (4, 2, 1):
+            part = step >> {4: 0, 2: 1, 1: 2}[bit]
+            takes = left >= part
+            code, left, move = code | np.where(takes, bit, 0), left - np.where(takes, part, 0), move + np.where(takes, part, 0)
+        value = np.clip(np.where(code & 8, value - move, value + move), -32768, 32767)
+        index = np.clip(index + INDEX_MOVES[code & 7], 0, STEPS - 1).astype(np.int32)
+        out[:, 4 + i // 2] |= (code << 4 * (i % 2)).astype(np.uint8)
+    return out
+
+
 def resampled(pcm: np.ndarray, up: int, down: int, taps: int = 8) -> np.ndarray:
-    """int16 samples at up/down times the rate: a windowed-sinc filter, one phase of it per output residue."""
+    """int16 samples at up/down times the rate. A long sound is cut, and each cut reaches over its ends by the filter's width."""
+    reach = -(-(taps * max(up, down) // up + 1) // down) * down
+    step = SAMPLES_AT_ONCE // down * down
+    if len(pcm) <= step:
+        return _resampled(pcm, up, down, taps)
+    parts = []
+    for at in range(0, len(pcm), step):
+        ahead = min(at, reach)
+        part = _resampled(pcm[at - ahead: at + step + reach], up, down, taps)
+        begin = ahead * up // down
+        parts.append(part[begin: begin + -(-min(step, len(pcm) - at) * up // down)])
+    return np.concatenate(parts)
+
+
+def _resampled(pcm: np.ndarray, up: int, down: int, taps: int) -> np.ndarray:
+    """A windowed-sinc filter, one phase of it per output residue."""
     n = -(-len(pcm) * up // down)
     wide = taps * max(up, down)
     t = np.arange(-wide, wide + 1)
@@ -153,70 +192,77 @@ def level(pcm: np.ndarray) -> str:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_bytes, media: the text's bytes, padded to whole blocks, as mu-law samples of a WAVE file."""
+    """(doc_id, text) -> doc_id, n_bytes, media, pcm: the text's bytes, padded to whole blocks, as mu-law samples of a WAVE file; and its sound."""
+
+    def files(batch: pa.RecordBatch) -> tuple[None, list]:
+        sizes, media, sounds = [], [], []
+        for t in values(batch, "text"):
+            d = (t or "").encode()
+            d_all = d + b"\0" * (max(1, -(-len(d) // BLOCK)) * BLOCK - len(d))
+            sizes.append(len(d))
+            media.append(wave(MU_LAW, d_all))
+            sounds.append(pcm_file(MU[np.frombuffer(d_all, np.uint8)], RATE, UP, DOWN))
+        return None, [sizes, media, sounds]
+
+    return batched(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], "n_bytes long, media binary, pcm binary", files)
 
-    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            data = [(t or "").encode() for t in batch["text"]]
-            media = [wave(MU_LAW, d + b"\0" * (max(1, -(-len(d) // BLOCK)) * BLOCK - len(d))) for d in data]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(d) for d in data], "media": media})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(files, "doc_id long, n_bytes long, media binary")
+def pcm_file(sound: np.ndarray, rate: int, up: int, down: int) -> bytes:
+    """A 16-bit PCM file of a sound brought to up/down of its rate."""
+    sound = sound if up == down else resampled(sound, up, down)
+    return wave(PCM, sound.astype("<i2").tobytes(), rate * up // down, 16, 2)
 
 
 def media_features(stored: DataFrame) -> DataFrame:
     """Digests of the stored files and of their samples read back, and features of the expanded sound.
 
-    feature: peak/rms/sign changes of the samples as mu-law at 8 kHz, then of the same samples brought to
-    6 kHz, then of the same bytes read as A-law, and as ADPCM blocks of 64 bytes.
+    feature: peak/rms/sign changes of the samples as mu-law at 8 kHz, then of the stored PCM at 3 kHz, then of
+    the same bytes read as A-law, and as ADPCM blocks of 64 bytes.
     """
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            parts = [parse_wave(m) for m in batch["media"]]
-            raw = [np.frombuffer(p[3], np.uint8) for p in parts]
-            blocks = [r[: len(r) // BLOCK * BLOCK].reshape(-1, BLOCK) for r in raw]
-            # ADPCM: blocks of many files at once.
-            at, sizes, sounds = 0, [len(b) for b in blocks], []
-            while at < len(blocks):
-                end, n = at, 0
-                while end < len(blocks) and (n == 0 or n + sizes[end] <= BLOCKS_AT_ONCE):
-                    n += sizes[end]
-                    end += 1
-                joined = np.concatenate(blocks[at:end])
-                decoded = np.concatenate([adpcm_blocks(joined[i: i + BLOCKS_AT_ONCE]) for i in range(0, max(1, len(joined)), BLOCKS_AT_ONCE)])
-                cut = np.cumsum(sizes[at:end])[:-1]
-                sounds += [level(d.ravel()) for d in np.split(decoded, cut)]
-                at = end
-            for doc, n, media, (tag, _, align, data), sound in zip(batch["doc_id"], batch["n_bytes"], batch["media"], parts, sounds, strict=True):
-                pcm = expand(tag, align, data)
-                other = level(np.concatenate([resampled(pcm[i: i + SAMPLES_AT_ONCE], 3, 4) for i in range(0, len(pcm), SAMPLES_AT_ONCE)]))
-                rows.append((doc, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), f"mu={level(pcm)};mu6k={other};a={level(A[np.frombuffer(data, np.uint8)])};adpcm={sound}"))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return stored.mapInPandas(features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def features(batch: pa.RecordBatch) -> tuple[None, list]:
+        rows, files = [], values(batch, "media")
+        parts = [parse_wave(m) for m in files]
+        raw = [np.frombuffer(p[3], np.uint8) for p in parts]
+        blocks = [r[: len(r) // BLOCK * BLOCK].reshape(-1, BLOCK) for r in raw]
+        # ADPCM: blocks of many files at once.
+        at, sizes, sounds = 0, [len(b) for b in blocks], []
+        while at < len(blocks):
+            end, n = at, 0
+            while end < len(blocks) and (n == 0 or n + sizes[end] <= BLOCKS_AT_ONCE):
+                n += sizes[end]
+                end += 1
+            joined = np.concatenate(blocks[at:end])
+            decoded = np.concatenate([adpcm_blocks(joined[i: i + BLOCKS_AT_ONCE]) for i in range(0, max(1, len(joined)), BLOCKS_AT_ONCE)])
+            cut = np.cumsum(sizes[at:end])[:-1]
+            sounds += [level(d.ravel()) for d in np.split(decoded, cut)]
+            at = end
+        for media, pcm, (tag, _, align, data), sound in zip(files, values(batch, "pcm"), parts, sounds, strict=True):
+            other, same = parse_wave(pcm), np.frombuffer(data, np.uint8)
+            rows.append((
+                len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(),
+                f"mu={level(expand(tag, align, data))};pcm{other[1]}={level(expand(other[0], other[2], other[3]))};a={level(A[same])};adpcm={sound}",
+            ))
+        return None, list(zip(*rows, strict=True)) or [[]] * 6
+
+    schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return batched(stored, ["doc_id", "n_bytes"], schema, features)
 
 
 def decoded(media: DataFrame, up: int = 1, down: int = 1) -> DataFrame:
     """(doc_id, media) -> doc_id, rate, pcm: the file expanded, resampled by up/down and stored as a 16-bit PCM file."""
 
-    def sounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, data in zip(batch["doc_id"], batch["media"], strict=True):
-                if data is None:
-                    rows.append((doc, None, None))
-                    continue
-                tag, rate, align, samples = parse_wave(data)
-                pcm = expand(tag, align, samples)
-                pcm = pcm if up == down else resampled(pcm, up, down)
-                rows.append((doc, rate * up // down, wave(PCM, pcm.astype("<i2").tobytes(), rate * up // down, 16, 2)))
-            yield pd.DataFrame(rows, columns=["doc_id", "rate", "pcm"]).astype({"rate": "Int64"})
+    def sounds(batch: pa.RecordBatch) -> tuple[None, list]:
+        rates, made = [], []
+        for data in values(batch, "media"):
+            tag, rate, align, samples = parse_wave(data) if data is not None else (None, None, None, None)
+            rates.append(None if data is None else rate * up // down)
+            made.append(None if data is None else pcm_file(expand(tag, align, samples), rate, up, down))
+        return None, [rates, made]
 
-    return media.select("doc_id", "media").mapInPandas(sounds, "doc_id long, rate long, pcm binary")
+    return batched(media.select("doc_id", "media"), ["doc_id"], "rate long, pcm binary", sounds)
 
 
 def texts_as_audio(docs: DataFrame) -> DataFrame:
-    """Store every text as a media column of a written table, read it back, and describe it."""
+    """Store every text as a media column of a written table, its sound beside it, read both back, and describe them."""
     return media_features(written(store_texts(docs), "media"))
