@@ -12,6 +12,8 @@ repeated rows give repeated results; an empty table gives an empty result; all o
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,9 +117,9 @@ def ipv4_pseudonym(text: Column, key: str, undo: bool = False) -> Column:
 
 
 def date_pseudonym(text: Column, key: str, undo: bool = False) -> Column:
-    """Dates of 1900 to 2099; 01/02/2003 is read month first where that is a date, else day first."""
-    out = text
-    for like, form in ((r"^\d\d\.", "dd.MM.yyyy"), (r"^\d\d/", "dd/MM/yyyy"), (r"^\d\d/", "MM/dd/yyyy"), (r"^\d{4}-", "yyyy-MM-dd")):
+    """Dates of 1900 to 2099; 01/02/2003 is read month first where that is a date, else day first, and each kind is permuted within itself."""
+    out = F.when(text.rlike(r"^(?:1[3-9]|[23]\d)/"), day_first_pseudonym(text, key, undo)).otherwise(text)
+    for like, form in ((r"^\d\d\.", "dd.MM.yyyy"), (r"^\d\d/", "MM/dd/yyyy"), (r"^\d{4}-", "yyyy-MM-dd")):
         day = F.try_to_timestamp(text, F.lit(form)).cast("date")
         index = F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
         p = feistel(F.floor(index / DAYS[1]), index % DAYS[1], *DAYS, "date", key, undo)
@@ -126,6 +128,22 @@ def date_pseudonym(text: Column, key: str, undo: bool = False) -> Column:
     return out
 
 
+def day_first_pseudonym(text: Column, key: str, undo: bool = False) -> Column:
+    """25/12/1999 and its like, whose day tells that it comes first: 200 years of 221 such days, and 49 days in leap years."""
+    day = F.try_to_timestamp(text, F.lit("dd/MM/yyyy")).cast("date")
+    lengths = [calendar.monthrange(2001, m)[1] - 12 for m in range(1, 13)]
+    before = F.array(*[F.lit(sum(lengths[:m])) for m in range(12)])
+    d, m, y = F.day(day), F.month(day), F.year(day)
+    plain = feistel(y - 1900, F.element_at(before, m) + d - 13, 200, sum(lengths), "day-first", key, undo)
+    month = F.size(F.filter(before, lambda b: b <= plain["low"])).cast("int")
+    pad = lambda x, n=2: F.lpad(x.cast("string"), n, "0")
+    other = F.concat_ws("/", pad(plain["low"] - F.element_at(before, month) + 13), pad(month), (plain["high"] + 1900).cast("string"))
+    turn = ((y - 1904) / 4).cast("int")
+    leap = feistel(F.floor(turn / 7), turn % 7, 7, 7, "leap-day", key, undo)
+    leap_day = F.concat(F.lit("29/02/"), (1904 + 4 * (7 * leap["high"] + leap["low"])).cast("string"))
+    return F.when(day.isNull(), text).when((d == 29) & (m == 2), leap_day).otherwise(other)
+
+
 def mail_pseudonym(text: Column, key: str) -> Column:
     name = F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit("mail"), F.lower(text)), 256), 1, 12)
     return F.concat(F.lit("u"), name, F.lit("@"), F.substring_index(text, "@", -1))
