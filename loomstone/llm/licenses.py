@@ -1,6 +1,7 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block contains a template when at least the threshold of the template's distinct words stand in it. The
+A block contains a template when at least the threshold of the template's distinct words stand in it; of a
+template of under ten words, where a single word tells licenses apart, all of them. The
 join orders words by their frequency over the whole corpus, rarest first. A template's prefix is as many of
 its rarest words as cannot all be missing; blocks and templates meet only on prefix words. Then the length
 filter (a block needs as many template words as the threshold asks) and the positional filter (what may
@@ -41,7 +42,8 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
 ]
-#: Bytes between words, for lower-cased text; and what ends a block.
+#: Templates of fewer distinct words must stand whole; bytes between words, for lower-cased text; what ends a block.
+SHORT = 10
 GAP, BLOCK_END = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"\n[ \t\r]*\n"
 
 
@@ -55,6 +57,11 @@ def template_words(text: str) -> list[str]:
     return sorted(set(re.findall(r"[0-9a-z]+", text.lower())))
 
 
+def needed(words: list[str], threshold: float) -> int:
+    """How many of a template's words must stand in a block."""
+    return len(words) if len(words) < SHORT else math.ceil(threshold * len(words) - 1e-9)
+
+
 def scanned(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """A row per document: its words counted, phrase places, and per block the words the vocabulary has."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -66,7 +73,7 @@ def scanned(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     known = F.array(*map(F.lit, vocabulary))
     return words.select(
         "row_key", "doc_id", F.size("words").cast("long").alias("n_words"), F.concat(*places).alias("places"),
-        F.filter(F.transform("blocks", lambda b: F.array_intersect(b, known)), lambda b: F.size(b) > 1).alias("blocks"),
+        F.filter(F.transform("blocks", lambda b: F.array_intersect(b, known)), lambda b: F.size(b) > 0).alias("blocks"),
     )
 
 
@@ -91,7 +98,7 @@ def contained(scan: DataFrame, templates: list[tuple[str, str]], threshold: floa
     prefixes, whole = [], []
     for label, text in templates:
         words = sorted(template_words(text), key=rank.get)
-        need = math.ceil(threshold * len(words) - 1e-9)
+        need = needed(words, threshold)
         whole.append((label, words, need))
         prefixes += [(w, label, k, len(words), need) for k, w in enumerate(words[: len(words) - need + 1])]
     prefix = spark.createDataFrame(prefixes, "token string, label string, at int, size int, need int")
