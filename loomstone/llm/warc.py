@@ -1,6 +1,6 @@
 """WARC archives in Zstandard: one frame per record, behind a dictionary in a leading skippable frame.
 
-An archive is what one task writes: a skippable frame that holds the (compressed) dictionary, then one
+An archive is what one task writes, so about a split of the input: a skippable frame that holds the (compressed) dictionary, then one
 frame per record. Spark's text writer stores the frames, so any store works; the line separator it puts
 between them is itself an empty skippable frame. The reader takes whole files, loads the dictionary,
 walks the frames by their block headers, decodes one frame per record, and checks headers, lengths,
@@ -8,7 +8,7 @@ digests and that no byte is left over.
 
 Edge cases: a null payload or url is empty; a row with a null id is a response and is never referred to;
 rows that repeat the largest id of a payload are all responses; control characters in a header value are
-percent-encoded; an empty table gives no archive and an empty result; extra columns are ignored.
+percent-encoded; ids are exact at any size; an empty table gives no archive and an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ import struct
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
-import pandas as pd
+import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .base import scratch_path, written
+from .base import scratch_path, values, written
 
 #: Fixed values of the formats: frame magics, the revisit profile, the least payload that is deduplicated.
 DICTIONARY_MAGIC, SKIPPABLE, FRAME_MAGIC = 0x184D2A5D, range(0x184D2A50, 0x184D2A60), 0xFD2FB528
@@ -151,45 +153,42 @@ def write_archives(rows: DataFrame, path: str, level: int = 3) -> None:
     chosen = first.where(F.col("page_id").isin(ids)).select("page_id", "url", F.expr(f"substring(payload, 1, {SAMPLE_CHARS})").alias("payload")).limit(SAMPLE_ROWS).collect()
     dictionary = train([record(r["page_id"], r["url"], bytes(r["payload"]), None) for r in chosen])
 
-    def stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = zstd.ZstdCompressor(level=19).compress(dictionary)
         head = struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed
         coder = zstd.ZstdCompressor(level=level, dict_data=zstd.ZstdCompressionDict(dictionary), write_checksum=True)
         for batch in batches:
-            targets = [None if pd.isna(t) else int(t) for t in batch["refers_to"]]
-            ids = [None if pd.isna(t) else int(t) for t in batch["page_id"]]
-            out = [coder.compress(record(i, u, p, t)) for i, u, p, t in zip(ids, batch["url"], batch["payload"], targets, strict=True)]
+            out = [coder.compress(record(*r)) for r in zip(*(values(batch, c) for c in ("page_id", "url", "payload", "refers_to")), strict=True)]
             if out and head:
                 out, head = [head, *out], b""
-            yield pd.DataFrame({"frame": out})
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
-    rows.mapInPandas(stored, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", BETWEEN).option("maxRecordsPerFile", 0).text(path)
+    rows.mapInArrow(stored, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", BETWEEN).option("maxRecordsPerFile", 0).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row per record of all archives under path; a broken one fails the read."""
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = to_arrow_schema(T.StructType.fromDDL(READ))
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
+            for name, content in zip(values(batch, "path"), batch.column(batch.schema.get_field_index("content")), strict=True):
                 held, size = [], 0
-                for data in frames(content):
+                for data in frames(content.as_buffer()):
                     try:
                         held.append(parsed(data))
                     except (KeyError, ValueError) as e:
                         raise ValueError(f"{name}: {e}") from e
                     size += len(data)
                     if size > 16 << 20:
-                        yield frame_of(held)
+                        yield pa.RecordBatch.from_pylist(held, schema)
                         held, size = [], 0
                 if held:
-                    yield frame_of(held)
-
-    def frame_of(rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield pa.RecordBatch.from_pylist(held, schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.where("length > 0").select("path", "content").mapInPandas(records, READ)
+    return files.where("length > 0").select("path", "content").mapInArrow(records, READ)
 
 
 def archived(pages: DataFrame) -> DataFrame:
