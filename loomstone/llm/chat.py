@@ -2,12 +2,14 @@
 
 A record's schema fingerprint is the hash of its sorted nested field paths with their kinds. It selects a
 declarative mapping - where the turns lie, how role and text are named - from a table; new layouts are new
-rows of that table, not code. Canonical turns go through a template that marks each turn; control strings
+rows of that table, not code. A record with fields beyond those of a layout is read by the layout of most
+paths among those that it has whole. Canonical turns go through a template that marks each turn; control strings
 inside texts are escaped, so a formatted text can be read back exactly.
 
 Edge cases: a null or empty text is an empty turn; a null role is written as an empty role; ties in turn
 order fall back to role and text; repeated rows are repeated turns; a record of an unknown layout keeps its
-fingerprint and gets no turns; an empty table gives an empty result; extra columns are ignored.
+fingerprint and gets no turns; a null conv_id stays null, and no id passes through Python; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,29 +17,45 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import batched, values
+
 
 # --- layouts ------------------------------------------------------------------------------------
 
 
-def field_paths(value: object, at: str = "$") -> set[str]:
+def field_paths(value: object, at: str = "$", out: set[str] | None = None) -> set[str]:
     """Nested field paths with the kind of each leaf; array elements share one path."""
-    if isinstance(value, dict):
-        return set().union({f"{at}:object"}, *(field_paths(v, f"{at}.{k}") for k, v in value.items()))
-    if isinstance(value, list):
-        return set().union({f"{at}:array"}, *(field_paths(v, f"{at}[]") for v in value))
-    return {f"{at}:{'string' if value is None or isinstance(value, str) else 'number' if isinstance(value, int | float) else 'other'}"}
+    out = set() if out is None else out
+    if isinstance(value, str) or value is None:
+        out.add(at + ":string")
+    elif isinstance(value, dict):
+        out.add(at + ":object")
+        for k, v in value.items():
+            field_paths(v, f"{at}.{k}", out)
+    elif isinstance(value, list):
+        out.add(at + ":array")
+        inner = at + "[]"
+        for v in value:
+            field_paths(v, inner, out)
+    else:
+        out.add(f"{at}:{'number' if isinstance(value, int | float) else 'other'}")
+    return out
+
+
+def hashed(paths: set[str]) -> str:
+    return xxhash.xxh64_hexdigest("\n".join(sorted(paths)))
 
 
 def fingerprint(value: object) -> str:
-    return xxhash.xxh64_hexdigest("\n".join(sorted(field_paths(value))))
+    return hashed(field_paths(value))
 
 
 @dataclass(frozen=True)
@@ -51,58 +69,90 @@ class Mapping:
     roles: tuple[tuple[str, str], ...] = ()
 
     def read(self, record: dict) -> list[tuple[str, str]]:
-        out = [(role, record.get(field) or "") for field, role in self.turns]
+        out = [(role, said(record.get(field))) for field, role in self.turns]
         names = dict(self.roles)
         for turn in record.get(self.many) or () if self.many else ():
             role = turn.get(self.role) or ""
-            out.append((names.get(role, role), turn.get(self.text) or ""))
+            out.append((names.get(role, role), said(turn.get(self.text))))
         return out
 
 
-SPEAKERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))
-#: A sample of each layout, and how it is read.
+def said(content: object) -> str:
+    """A text, or the texts of a list of parts joined; other parts (images, say) have none."""
+    if isinstance(content, list):
+        return "".join(p if isinstance(p, str) else p.get("text") or "" for p in content if isinstance(p, str | dict))
+    return content or ""
+
+
+SPEAKERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("ai", "assistant"), ("model", "assistant"))
+_PARTS = [{"type": "", "text": ""}]
+_many = lambda **x: Mapping(roles=SPEAKERS, **x)
+_lead = (("system", "system"),)
+#: A sample of each layout, and how it is read. Names of speakers become roles in all but the last, which keeps them.
 LAYOUTS: list[tuple[dict, Mapping]] = [
     ({"prompt": "", "response": ""}, Mapping(turns=(("prompt", "user"), ("response", "assistant")))),
     ({"prompt": "", "completion": ""}, Mapping(turns=(("prompt", "user"), ("completion", "assistant")))),
     ({"question": "", "answer": ""}, Mapping(turns=(("question", "user"), ("answer", "assistant")))),
     ({"instruction": "", "output": ""}, Mapping(turns=(("instruction", "user"), ("output", "assistant")))),
-    ({"system": "", "instruction": "", "output": ""}, Mapping(turns=(("system", "system"), ("instruction", "user"), ("output", "assistant")))),
-    ({"messages": [{"role": "", "content": ""}]}, Mapping(many="messages")),
-    ({"messages": []}, Mapping(many="messages")),
-    ({"messages": [{"role": "", "text": ""}]}, Mapping(many="messages", text="text")),
-    ({"system": "", "messages": [{"role": "", "content": ""}]}, Mapping(turns=(("system", "system"),), many="messages")),
-    ({"conversations": [{"from": "", "value": ""}]}, Mapping(many="conversations", role="from", text="value", roles=SPEAKERS)),
-    ({"system": "", "conversations": [{"from": "", "value": ""}]}, Mapping(turns=(("system", "system"),), many="conversations", role="from", text="value", roles=SPEAKERS)),
+    ({"system": "", "instruction": "", "output": ""}, Mapping(turns=(*_lead, ("instruction", "user"), ("output", "assistant")))),
+    ({"messages": [{"role": "", "content": ""}]}, _many(many="messages")),
+    ({"messages": []}, _many(many="messages")),
+    ({"messages": [{"role": "", "text": ""}]}, _many(many="messages", text="text")),
+    ({"messages": [{"role": "", "content": _PARTS}]}, _many(many="messages")),
+    ({"system": "", "messages": [{"role": "", "content": ""}]}, _many(turns=_lead, many="messages")),
+    ({"system": "", "messages": [{"role": "", "content": _PARTS}]}, _many(turns=_lead, many="messages")),
+    ({"conversations": [{"from": "", "value": ""}]}, _many(many="conversations", role="from", text="value")),
+    ({"system": "", "conversations": [{"from": "", "value": ""}]}, _many(turns=_lead, many="conversations", role="from", text="value")),
+    ({"turns": [{"speaker": "", "text": ""}]}, Mapping(many="turns", role="speaker", text="text")),
 ]
-MAPPINGS = {fingerprint(sample): mapping for sample, mapping in LAYOUTS}
+
+
+class Layouts:
+    """Mappings by the fingerprint of their sample, and for other fingerprints by the paths that they need."""
+
+    def __init__(self, layouts: list[tuple[dict, Mapping]]):
+        self.exact = {fingerprint(sample): mapping for sample, mapping in layouts}
+        paths = [(field_paths(sample), mapping) for sample, mapping in layouts]
+        self.needs = sorted(paths, key=lambda x: (-len(x[0]), sorted(x[0])))
+        self.met: dict[str, Mapping | None] = dict(self.exact)
+
+    def of(self, found: str, paths: set[str]) -> Mapping | None:
+        if found not in self.met:
+            if len(self.met) > 10_000:
+                self.met = dict(self.exact)
+            self.met[found] = next((m for needs, m in self.needs if needs <= paths), None)
+        return self.met[found]
+
 
 TURNS = "array<struct<role: string, text: string>>"
 
 
-def canonical_turns(records: DataFrame, mappings: dict[str, Mapping] = MAPPINGS) -> DataFrame:
+def canonical_turns(records: DataFrame, layouts: list[tuple[dict, Mapping]] = LAYOUTS) -> DataFrame:
     """(conv_id, record: JSON) -> conv_id, layout (the fingerprint), turns; turns are null where no mapping fits."""
+    known = Layouts(layouts)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            layouts, turns = [], []
-            for text in batch["record"]:
-                try:
-                    value = json.loads(text or "null")
-                except ValueError:
-                    value = None
-                layouts.append(fingerprint(value))
-                mapping = mappings.get(layouts[-1]) if isinstance(value, dict) else None
-                turns.append(None if mapping is None else [{"role": r, "text": t} for r, t in mapping.read(value)])
-            yield pd.DataFrame({"conv_id": batch["conv_id"], "layout": layouts, "turns": turns})
+    def read(batch: pa.RecordBatch) -> tuple[None, list]:
+        found, turns = [], []
+        for text in values(batch, "record"):
+            try:
+                value = json.loads(text or "null")
+            except ValueError:
+                value = None
+            paths = field_paths(value)
+            found.append(hashed(paths))
+            mapping = known.of(found[-1], paths) if isinstance(value, dict) else None
+            turns.append(None if mapping is None else [{"role": r, "text": t} for r, t in mapping.read(value)])
+        return None, [found, turns]
 
-    return records.select(F.col("conv_id").cast("long"), "record").mapInPandas(read, f"conv_id long, layout string, turns {TURNS}")
+    return batched(records.select(F.col("conv_id").cast("long"), "record"), ["conv_id"], f"layout string, turns {TURNS}", read)
 
 
 def as_records(conversations: DataFrame) -> DataFrame:
     """Rows by turn -> one JSON record per conversation, each in the layout its shape suggests.
 
     A user turn and an answer make an instruction record (with a system field, if that leads); other
-    conversations whose roles are user and assistant make a list of from/value pairs, the rest messages.
+    conversations whose roles are user and assistant make a list of from/value pairs, the rest messages; those with
+    a role that a layout would rename are kept as turns of speakers.
     """
     row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.select(F.col("conv_id").cast("long"), row.alias("row")).groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
@@ -111,12 +161,14 @@ def as_records(conversations: DataFrame) -> DataFrame:
     spoken = F.forall("rows", lambda r: r["role"].isin("user", "assistant"))
     said = F.transform("rows", lambda r: F.struct(F.when(r["role"] == "user", "human").otherwise("gpt").alias("from"), r["text"].alias("value")))
     messages = F.transform("rows", lambda r: F.struct(r["role"], r["text"].alias("content")))
+    plain = F.transform("rows", lambda r: F.struct(r["role"].alias("speaker"), r["text"]))
+    renamed = F.exists("rows", lambda r: r["role"].isin([name for name, _ in SPEAKERS]))
     is_ = lambda *names: F.coalesce(roles == F.array(*map(F.lit, names)), F.lit(False))
     record = (
         F.when(is_("user", "assistant"), F.to_json(F.struct(text(1).alias("instruction"), text(2).alias("output"))))
         .when(is_("system", "user", "assistant"), F.to_json(F.struct(text(1).alias("system"), text(2).alias("instruction"), text(3).alias("output"))))
         .when(spoken, F.to_json(F.struct(said.alias("conversations"))))
-        .otherwise(F.to_json(F.struct(messages.alias("messages"))))
+        .when(renamed, F.to_json(F.struct(plain.alias("turns")))).otherwise(F.to_json(F.struct(messages.alias("messages"))))
     )
     return grouped.select("conv_id", record.alias("record"))
 
@@ -135,15 +187,23 @@ class Template:
     control: tuple[str, ...] = ("<|im_start|>", "<|im_end|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>")
     escape: str = "⁠"
 
+    @cached_property
     def _pattern(self) -> re.Pattern:
         # A control string with any number of escape characters after its first character, so that escaping adds one and unescaping takes one.
-        return re.compile("|".join(f"({re.escape(c[0])})({re.escape(self.escape)}*)({re.escape(c[1:])})" for c in sorted(self.control, key=len, reverse=True)))
+        ends: dict[str, list[str]] = {}
+        for c in sorted(self.control, key=len, reverse=True):
+            ends.setdefault(c[0], []).append(re.escape(c[1:]))
+        return re.compile("|".join(f"(?<={re.escape(a)})({re.escape(self.escape)}*)(?={'|'.join(b)})" for a, b in ends.items()))
+
+    @cached_property
+    def _begins(self) -> re.Pattern:
+        return re.compile("[" + re.escape("".join({c[0] for c in self.control})) + "]")
 
     def escaped(self, text: str) -> str:
-        return self._pattern().sub(lambda m: "".join(g if k != 1 else g + self.escape for k, g in enumerate(x for x in m.groups() if x is not None)), text)
+        return self._pattern.sub(lambda m: m[0] + self.escape, text) if self._begins.search(text) else text
 
     def unescaped(self, text: str) -> str:
-        return self._pattern().sub(lambda m: "".join(g if k != 1 else g[len(self.escape):] for k, g in enumerate(x for x in m.groups() if x is not None)), text)
+        return self._pattern.sub(lambda m: m[0][len(self.escape):], text) if self._begins.search(text) else text
 
     def format(self, turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
         """The text, and the spans of it that count for the loss."""
@@ -177,25 +237,24 @@ class Template:
 def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame:
     """(conv_id, turns) -> conv_id, formatted, loss_spans (begin and end, in code points)."""
 
-    def formatted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [template.format([(t["role"], t["text"]) for t in (row if row is not None else ())]) for row in batch["turns"]]
-            yield pd.DataFrame({"conv_id": batch["conv_id"], "formatted": [o[0] for o in out], "loss_spans": [[{"begin": a, "end": b} for a, b in o[1]] for o in out]})
+    def formatted(batch: pa.RecordBatch) -> tuple[None, list]:
+        out = [template.format([(t["role"], t["text"]) for t in row or ()]) for row in values(batch, "turns")]
+        return None, [[o[0] for o in out], [[{"begin": a, "end": b} for a, b in o[1]] for o in out]]
 
-    return turns.select("conv_id", "turns").mapInPandas(formatted, "conv_id long, formatted string, loss_spans array<struct<begin: long, end: long>>")
+    return batched(turns.select("conv_id", "turns"), ["conv_id"], "formatted string, loss_spans array<struct<begin: long, end: long>>", formatted)
 
 
 def read_chats(formatted: DataFrame, template: Template = Template()) -> DataFrame:
     """Digest columns, from nothing but the formatted text and its loss spans."""
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for conv, text, spans in zip(batch["conv_id"], batch["formatted"], batch["loss_spans"], strict=True):
-                turns = template.parse(text)
-                loss = "".join(template.unescaped(text[s["begin"]: s["end"]]) for s in (spans if spans is not None else ()))
-                said = "".join(f"{r}\n{t}\n" for r, t, _ in turns)
-                rows.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInPandas(digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    def digests(batch: pa.RecordBatch) -> tuple[None, list]:
+        rows = []
+        for text, spans in zip(values(batch, "formatted"), values(batch, "loss_spans"), strict=True):
+            turns = template.parse(text)
+            loss = "".join(template.unescaped(text[s["begin"]: s["end"]]) for s in spans or ())
+            all_said = "".join(f"{r}\n{t}\n" for r, t, _ in turns)
+            rows.append((len(turns), hashlib.sha256(all_said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+        return None, list(zip(*rows, strict=True)) or [[]] * 5
+
+    schema = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return batched(formatted.select("conv_id", "formatted", "loss_spans"), ["conv_id"], schema, digests)
