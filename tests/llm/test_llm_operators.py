@@ -484,6 +484,30 @@ def test_law_tables_and_adpcm():
         assert g.tolist() == out
 
 
+def test_adpcm_coded_sound_is_kept():
+    t = np.arange(1010) / 8000
+    tone = (6000 * np.sin(2 * np.pi * 300 * t)).astype(np.int16).reshape(10, 101)
+    blocks = audio.adpcm_coded(tone)
+    assert blocks.shape == (10, 54) and np.abs(audio.adpcm_blocks(blocks)[:, 40:].astype(int) - tone[:, 40:]).max() < 700
+    media = audio.wave(audio.IMA_ADPCM, blocks.tobytes(), bits=4, align=54)
+    tag, rate, align, data = audio.parse_wave(media)
+    assert (tag, rate, align) == (audio.IMA_ADPCM, 8000, 54) and np.array_equal(audio.expand(tag, align, data), audio.adpcm_blocks(blocks).ravel())
+
+
+def test_long_sounds_have_no_seams():
+    rng = np.random.default_rng(6)
+    sound = rng.integers(-8000, 8000, 3 * audio.SAMPLES_AT_ONCE + 1234).astype(np.int16)
+    for up, down in ((3, 8), (3, 4), (2, 1)):
+        assert np.array_equal(audio.resampled(sound, up, down), audio._resampled(sound, up, down, 8))
+
+
+def test_stored_pcm_is_the_expanded_sound(spark, odd):
+    for r in audio.store_texts(odd).collect():
+        tag, rate, align, data = audio.parse_wave(bytes(r["pcm"]))
+        mu = audio.parse_wave(bytes(r["media"]))[3]
+        assert (tag, rate) == (audio.PCM, 3000) and np.array_equal(np.frombuffer(data, "<i2"), audio.resampled(audio.MU[np.frombuffer(mu, np.uint8)], 3, 8))
+
+
 def test_resampling_keeps_a_tone(spark):
     t = np.arange(8000) / 8000
     tone = (8000 * np.sin(2 * np.pi * 440 * t)).astype(np.int16)
@@ -530,6 +554,20 @@ def test_pii_short_addresses_alone_and_beside_a_date(spark):
     assert [r["text"] for r in pii.pseudonymized(hidden, "k", undo=True).orderBy("doc_id").collect()] == texts
 
 
+def test_pii_slash_dates_are_permuted_and_restored(spark):
+    import datetime
+
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(n) for n in range(0, 73048, 37)] + [datetime.date(y, 2, 29) for y in range(1904, 2097, 4)]
+    texts = sorted({d.strftime(f) for d in days for f in ("%d/%m/%Y", "%m/%d/%Y")})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hidden = pii.pseudonymized(docs, "k")
+    got = [r["text"] for r in hidden.orderBy("doc_id").collect()]
+    assert len(set(got)) == len(texts) and sum(a == b for a, b in zip(got, texts, strict=True)) < 30
+    assert [r["text"] for r in pii.pseudonymized(hidden, "k", undo=True).orderBy("doc_id").collect()] == texts
+    for a, b in zip(got, texts, strict=True):
+        assert (int(a[:2]) > 12) == (int(b[:2]) > 12) and datetime.datetime.strptime(a, "%d/%m/%Y" if int(a[:2]) > 12 else "%m/%d/%Y")
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(17 * 13).select((F.col("id") / 13).cast("long").alias("h"), (F.col("id") % 13).alias("l"))
     p = pii.feistel(F.col("h"), F.col("l"), 17, 13, "t", "k")
@@ -565,12 +603,25 @@ def test_license_scan_against_brute_force(spark, documents, odd):
             have = set(split(block))
             for label, template in licenses.TEMPLATES:
                 want = set(licenses.template_words(template))
-                if len(want & have) >= 0.8 * len(want) - 1e-9:
+                if len(want & have) >= (len(want) if len(want) < 10 else 0.8 * len(want) - 1e-9):
                     labels.add(label)
         assert r["labels"] == ",".join(sorted(labels)), r["doc_id"]
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+def test_license_labels_by_hand(spark):
+    texts = {
+        "Licensed under CC BY-SA 4.0": "cc-by-sa-4.0", "Licensed under CC BY-NC 4.0": "cc-by-nc-4.0", "He released it late. Under no license did the team act.": "", "Released under the MIT License.": "mit,mit-notice",
+        "We are licensed under some terms.\n\nThe Apache tribe has a license.": "", "Version 2.0 of the Apache License": "apache", "Licensed under the Apache License, Version 2.0": "apache,apache-2.0-notice",
+        "This is a free program and the software can be modified.": "", "": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    one = licenses.license_scan(docs, [("late", "late")]).where("labels like '%late%'").collect()
+    assert [r["doc_id"] for r in one] == [2]
+
+
 # --- 8 warc -------------------------------------------------------------------------------------
 
 
@@ -672,6 +723,14 @@ def test_layouts_become_turns(spark):
     df = spark.createDataFrame([(i, json.dumps(r), 0) for i, r in enumerate(records)] + [(9, None, 0), (8, "{bad", 0)], "conv_id long, record string, turns int")
     got = {r["conv_id"]: None if r["turns"] is None else [(t["role"], t["text"]) for t in r["turns"]] for r in chat.canonical_turns(df).collect()}
     assert got == {0: [("user", "p"), ("assistant", "r")], 1: [("system", "s"), ("user", "i"), ("assistant", "")], 2: [("user", "h"), ("assistant", "g")], 3: [("tool", "x")], 4: None, 8: None, 9: None}
+    odd_ones = [
+        ({"messages": [{"role": "human", "content": "h", "name": "n"}, {"role": "gpt", "content": "g", "weight": 1}]}, [("user", "h"), ("assistant", "g")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": "c"}], "id": 7}, [("user", "ab"), ("assistant", "c")]),
+        ({"prompt": "p", "response": "r", "meta": {"score": 1.5}}, [("user", "p"), ("assistant", "r")]), ({"turns": [{"speaker": "human", "text": "t"}]}, [("human", "t")]),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(odd_ones)], "conv_id long, record string")
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.canonical_turns(df).collect()}
+    assert [got[i] for i in range(len(odd_ones))] == [t for _, t in odd_ones]
     assert chat.fingerprint({"a": [{"b": "x"}, {"b": None}]}) == chat.fingerprint({"a": [{"b": "y"}]})
 
 
@@ -687,6 +746,31 @@ def test_op10_against_brute_force(spark, sf):
         assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+# --- ids ----------------------------------------------------------------------------------------
+
+
+def test_ids_are_exact(spark, sf):
+    """Null ids stay null, and ids beyond 2^53 keep every bit, in all operators."""
+    big = [2**60 + 1, 2**60 + 3, None, -(2**62) - 1]
+    docs = spark.createDataFrame([(i, "some text here " * (k + 3)) for k, i in enumerate(big)], "doc_id long, text string").coalesce(1)
+    key = lambda i: (i is None, i)
+    ids = lambda df, c="doc_id": sorted((r[c] for r in df.select(c).distinct().collect()), key=key)
+    want = sorted(big, key=key)
+    assert ids(pieces.coded(docs, MODEL)) == ids(audio.texts_as_audio(docs)) == ids(packing.pack(docs, RANKS)) == ids(licenses.license_scan(docs)) == ids(pii.pseudonymized(docs, "k")) == want
+    assert ids(toxicity.scored(docs, toxicity.Model())) == want
+    found = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(docs).collect()}
+    assert sorted(found, key=key) == want and set(found.values()) <= set(big)
+    vectors = spark.createDataFrame([(i, [1.0, 0.5]) for i in big] + [(None, [0.0, 1.0])], "vec_id long, embedding array<float>").coalesce(1)
+    got = {r["vec_id"]: r for r in crosspolytope.near_vectors(vectors.where("vec_id is not null or embedding[0] = 1")).collect()}
+    assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (3, -(2**62) - 1, i == -(2**62) - 1) for i in big}
+    lone = crosspolytope.near_vectors(vectors.where("embedding[0] = 0")).first()
+    assert (lone["vec_id"], lone["n_links"], lone["component_id"], lone["kept"]) == (None, 0, None, True)
+    chats = spark.createDataFrame([(i, 0, "user", "x") for i in big], "conv_id long, turn long, role string, text string").coalesce(1)
+    assert ids(chat.read_chats(chat.format_chats(chat.canonical_turns(chat.as_records(chats)))), "conv_id") == want
+    pages = spark.createDataFrame([(i, "http://a/", "x" * 2000) for i in big if i is None or i > 0], "page_id long, url string, html string").coalesce(1)
+    assert {(r["page_id"], r["refers_to"]) for r in warc.archived(pages).collect()} == {(2**60 + 1, 2**60 + 3), (2**60 + 3, None), (None, None)}
+
+
 # --- the pipeline -------------------------------------------------------------------------------
 
 
