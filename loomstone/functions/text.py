@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -153,20 +156,42 @@ def redact_map(m: Column) -> Column:
     return F.transform_values(m, lambda k, v: F.when(k.rlike(SENSITIVE_KEY), F.lit("[REDACTED]")).otherwise(redact(v)))
 
 
-def redact_json(x: Column, depth: int = 3) -> Column:
-    """A JSON object as text: names of sensitive keys decide at every level down to depth; other values are redacted as texts."""
-    flat = F.try_parse_json(x)
-    fields = F.from_json(x, "map<string,string>")
+def redact_json(x: Column) -> Column:
+    """A JSON text with its secrets gone, at any depth and within arrays; what is no JSON is redacted as a text.
 
-    def level(m: Column, left: int) -> Column:
-        def value(k: Column, v: Column) -> Column:
-            inner = F.from_json(v, "map<string,string>")
-            deeper = F.to_json(level(inner, left - 1)) if left > 1 else redact(v)
-            return F.when(k.rlike(SENSITIVE_KEY), F.lit("[REDACTED]")).when(v.startswith("{"), deeper).otherwise(redact(v))
+    The value of a sensitive key goes, whatever its type; other strings are redacted as texts; numbers, booleans and
+    nulls stay as they are. SQL has no walk over a value of unknown depth, so this runs in Arrow batches.
+    """
 
-        return F.transform_values(m, value)
+    @F.pandas_udf("string")
+    def walked(texts: pd.Series) -> pd.Series:
+        # Java's classes are ASCII unless told otherwise, and so are these.
+        rules = [(re.compile(p, re.ASCII), r.replace("$1", r"\1")) for p, r in SECRETS]
+        sensitive = re.compile(SENSITIVE_KEY)
 
-    return F.when(flat.isNotNull() & x.startswith("{"), F.to_json(level(fields, depth))).otherwise(redact(x))
+        def plain(s: str) -> str:
+            for p, r in rules:
+                s = p.sub(r, s)
+            return s
+
+        def walk(v: object) -> object:
+            if isinstance(v, dict):
+                return {k: "[REDACTED]" if sensitive.search(k) else walk(i) for k, i in v.items()}
+            if isinstance(v, list):
+                return [walk(i) for i in v]
+            return plain(v) if isinstance(v, str) else v
+
+        def one(t: str | None) -> str | None:
+            if t is None:
+                return None
+            try:
+                return json.dumps(walk(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
+            except (ValueError, RecursionError):
+                return plain(t)
+
+        return texts.map(one)
+
+    return walked(x)
 
 
 #: Words that carry no meaning in a hashed vector.

@@ -50,11 +50,11 @@ def domain_matches(name: Column, domain: Column) -> Column:
     return (name == domain) | (~name.rlike(rf"^{IPV4}$") & F.endswith(name, F.concat(F.lit("."), domain)))
 
 
-def host_suffixes(name: Column, most: int = 6) -> Column:
+def host_suffixes(name: Column) -> Column:
     """The name and its parents, so that suffix joins are equi-joins."""
     labels = F.split(name, r"\.")
     n = F.size(labels)
-    return F.transform(F.sequence(F.greatest(n - most + 1, F.lit(1)), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
 
 
 def _sound(url: Column) -> Column:

@@ -34,7 +34,7 @@ def integrity_issues(sources: DataFrame, documents: DataFrame, versions: DataFra
     flagged = versions.where("is_current").select("document_id", "version_id")
     live = flagged.join(pointed, ["document_id", "version_id"])
     with_sections = sections.select("version_id").distinct()
-    open_docs = documents.join(F.broadcast(sources.where("enabled").select("source_key")), "source_key", "left_semi").where("status = 'ACTIVE'").select("document_id")
+    open_docs = documents.join(sources.where("enabled").select("source_key"), "source_key", "left_semi").where("status = 'ACTIVE'").select("document_id")
     wanted = sections.join(live.join(open_docs, "document_id", "left_semi"), "version_id", "left_semi").select("section_id")
     parts = [
         _issue(documents.where("status = 'ACTIVE' and current_version_id is null"), "ACTIVE_WITHOUT_VERSION", "an active document has no current version", F.col("document_id")),

@@ -24,9 +24,9 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str], keep: list[str] = ()) -> DataFrame:
     """The snapshot after an upsert: new rows win, but columns in keep stay as they were first written."""
-    a, b = old.alias("a"), new.alias("b")
+    a, b = old.alias("a"), new.withColumn("_new", F.lit(True)).alias("b")
     joined = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key], "full_outer")
-    fresh = F.col(f"b.{key[0]}").isNotNull()
+    fresh = F.col("b._new").isNotNull()
 
     def column(c: str) -> Column:
         if c in key or c in keep:
@@ -94,7 +94,7 @@ def execution_slice(manifest: DataFrame, source: str | None = None, after: tuple
 def outcomes(manifest: DataFrame, log: DataFrame, sources: DataFrame, documents: DataFrame) -> DataFrame:
     """Each observation against its source and the known document: outcome, next status, events' causes."""
     doc = documents.select("source_key", "stable_key", "document_id", F.col("status").alias("old_status"), F.col("content_hash").alias("old_hash"), F.col("canonical_url").alias("old_url"))
-    src = F.broadcast(sources.select("source_key", F.col("enabled").alias("source_enabled")))
+    src = sources.select("source_key", F.col("enabled").alias("source_enabled"))
     rows = log.join(manifest.select("source_key", "stable_key"), ["source_key", "stable_key"], "left_semi").join(src, "source_key", "left").join(doc, ["source_key", "stable_key"], "left")
     kind, known = rules.http_class(F.col("http_status")), F.col("document_id").isNotNull()
     outcome = (
@@ -210,14 +210,14 @@ def overlapping_runs(runs: DataFrame) -> DataFrame:
 def changed_source_documents(old: DataFrame, new: DataFrame, documents: DataFrame) -> DataFrame:
     """Documents of sources whose attributes changed: what is to be indexed anew."""
     moved = reconciled(old, new).where("status = 'updated'").select("source_key")
-    return documents.join(F.broadcast(moved), "source_key", "left_semi")
+    return documents.join(moved, "source_key", "left_semi")
 
 
 def current_sections(sections: DataFrame, versions: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
     """Sections of the version that flag and pointer agree on."""
     live = versions.where("is_current").select("version_id", "document_id")
     docs = documents.select("document_id", F.col("current_version_id").alias("version_id"), "source_key", "title", F.col("language"), "status")
-    return sections.join(live, "version_id").join(docs, ["document_id", "version_id"]).join(F.broadcast(sources.select("source_key", "enabled")), "source_key").orderBy("source_key", F.lower("title"), "ordinal")
+    return sections.join(live, "version_id").join(docs, ["document_id", "version_id"]).join(sources.select("source_key", "enabled"), "source_key").orderBy("source_key", F.lower("title"), "ordinal")
 
 
 def searchable(rows: DataFrame) -> DataFrame:

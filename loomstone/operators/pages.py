@@ -119,5 +119,5 @@ def first_links(pages: DataFrame, blocked_hosts: DataFrame, n: int, look_at: int
     """The first n links of each page whose host is not blocked; at most max(32, 4n) are looked at."""
     most = look_at or max(32, 4 * n)
     found = pages.select("page_id", F.posexplode(F.slice("links", 1, most)).alias("at", "link")).withColumn("host", urls.host(F.col("link")))
-    open_ = found.join(F.broadcast(blocked_hosts.select("host").distinct()), "host", "left_anti")
+    open_ = found.join(blocked_hosts.select("host").distinct(), "host", "left_anti")
     return open_.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("at"))).where(F.col("n") <= n).select("page_id", "n", "link")

@@ -68,22 +68,22 @@ def tokens_of(queries: DataFrame) -> DataFrame:
 def matches(queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, section_id, phrase, tf): sections that hold every phrase of a query, with the number of places."""
     tokens = tokens_of(queries)
-    frequency = index.postings.join(F.broadcast(tokens.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    weighed = tokens.join(F.broadcast(frequency), "term", "left")
+    frequency = index.postings.join(tokens.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    weighed = tokens.join(frequency, "term", "left")
     rarest = Window.partitionBy("query_id").orderBy(F.coalesce("n", F.lit(0)), "phrase", "at")
     first = weighed.withColumn("r", F.row_number().over(rarest)).where("r = 1").select("query_id", "term")
-    pairs = index.postings.join(F.broadcast(first), "term").select("query_id", "section_id").distinct()
+    pairs = index.postings.join(first, "term").select("query_id", "section_id").distinct()
     # Each (query, section) asks for its tokens only, so a frequent word is met once per pair, not once per query and place.
-    wanted = pairs.join(F.broadcast(tokens), "query_id")
-    held = index.postings.join(F.broadcast(tokens.select("term").distinct()), "term", "left_semi")
+    wanted = pairs.join(tokens, "query_id")
+    held = index.postings.join(tokens.select("term").distinct(), "term", "left_semi")
     places = held.join(wanted, ["section_id", "term"]).select("query_id", "section_id", "phrase", "at", "field", (F.col("pos") - F.col("at")).alias("start"))
     need = tokens.groupBy("query_id", "phrase").agg(F.count("*").alias("need"))
     whole = (
         places.groupBy("query_id", "section_id", "phrase", "field", "start").agg(F.count("*").alias("got"))
-        .join(F.broadcast(need), ["query_id", "phrase"]).where("got = need")
+        .join(need, ["query_id", "phrase"]).where("got = need")
         .groupBy("query_id", "section_id", "phrase").agg(F.count("*").alias("tf"))
     )
-    total = F.broadcast(need.groupBy("query_id").agg(F.count("*").alias("phrases")))
+    total = need.groupBy("query_id").agg(F.count("*").alias("phrases"))
     full = whole.groupBy("query_id", "section_id").agg(F.count("*").alias("have")).join(total, "query_id").where("have = phrases")
     return whole.join(full.select("query_id", "section_id"), ["query_id", "section_id"], "left_semi")
 
@@ -94,10 +94,10 @@ def phrase_frequency(tokens: DataFrame, index: Index) -> DataFrame:
     phrases = tokens.groupBy("query_id", "phrase").agg(ordered.alias("words")).where(F.size("words") > 1).select("words").distinct()
     # The rarest token of a phrase names its places; its other tokens only meet those.
     asked = phrases.select("words", F.posexplode("words").alias("at", "term"))
-    frequency = index.postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    frequency = index.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy("words").orderBy(F.coalesce("n", F.lit(0)), "at")
-    first = asked.join(F.broadcast(frequency), "term", "left").withColumn("r", F.row_number().over(rarest)).where("r = 1").drop("r", "n")
-    starts = index.postings.join(F.broadcast(first), "term").select("words", "section_id", "field", (F.col("pos") - F.col("at")).alias("start"))
+    first = asked.join(frequency, "term", "left").withColumn("r", F.row_number().over(rarest)).where("r = 1").drop("r", "n")
+    starts = index.postings.join(first, "term").select("words", "section_id", "field", (F.col("pos") - F.col("at")).alias("start"))
     wanted = starts.select("words", "section_id", "field", "start", F.posexplode("words").alias("at", "term")).withColumn("pos", F.col("start") + F.col("at"))
     met = wanted.join(index.postings.select("section_id", "field", "pos", "term"), ["section_id", "field", "pos", "term"])
     whole = met.groupBy("words", "section_id", "field", "start").agg(F.count("*").alias("got")).where(F.col("got") == F.size("words"))
@@ -112,10 +112,10 @@ def bm25(queries: DataFrame, index: Index) -> DataFrame:
     tokens = tokens_of(queries)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda t: t["term"])
     alone = tokens.groupBy("query_id", "phrase").agg(F.count("*").alias("k"), F.min("term").alias("term"), ordered.alias("words"))
-    single = index.postings.join(F.broadcast(alone.where("k = 1").select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count_distinct("section_id").alias("df1"))
+    single = index.postings.join(alone.where("k = 1").select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count_distinct("section_id").alias("df1"))
     several = phrase_frequency(tokens, index).withColumnRenamed("df", "df2")
-    df = alone.join(F.broadcast(single), "term", "left").join(F.broadcast(several), "words", "left").select("query_id", "phrase", F.when(F.col("k") == 1, F.col("df1")).otherwise(F.col("df2")).alias("df"))
-    scored = found.join(F.broadcast(df), ["query_id", "phrase"]).join(index.lengths, "section_id").crossJoin(F.broadcast(stats))
+    df = alone.join(single, "term", "left").join(several, "words", "left").select("query_id", "phrase", F.when(F.col("k") == 1, F.col("df1")).otherwise(F.col("df2")).alias("df"))
+    scored = found.join(df, ["query_id", "phrase"]).join(index.lengths, "section_id").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("sections") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     # Rounded, so that equal texts tie whatever the order of summing.
@@ -147,7 +147,7 @@ def search(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT, fallbac
     limit = max(1, min(limit, MOST))
     asked = queries.where(T.trimmed(F.col("query")) != "")
     # Candidates carry ids only; texts are joined on after the filter on the bounded query table.
-    hits = bm25(asked, index).join(F.broadcast(asked), "query_id").join(index.sections, "section_id").where(admitted(asked))
+    hits = bm25(asked, index).join(asked, "query_id").join(index.sections, "section_id").where(admitted(asked))
     hits = hits.withColumn("score", tier(F.col("query")))
     order = [F.col("rank"), F.col("score").desc(), F.lower("title"), F.col("ordinal"), F.col("section_id")]
     best = hits.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("position") <= limit)
@@ -170,15 +170,15 @@ def containing(rows: DataFrame, queries: DataFrame, fields: list[str], key: str
     inner = F.transform(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
     seeded = asked.where(F.size("_w") >= 3).select("query_id", "_q", F.array_max(inner)["w"].alias("seed"))
     words = F.flatten(F.array(*[F.split(f, r"\s+") for f in fields]))
-    pairs = low.select(key, F.explode(F.array_distinct(words)).alias("seed")).join(F.broadcast(seeded), "seed").select(key, "query_id", "_q")
+    pairs = low.select(key, F.explode(F.array_distinct(words)).alias("seed")).join(seeded, "seed").select(key, "query_id", "_q")
     holds = reduce(or_, (F.contains(F.col(f), F.col("_q")) for f in fields))
     short = asked.where((F.size("_w") < 3) & (F.col("_q") != "")).select("query_id", "_q")
-    return pairs.join(low, key).where(holds).select(key, "query_id").unionByName(low.join(F.broadcast(short), holds).select(key, "query_id"))
+    return pairs.join(low, key).where(holds).select(key, "query_id").unionByName(low.join(short, holds).select(key, "query_id"))
 
 
 def substring_search(queries: DataFrame, index: Index, limit: int) -> DataFrame:
     """The best sections any field of which holds the whole query as a substring."""
-    found = containing(index.sections, queries, FIELDS).join(F.broadcast(queries), "query_id")
+    found = containing(index.sections, queries, FIELDS).join(queries, "query_id")
     hits = found.join(index.sections, "section_id").where(admitted(queries)).withColumn("score", tier(F.col("query"))).withColumn("rank", F.lit(None).cast("double"))
     order = [F.col("score").desc(), F.lower("title"), F.col("ordinal"), F.col("section_id")]
     return hits.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("position") <= limit)

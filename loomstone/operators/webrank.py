@@ -68,16 +68,16 @@ def mapped(results: DataFrame, registry: DataFrame) -> DataFrame:
 def domain_filtered(rows: DataFrame, allow: DataFrame, deny: DataFrame, key: list[str]) -> DataFrame:
     """(query_id, domain) lists on label boundaries: denied hosts go first; a query without allowed domains allows all."""
     suffixes = rows.select(*key, "query_id" if "query_id" not in key else key[0], F.explode(urls.host_suffixes(F.col("domain"))).alias("suffix")).select(*key, "suffix").distinct()
-    bad = suffixes.join(F.broadcast(deny.select("query_id", F.lower("domain").alias("suffix"))), ["query_id", "suffix"], "left_semi").select(*key).distinct()
-    good = suffixes.join(F.broadcast(allow.select("query_id", F.lower("domain").alias("suffix"))), ["query_id", "suffix"], "left_semi").select(*key).distinct()
-    strict = F.broadcast(allow.select("query_id").distinct().withColumn("listed", F.lit(True)))
+    bad = suffixes.join(deny.select("query_id", F.lower("domain").alias("suffix")), ["query_id", "suffix"], "left_semi").select(*key).distinct()
+    good = suffixes.join(allow.select("query_id", F.lower("domain").alias("suffix")), ["query_id", "suffix"], "left_semi").select(*key).distinct()
+    strict = allow.select("query_id").distinct().withColumn("listed", F.lit(True))
     left = rows.join(bad, key, "left_anti").join(strict, "query_id", "left")
     return left.where("listed is null").unionByName(left.where("listed").join(good, key, "left_semi")).drop("listed")
 
 
 def policy_filtered(rows: DataFrame, policies: DataFrame) -> DataFrame:
     """strict keeps verified sources only; prefer and any keep all."""
-    return rows.join(F.broadcast(policies), "query_id", "left").where((F.coalesce("policy", F.lit("any")) != "strict") | (F.col("source_status") == "VERIFIED_OFFICIAL"))
+    return rows.join(policies, "query_id", "left").where((F.coalesce("policy", F.lit("any")) != "strict") | (F.col("source_status") == "VERIFIED_OFFICIAL"))
 
 
 def ranked(rows: DataFrame, limit: int, oversample: int = 3) -> DataFrame:

@@ -36,8 +36,13 @@ def text_files(spark: SparkSession, folder: str, most: int = MOST_BYTES) -> tupl
     return small.where(sound), rejects
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).option("multiLine", "true").option("mode", "FAILFAST").json(path).where("schema_version = 1")
+def manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Sources of manifests of version 1, and what is rejected: other versions, and keys given more than once, with the reason."""
+    rows = spark.read.schema(MANIFEST).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    known = F.coalesce(F.col("schema_version") == 1, F.lit(False))
+    again = rows.where(known).groupBy("source_key").agg(F.count("*").alias("n")).where("n > 1").select("source_key", F.lit(True).alias("again"))
+    marked = rows.join(again, "source_key", "left").withColumn("reason", F.when(~known, "SCHEMA_VERSION").when(F.col("again"), "DUPLICATE_KEY"))
+    return marked.where("reason is null").select(*rows.columns), marked.where("reason is not null").select("source_key", "schema_version", "reason")
 
 
 def crawled(resources: DataFrame) -> DataFrame:
