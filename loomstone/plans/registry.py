@@ -16,6 +16,8 @@ from ..operators.pages import extracted, first_links
 from ..sources.readers import table
 from ..streaming.jobs import redacted_history
 
+#: A limit that no query reaches.
+MOST_RANKS = 1 << 40
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -79,10 +81,11 @@ def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
     SELECT host, canonical, page_id, CAST(row_number() OVER (PARTITION BY host ORDER BY n DESC, lower(url), page_id) AS BIGINT) AS position FROM best
 """)
 def deduplicated_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "pages").select("page_id", "url", urls.canonical_url(F.col("url")).alias("canonical"), urls.host(F.col("url")).alias("host"), F.length("html").alias("n"))
-    order = [F.col("n").desc(), F.lower("url"), F.col("page_id")]
-    best = rows.withColumn("k", F.row_number().over(Window.partitionBy("canonical").orderBy(*order))).where("k = 1")
-    return best.select("host", "canonical", "page_id", F.row_number().over(Window.partitionBy("host").orderBy(*order)).cast("long").alias("position"))
+    rows = table(spark, sf, "pages").select(
+        "page_id", F.col("page_id").alias("rank"), F.col("url").alias("title"), urls.canonical_url(F.col("url")).alias("url"), urls.host(F.col("url")).alias("query_id"), F.length("html").alias("score"),
+    )
+    found = webrank.ranked(rows, MOST_RANKS, 1)
+    return found.select(F.col("query_id").alias("host"), F.col("url").alias("canonical"), "page_id", F.col("position").cast("long"))
 
 
 @query(f"""
@@ -442,10 +445,21 @@ def history_filter(spark: SparkSession, sf: str) -> DataFrame:
     return paging.history_page(h, text="C", start="2024-01-01", end="2024-12-31").select("event_id", "event_type", "user_id")
 
 
-@query()
+_REDACTED = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
+        '(?i)Bearer\\s+[A-Za-z0-9._~+/-]+=*', 'Bearer [REDACTED]', 'g'), '\\beyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\b', '[REDACTED]', 'g'),
+        '\\b(?:sk-[A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9_]{20,}|AKIA[0-9A-Z]{16})\\b', '[REDACTED]', 'g'),
+        '(?i)(\\b(?:authorization|credential|password|passwd|secret|token|access[-_]?token|refresh[-_]?token|api[-_]?key|signature|sig)\\s*[=:]\\s*)("[^"]*"|''[^'']*''|[^\\s&,;]+)', '\\1[REDACTED]', 'g')"""
+
+
+@query(f"""
+    SELECT doc_id, {_REDACTED} AS query, '{{"token":"[REDACTED]","list":[{{"deep":[[{{"apiKey":"[REDACTED]","n":' || doc_id || '}}]]}},{{"text":' || CAST(to_json({_REDACTED}) AS VARCHAR) || '}}],"inner":{{"password":"[REDACTED]","ok":true}}}}' AS request_json FROM documents
+""")
 def history_redaction(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    return redacted_history(d.select("doc_id", F.col("text").alias("query"), F.to_json(F.struct(F.col("lang").alias("token"), F.struct("text", F.col("source").alias("password")).alias("inner"))).alias("request_json")))
+    d = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    deep = F.struct(F.array(F.array(F.struct(F.struct("lang").alias("apiKey"), F.col("doc_id").alias("n")))).alias("deep"))
+    items = F.concat(F.lit("["), F.to_json(deep), F.lit(","), F.to_json(F.struct("text")), F.lit("]"))
+    request = F.concat(F.lit(' {"token":'), F.to_json(F.array("lang", "source")), F.lit(',"list":'), items, F.lit(',"inner":'), F.to_json(F.struct(F.col("source").alias("password"), F.lit(True).alias("ok"))), F.lit("}"))
+    return redacted_history(d.select("doc_id", F.col("text").alias("query"), request.alias("request_json")))
 
 
 # --- audits -------------------------------------------------------------------------------------
