@@ -134,4 +134,5 @@ def exact_links(sets: DataFrame, similarity: float = 0.8, block: int = 512) -> D
         "rep", "family", "h", F.least("spot", "other").alias("block_a"), F.greatest("spot", "other").alias("block_b"), (F.col("spot") > F.col("other")).cast("int").alias("side")
     )
     last = written(compared(spread, similarity), "links")
-    return so_far.unionByName(last.where("b is not null"))
+    # What is joined already goes on as stars, which settle in few rounds.
+    return comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(last.where("b is not null"))
