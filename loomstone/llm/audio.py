@@ -35,8 +35,8 @@ STEP = np.array([
 ])
 STEPS = len(STEP)
 RATE, BLOCK = 8000, 64
-#: The stored PCM has so many eighths of the rate.
-UP, DOWN = 3, 8
+#: The stored PCM has this share of the rate.
+UP, DOWN = 1, 4
 #: Blocks decoded at once, and samples resampled at once.
 BLOCKS_AT_ONCE, SAMPLES_AT_ONCE = 4096, 1 << 18
 
@@ -216,7 +216,7 @@ def pcm_file(sound: np.ndarray, rate: int, up: int, down: int) -> bytes:
 def media_features(stored: DataFrame) -> DataFrame:
     """Digests of the stored files and of their samples read back, and features of the expanded sound.
 
-    feature: peak/rms/sign changes of the samples as mu-law at 8 kHz, then of the stored PCM at 3 kHz, then of
+    feature: peak/rms/sign changes of the samples as mu-law at 8 kHz, then of the stored PCM at 2 kHz, then of
     the same bytes read as A-law, and as ADPCM blocks of 64 bytes.
     """
 
