@@ -3,7 +3,7 @@
 The index is two tables, postings and section lengths. Queries become phrases; the rarest token of each query
 is joined first and the other tokens only meet the (query, section) pairs it left, so a frequent word is never
 expanded alone. Phrase adjacency is an equi-join on positions. Scores are BM25 over the fields together; the
-substring fallback runs for queries without a hit only, over the broadcast rest of a bounded query table.
+substring fallback runs for queries without a hit only, by the longest inner word of a query or, for one or two words, over all sections.
 """
 
 from __future__ import annotations
