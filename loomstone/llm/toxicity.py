@@ -53,6 +53,8 @@ CACHE, CHARACTERS, FEATURES = 200_000, 200_000, 20_000
 
 def folded(text: str) -> str:
     """Letters without their accents, compatibility forms as plain ones."""
+    if text.isascii():
+        return text
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
@@ -74,6 +76,10 @@ MASKED_WORD = re.compile(rf"[^\W\d_][{re.escape(MASKS)}]+[^\W\d_]")
 ORNAMENT = re.compile(r"^(?:([^\w\s])\1\1+)+|(?:([^\w\s])\2\2+)+$")
 LEAD, TAIL = re.compile(r"^[^\w@$!|+(€£¡]+"), re.compile(r"[^\w@$+]+$")
 BETWEEN = re.compile(r"[\W_]+")
+#: What most words end in; TAIL strips it, too.
+ENDS = ".,;:!?)\"'"
+#: Three or more tokens of up to three characters, in a string of a mark per token.
+SHORT = re.compile(rb"\x01{3,}")
 #: What parts a long token, symbols that may stand for letters aside.
 APART = re.compile(r"(?:[^\w@$!|+(€£¡]|_)+")
 #: Characters decoded at once, and those that two such pieces of a longer run share.
@@ -130,9 +136,11 @@ class Model:
     lexicon: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        self.whole = {k[2:] for k in self.lexicon if k[0] == "w"}
         self.keys = {squeezed(k[2:]) for k in self.lexicon if k[0] == "w"}
         self.beginnings = {k[2:] for k in self.lexicon if k[0] == "p"}
         self.seen: dict[str, tuple[str, ...]] = {}
+        self.read: dict[str, list[str]] = {}
 
     def __getstate__(self) -> dict:
         return {"logp": self.logp, "lexicon": self.lexicon}
@@ -182,10 +190,11 @@ class Model:
 
     def words(self, token: str) -> list[str]:
         """The restored words of one blank-free token."""
-        core = ORNAMENT.sub("", token)
-        core = TAIL.sub("", LEAD.sub("", core))
+        core = token.rstrip(ENDS)
+        if not core.isalpha():
+            core = TAIL.sub("", LEAD.sub("", ORNAMENT.sub("", token)))
         if core.isalpha():
-            if self.known(core):
+            if core.isascii() and not REPEATS.search(core) or self.known(core):
                 return [core]
             if not core.isascii() and MIXED.match(core) or SHAPE.search(core) or (REPEATS.search(core) or not core.isascii()) and squeezed(core) in self.keys:
                 return [self.decode(core)]
@@ -215,7 +224,7 @@ class Model:
 
     def known(self, word: str) -> bool:
         """In the lexicon as it stands."""
-        return f"w:{word}" in self.lexicon or not self.beginnings.isdisjoint(word[:n] for n in PREFIXES if len(word) > n)
+        return word in self.whole or not self.beginnings.isdisjoint([word[:n] for n in PREFIXES if len(word) > n])
 
     def long_words(self, core: str) -> list[str]:
         """The words of a long token: part by part, three or more one-letter parts as spaced letters."""
@@ -259,10 +268,9 @@ class Model:
 
     def spaced_words(self, tokens: list[str]) -> Iterator[str]:
         """Words behind runs of three or more one-letter tokens."""
-        if min(map(len, tokens), default=9) > 1:
-            return
         run: list[str] = []
-        for t in [*tokens, "..."]:
+        places = SHORT.finditer(bytes([len(t) < 4 for t in tokens]))
+        for t in [t for m in places for t in [*tokens[m.start(): m.end()], "..."]]:
             letter = t if len(t) == 1 else TAIL.sub("", t[:3]) if len(t) < 4 else ""
             if len(letter) == 1 and (letter.isalpha() or letter in LEET):
                 run.append(letter)
@@ -277,12 +285,22 @@ class Model:
 
     def restored(self, text: str) -> list[str]:
         tokens = unicodedata.normalize("NFKC", text).lower().split() if not text.isascii() else text.lower().split()
-        return [*(w for t in tokens for w in self.words(t)), *self.spaced_words(tokens)]
+        read, out = self.read, []
+        if len(read) > CACHE:
+            read.clear()
+        for t in tokens:
+            got = read.get(t)
+            if got is None:
+                got = self.words(t)
+                if len(t) < 40:
+                    read[t] = got
+            out += got
+        return [*out, *self.spaced_words(tokens)]
 
     # --- scoring -------------------------------------------------------------------------------
 
     def found(self, word: str) -> tuple[str, ...]:
-        return tuple(f for f in features(word) if f in self.lexicon)
+        return tuple(f for f in features(word) if f in self.lexicon) if self.known(word) else ()
 
     def score(self, text: str | None) -> float:
         if not text or not self.lexicon:
@@ -336,31 +354,51 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     taught = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # at most FIT_ROWS small rows
 
-    def seen_in(wanted: set[str] | None):
-        def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = []
-                for toxic, text in zip(batch["toxic"].tolist(), batch["text"], strict=True):
-                    read = model.restored(text or "")
-                    words = set(read)
-                    # Near copies share the least hash of their word triples, most likely, and then count once.
-                    mark = min(xxhash.xxh64_intdigest(" ".join(read[i: i + 3])) for i in range(max(1, len(read) - 2))) >> 1
-                    got = {f for w in words for f in features(w)}
-                    out += [(f, toxic, mark) for f in (got if wanted is None else got & wanted)]
-                    if wanted is not None:
-                        out.append(("", toxic, mark))
-                    if len(out) > FEATURES:
-                        yield pd.DataFrame(out, columns=["feature", "toxic", "mark"])
-                        out = []
-                yield pd.DataFrame(out, columns=["feature", "toxic", "mark"])
-
-        return rows_of
-
-    schema = "feature string, toxic int, mark long"
-    toxic = taught.where("toxic = 1").mapInPandas(seen_in(None), schema).distinct().groupBy("feature").agg(F.count("*").alias("n")).where("n >= 3")
-    wanted = {r["feature"]: r["n"] for r in toxic.collect()}  # of the bounded sample's toxic rows alone
-    both = taught.mapInPandas(seen_in(set(wanted)), schema).distinct().groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
-    counted = {r["feature"]: (r["n"], r["t"]) for r in both.collect()}
+    def marked(text: str | None) -> tuple[set[str], int]:
+        """The words of a text, and a mark that its near copies share, most likely: the least hash of word triples."""
+        read = model.restored(text or "")
+        return set(read), min(xxhash.xxh64_intdigest(" ".join(read[i: i + 3])) for i in range(max(1, len(read) - 2))) >> 1
+
+    def toxic_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                words, mark = marked(text)
+                out += [(f, mark) for f in {f for w in words for f in features(w)}]
+                if len(out) > FEATURES:
+                    yield pd.DataFrame(out, columns=["feature", "mark"])
+                    out = []
+            yield pd.DataFrame(out, columns=["feature", "mark"])
+
+    toxic = taught.where("toxic = 1").mapInPandas(toxic_features, "feature string, mark long").distinct().groupBy("feature").agg(F.count("*").alias("n")).where("n >= 3")
+    # Of the bounded sample's toxic rows alone. From here on a feature goes by its number; -1 stands for the text.
+    wanted = {r["feature"]: k for k, r in enumerate(toxic.orderBy("feature").collect())}
+
+    def wanted_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers: dict[str, list[int]] = {}
+        for batch in batches:
+            out, held = [], 0
+            for toxic, text in zip(batch["toxic"].tolist(), batch["text"], strict=True):
+                words, mark = marked(text)
+                got = {-1}
+                if len(numbers) > CACHE:
+                    numbers.clear()
+                for w in words:
+                    of = numbers.get(w)
+                    if of is None:
+                        of = numbers[w] = [wanted[f] for f in features(w) if f in wanted]
+                    got.update(of)
+                out.append((toxic, mark, np.fromiter(got, np.int32, len(got))))
+                held += len(got)
+                if held > FEATURES:
+                    yield pd.DataFrame(out, columns=["toxic", "mark", "features"])
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=["toxic", "mark", "features"])
+
+    rows_of = taught.mapInPandas(wanted_features, "toxic int, mark long, features array<int>")
+    both = rows_of.select("toxic", "mark", F.explode("features").alias("k")).distinct().groupBy("k").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+    names = ["", *wanted]  # in the order of their numbers, from -1
+    counted = {names[r["k"] + 1]: (r["n"], r["t"]) for r in both.collect()}
     total, bad = counted.pop("", (0, 0))
     if not total or not bad or bad == total:
         return model
