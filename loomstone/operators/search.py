@@ -1,7 +1,8 @@
 """Search: a table of queries against an index of sections.
 
-The index is two tables, postings and section lengths. Queries become phrases; the rarest token of each query
-is joined first and the other tokens only meet the (query, section) pairs it left, so a frequent word is never
+The index is the tokens of each section, read as postings, and section lengths. Queries become phrases; the
+postings of their terms are counted per section, and places are kept for phrases of several tokens alone. The
+rarest token of each query is joined first and the other tokens only meet the (query, section) pairs it left, so a frequent word is never
 expanded alone. Phrase adjacency is an equi-join on positions. Scores are BM25 over the fields together; the
 substring fallback runs for queries without a hit only, by the longest inner word of a query or, for one or two words, over all sections.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.sinks import materialized
-from .sections import postings
+from .sections import expanded, tokens_by_field
 
 FIELDS = ["title", "heading", "heading_path", "content"]
 #: Fixed values of the score.
@@ -28,7 +29,11 @@ DEFAULT_LIMIT, MOST = 10, 50
 
 @dataclass
 class Index:
-    """Postings and lengths of some sections, and the sections themselves."""
+    """Postings and lengths of some sections, and the sections themselves.
+
+    A built index holds the tokens of each section as arrays; postings are read from them, and only those of a
+    query's terms go further. A saved index keeps the postings by term.
+    """
 
     sections: DataFrame
     postings: DataFrame
@@ -37,8 +42,11 @@ class Index:
     @classmethod
     def build(cls, sections: DataFrame) -> Index:
         """sections: section_id, title, heading, heading_path, content, and any filters' columns."""
-        found = materialized(postings(sections, FIELDS), "postings")
-        return cls(sections, found, materialized(found.groupBy("section_id").agg(F.count("*").alias("length")), "lengths"))
+        made = tokens_by_field(sections, FIELDS)
+        length = reduce(add, (F.size(F.col("fields")[k]["tokens"]) for k in range(len(FIELDS)))).cast("long")
+        held = materialized(made.withColumn("length", length), "tokens")
+        lengths = held.select("section_id", "length").where("length > 0")
+        return cls(sections, expanded(held), lengths)
 
     def refreshed(self, changed: DataFrame, sections: DataFrame) -> Index:
         """The index after the sections of some documents were replaced; other rows are kept as they are."""
@@ -65,57 +73,64 @@ def tokens_of(queries: DataFrame) -> DataFrame:
     return phrases.select("query_id", "phrase", F.posexplode(T.index_tokens(F.col("word"))).alias("at", "term"))
 
 
-def matches(queries: DataFrame, index: Index) -> DataFrame:
+def asked_postings(tokens: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
+    """(section_id, term, tf) of the tokens' terms, and the places of those terms that stand in phrases of several tokens."""
+    found = materialized(index.postings.join(tokens.select("term").distinct(), "term", "left_semi"), "asked")
+    held = materialized(found.groupBy("section_id", "term").agg(F.count("*").alias("tf")), "frequencies")
+    need = tokens.groupBy("query_id", "phrase").agg(F.count("*").alias("need"))
+    several = tokens.join(need.where("need > 1"), ["query_id", "phrase"], "left_semi").select("term").distinct()
+    return held, found.join(several, "term", "left_semi")
+
+
+def rarest(tokens: DataFrame, held: DataFrame, by: str) -> DataFrame:
+    """The tokens of each group that the fewest sections hold, one a group."""
+    weighed = tokens.join(held.groupBy("term").agg(F.count("*").alias("n")), "term", "left")
+    order = Window.partitionBy(by).orderBy(F.coalesce("n", F.lit(0)), *[c for c in ("phrase", "at") if c in tokens.columns])
+    return weighed.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r", "n")
+
+
+def matches(tokens: DataFrame, held: DataFrame, places: DataFrame) -> DataFrame:
     """(query_id, section_id, phrase, tf): sections that hold every phrase of a query, with the number of places."""
-    tokens = tokens_of(queries)
-    frequency = index.postings.join(tokens.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    weighed = tokens.join(frequency, "term", "left")
-    rarest = Window.partitionBy("query_id").orderBy(F.coalesce("n", F.lit(0)), "phrase", "at")
-    first = weighed.withColumn("r", F.row_number().over(rarest)).where("r = 1").select("query_id", "term")
-    pairs = index.postings.join(first, "term").select("query_id", "section_id").distinct()
-    # Each (query, section) asks for its tokens only, so a frequent word is met once per pair, not once per query and place.
-    wanted = pairs.join(tokens, "query_id")
-    held = index.postings.join(tokens.select("term").distinct(), "term", "left_semi")
-    places = held.join(wanted, ["section_id", "term"]).select("query_id", "section_id", "phrase", "at", "field", (F.col("pos") - F.col("at")).alias("start"))
     need = tokens.groupBy("query_id", "phrase").agg(F.count("*").alias("need"))
-    whole = (
-        places.groupBy("query_id", "section_id", "phrase", "field", "start").agg(F.count("*").alias("got"))
-        .join(need, ["query_id", "phrase"]).where("got = need")
-        .groupBy("query_id", "section_id", "phrase").agg(F.count("*").alias("tf"))
-    )
+    pairs = held.select("section_id", "term").join(rarest(tokens, held, "query_id").select("query_id", "term"), "term").select("query_id", "section_id")
+    # Each (query, section) asks for its tokens only, so a frequent word is met once per pair, not once per query and place.
+    sized = tokens.join(need, ["query_id", "phrase"])
+    key = ["query_id", "section_id", "phrase"]
+    alone = held.join(pairs.join(sized.where("need = 1"), "query_id"), ["section_id", "term"]).select(*key, "tf")
+    met = places.join(pairs.join(sized.where("need > 1"), "query_id"), ["section_id", "term"])
+    starts = met.groupBy(*key, "need", "field", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("got")).where("got = need")
+    whole = alone.unionByName(starts.groupBy(*key).agg(F.count("*").alias("tf")))
     total = need.groupBy("query_id").agg(F.count("*").alias("phrases"))
-    full = whole.groupBy("query_id", "section_id").agg(F.count("*").alias("have")).join(total, "query_id").where("have = phrases")
-    return whole.join(full.select("query_id", "section_id"), ["query_id", "section_id"], "left_semi")
+    # A list holds at most the phrases of its query.
+    found = whole.groupBy("query_id", "section_id").agg(F.collect_list(F.struct("phrase", "tf")).alias("found"))
+    return found.join(total, "query_id").where(F.size("found") == F.col("phrases")).select("query_id", "section_id", F.inline("found"))
 
 
-def phrase_frequency(tokens: DataFrame, index: Index) -> DataFrame:
+def phrase_frequency(tokens: DataFrame, held: DataFrame, places: DataFrame) -> DataFrame:
     """(words, df): the sections that hold each phrase of several tokens, whatever else a query asks for."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda t: t["term"])
     phrases = tokens.groupBy("query_id", "phrase").agg(ordered.alias("words")).where(F.size("words") > 1).select("words").distinct()
     # The rarest token of a phrase names its places; its other tokens only meet those.
-    asked = phrases.select("words", F.posexplode("words").alias("at", "term"))
-    frequency = index.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    rarest = Window.partitionBy("words").orderBy(F.coalesce("n", F.lit(0)), "at")
-    first = asked.join(frequency, "term", "left").withColumn("r", F.row_number().over(rarest)).where("r = 1").drop("r", "n")
-    starts = index.postings.join(first, "term").select("words", "section_id", "field", (F.col("pos") - F.col("at")).alias("start"))
+    first = rarest(phrases.select("words", F.posexplode("words").alias("at", "term")), held, "words")
+    starts = places.join(first, "term").select("words", "section_id", "field", (F.col("pos") - F.col("at")).alias("start"))
     wanted = starts.select("words", "section_id", "field", "start", F.posexplode("words").alias("at", "term")).withColumn("pos", F.col("start") + F.col("at"))
-    met = wanted.join(index.postings.select("section_id", "field", "pos", "term"), ["section_id", "field", "pos", "term"])
+    met = wanted.join(places, ["section_id", "field", "pos", "term"])
     whole = met.groupBy("words", "section_id", "field", "start").agg(F.count("*").alias("got")).where(F.col("got") == F.size("words"))
     return whole.groupBy("words").agg(F.count_distinct("section_id").alias("df"))
 
 
 def bm25(queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, section_id, rank): smaller is better; every phrase must occur."""
-    found = materialized(matches(queries, index), "matches")
+    tokens = tokens_of(queries)
+    held, places = asked_postings(tokens, index)
     stats = index.lengths.agg(F.count("*").alias("sections"), F.avg("length").alias("mean"))
     # A phrase's document frequency counts all sections that hold it; phrases of one token are counted in the postings.
-    tokens = tokens_of(queries)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda t: t["term"])
     alone = tokens.groupBy("query_id", "phrase").agg(F.count("*").alias("k"), F.min("term").alias("term"), ordered.alias("words"))
-    single = index.postings.join(alone.where("k = 1").select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count_distinct("section_id").alias("df1"))
-    several = phrase_frequency(tokens, index).withColumnRenamed("df", "df2")
+    single = held.groupBy("term").agg(F.count("*").alias("df1"))
+    several = phrase_frequency(tokens, held, places).withColumnRenamed("df", "df2")
     df = alone.join(single, "term", "left").join(several, "words", "left").select("query_id", "phrase", F.when(F.col("k") == 1, F.col("df1")).otherwise(F.col("df2")).alias("df"))
-    scored = found.join(df, ["query_id", "phrase"]).join(index.lengths, "section_id").crossJoin(F.broadcast(stats))
+    scored = matches(tokens, held, places).join(df, ["query_id", "phrase"]).join(index.lengths, "section_id").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("sections") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     # Rounded, so that equal texts tie whatever the order of summing.
