@@ -4,7 +4,7 @@ The index is the tokens of each section, read as postings, and section lengths.
 postings of their terms are counted per section, and places are kept for phrases of several tokens alone. The
 rarest token of each query is joined first and the other tokens only meet the (query, section) pairs it left, so a frequent word is never
 expanded alone. Phrase adjacency is an equi-join on positions. Scores are BM25 over the fields together; the
-substring fallback runs for queries without a hit only, by the longest inner word of a query or, for one or two words, over all sections.
+substring fallback runs for queries without a hit only, by the longest inner word of a query or, for one or two words, its rarest character grams.
 """
 
 from __future__ import annotations
@@ -14,17 +14,19 @@ from functools import reduce
 from operator import add, or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.sinks import materialized
+from ..sources.sinks import Change, Store, materialized
 from .sections import expanded, tokens_by_field
 
 FIELDS = ["title", "heading", "heading_path", "content"]
 #: Fixed values of the score.
 K1, B = 1.2, 0.75
 DEFAULT_LIMIT, MOST = 10, 50
+#: Parts of a kept index: by document, and of its postings by term; characters of a gram, and grams that must stand in a row before its text is read.
+SEGMENTS, BUCKETS, GRAM, PROBES = 16, 16, 3, 3
 
 
 @dataclass
@@ -32,7 +34,9 @@ class Index:
     """Postings and lengths of some sections, and the sections themselves.
 
     A built index holds the tokens of each section as arrays; postings are read from them, and only those of a
-    query's terms go further. A saved index keeps the postings by term.
+    query's terms go further. A kept index lies in a store: sections and postings by segment (a hash of the
+    document), postings within that by bucket (a hash of the term). Queries open the buckets of their terms only, and
+    a change of some documents rewrites their segments only, all tables in one commit.
     """
 
     sections: DataFrame
@@ -58,12 +62,51 @@ class Index:
             self.lengths.join(gone, "section_id", "left_anti").unionByName(new.lengths),
         )
 
-    def save(self, path: str, buckets: int = 64) -> None:
-        """Postings lie by hash of the term, so a query's terms open few files."""
-        self.sections.write.mode("overwrite").parquet(f"{path}/sections")
-        bucketed = self.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        bucketed.repartition(buckets, "bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    def save(self, path: str, segments: int = SEGMENTS, buckets: int = BUCKETS) -> None:
+        """Keep the index under path; what lay there before is replaced."""
+        Store(self.sections.sparkSession, path).commit({name: Change(rows, "segment", within=within) for name, (rows, within) in self._kept(segments, buckets).items()})
+
+    def _kept(self, segments: int, buckets: int) -> dict[str, tuple[DataFrame, list[str]]]:
+        of = _segment(segments)
+        place = self.sections.select("section_id", "doc_id")
+        rows = self.postings.join(place, "section_id").withColumns({"segment": of, "bucket": _bucket(buckets)})
+        lengths = self.lengths.join(place, "section_id").withColumn("segment", of)
+        shape = self.sections.sparkSession.range(1).select(F.lit(segments).alias("segments"), F.lit(buckets).alias("buckets"), F.lit(0).alias("segment"))
+        return {
+            "shape": (shape, []), "sections": (self.sections.withColumn("segment", of).repartition(segments, "segment"), []), "lengths": (lengths.repartition(segments, "segment"), []),
+            "postings": (rows.repartition("segment", "bucket").sortWithinPartitions("segment", "bucket", "term"), ["bucket"]),
+        }
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, terms: DataFrame | None = None) -> Index:
+        """The kept index; with terms (term) its postings are pruned to their buckets."""
+        store = Store(spark, path)
+        postings = store.read("postings")
+        if terms is not None:
+            buckets = store.read("shape").first()["buckets"]
+            asked = [r[0] for r in terms.select(_bucket(buckets)).distinct().collect()]  # at most the number of buckets
+            postings = postings.where(F.col("bucket").isin(asked))
+        return cls(store.read("sections").drop("segment"), postings.select("section_id", "field", "pos", "term"), store.read("lengths").select("section_id", "length"))
+
+    @staticmethod
+    def update(spark: SparkSession, path: str, changed: DataFrame, sections: DataFrame, batch: tuple[str, int] | None = None) -> list[int]:
+        """Replace the sections of the documents in changed (doc_id) by the given ones (none: they go); returns the segments that were rewritten."""
+        store = Store(spark, path)
+        shape = store.read("shape").first()
+        of, ids = _segment(shape["segments"]), changed.select("doc_id").unionByName(sections.select("doc_id")).distinct()
+        hit = sorted(r[0] for r in ids.select(of).distinct().collect())  # at most the number of segments
+        kept = {name: store.read(name, hit).join(ids, "doc_id", "left_anti") for name in ("sections", "lengths", "postings")}
+        new = Index.build(sections)._kept(shape["segments"], shape["buckets"])
+        store.commit({name: Change(rows.unionByName(new[name][0]), "segment", hit, within=new[name][1]) for name, rows in kept.items()}, batch)
+        return hit
+
+
+def _segment(segments: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(segments)).cast("int").alias("segment")
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
 
 
 def tokens_of(queries: DataFrame) -> DataFrame:
@@ -173,22 +216,51 @@ def search(queries: DataFrame, index: Index, limit: int = DEFAULT_LIMIT, fallbac
     return best.unionByName(substring_search(rest, index, limit).select(*best.columns))
 
 
-def containing(rows: DataFrame, queries: DataFrame, fields: list[str], key: str = "section_id") -> DataFrame:
+def grams_of(x: Column, size: int = GRAM) -> Column:
+    """The distinct runs of `size` characters of a text, read in one pass by a pattern that looks ahead; of a shorter text none."""
+    return F.array_distinct(F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def containing(rows: DataFrame, queries: DataFrame, fields: list[str], key: str = "section_id", probes: int = PROBES) -> DataFrame:
     """(key, query_id): rows one of whose fields holds the whole query as a substring, case aside.
 
-    A query of three words or more holds words with white space on both sides, which must then be words of the row:
-    its longest such word is looked up by an equi-join, and only those rows are compared. Shorter queries are compared
-    with every row.
+    Candidates come from equi-joins, and only their texts are compared. A query of three words or more holds words
+    with white space on both sides, which must then be words of the row: the longest such word is looked up. Shorter
+    queries are looked up in an index of character grams: rows that have the rarest grams of the query are candidates;
+    a query shorter than a gram is a gram of its own length. Blank queries find nothing.
     """
     low = rows.select(key, *[F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
-    asked = queries.select("query_id", F.lower(T.trimmed(F.col("query"))).alias("_q")).withColumn("_w", F.split("_q", r"\s+"))
+    asked = queries.select("query_id", F.lower(T.trimmed(F.col("query"))).alias("_q")).where("_q <> ''").withColumn("_w", F.split("_q", r"\s+"))
     inner = F.transform(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
     seeded = asked.where(F.size("_w") >= 3).select("query_id", "_q", F.array_max(inner)["w"].alias("seed"))
     words = F.flatten(F.array(*[F.split(f, r"\s+") for f in fields]))
     pairs = low.select(key, F.explode(F.array_distinct(words)).alias("seed")).join(seeded, "seed").select(key, "query_id", "_q")
+    short = asked.where(F.size("_w") < 3).select("query_id", "_q")
+    met = _gram_candidates(low, short, fields, key, probes)
+    pairs = pairs if met is None else pairs.unionByName(met)
     holds = reduce(or_, (F.contains(F.col(f), F.col("_q")) for f in fields))
-    short = asked.where((F.size("_w") < 3) & (F.col("_q") != "")).select("query_id", "_q")
-    return pairs.join(low, key).where(holds).select(key, "query_id").unionByName(low.join(short, holds).select(key, "query_id"))
+    return pairs.join(low, key).where(holds).select(key, "query_id")
+
+
+def _gram_candidates(low: DataFrame, asked: DataFrame, fields: list[str], key: str, probes: int) -> DataFrame | None:
+    """(key, query_id, _q): rows that have the rarest grams of a query; None where nothing is asked."""
+    own = reduce(lambda c, n: c.when(F.length("_q") == n, F.array("_q")), range(1, GRAM), F.when(F.length("_q") >= GRAM, grams_of(F.col("_q"))))
+    wanted = materialized(asked.select("query_id", "_q", F.explode(own).alias("gram")), "grams")
+    sizes = sorted(r[0] for r in wanted.select(F.length("gram")).distinct().collect())  # at most GRAM sizes
+    if not sizes:
+        return None
+    every = F.array_distinct(F.concat(*[grams_of(F.col(f), n) for f in fields for n in sizes]))
+    found = low.select(key, F.explode(every).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    found = materialized(found, "gram-postings")
+    frequency = found.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("query_id").orderBy(F.coalesce("n", F.lit(0)), "gram")
+    probing = wanted.join(frequency, "gram", "left").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= probes)
+    probing = materialized(probing.select("query_id", "_q", "gram", "r", F.count("*").over(Window.partitionBy("query_id")).alias("need")), "probes")
+    # The rarest gram names the candidates; the next ones thin them out before any text is joined.
+    first = found.join(probing.where("r = 1"), "gram").select(key, "query_id", "_q", "need")
+    more = first.where("need > 1").join(probing.where("r > 1").select("query_id", "gram"), "query_id").join(found, [key, "gram"])
+    thin = more.groupBy(key, "query_id", "_q", "need").agg(F.count("*").alias("got")).where("got = need - 1")
+    return first.where("need = 1").select(key, "query_id", "_q").unionByName(thin.select(key, "query_id", "_q"))
 
 
 def substring_search(queries: DataFrame, index: Index, limit: int) -> DataFrame:
