@@ -3,12 +3,15 @@
 A record's schema fingerprint is the hash of its sorted nested field paths with their kinds. It selects a
 declarative mapping - where the turns lie, how role and text are named - from a table; new layouts are new
 rows of that table, not code. A record with fields beyond those of a layout is read by the layout of most
-paths among those that it has whole. Canonical turns go through a template that marks each turn; control strings
+paths among those that it has whole, if it loses no text so: fields that hold a text and that the layout does not name
+must be names of data about the record (ABOUT: an id, a source, a date), else the record is unknown. The same holds for fields of its
+turns. Kinds are checked turn by turn: a turn that is no object, a role that is no text, or a content that is neither a text nor
+a list of parts makes the record unknown. Canonical turns go through a template that marks each turn; control strings
 inside texts are escaped, so a formatted text can be read back exactly.
 
 Edge cases: a null or empty text is an empty turn; a null role is written as an empty role; ties in turn
-order fall back to role and text; repeated rows are repeated turns; a record of an unknown layout keeps its
-fingerprint and gets no turns; a null conv_id stays null, and no id passes through Python; an empty table
+order fall back to role and text; repeated rows are repeated turns; a record of an unknown layout, or one that its layout
+cannot read whole, keeps its fingerprint and gets no turns; a null conv_id stays null, and no id passes through Python; an empty table
 gives an empty result; extra columns are ignored.
 """
 
@@ -31,27 +34,27 @@ from .base import batched, values
 # --- layouts ------------------------------------------------------------------------------------
 
 
-def field_paths(value: object, at: str = "$", out: set[str] | None = None) -> set[str]:
+def field_paths(value: object) -> set[str]:
     """Nested field paths with the kind of each leaf; array elements share one path."""
-    out = set() if out is None else out
-    if isinstance(value, str) or value is None:
-        out.add(at + ":string")
-    elif isinstance(value, dict):
-        out.add(at + ":object")
-        for k, v in value.items():
-            field_paths(v, f"{at}.{k}", out)
-    elif isinstance(value, list):
-        out.add(at + ":array")
-        inner = at + "[]"
-        for v in value:
-            field_paths(v, inner, out)
-    else:
-        out.add(f"{at}:{'number' if isinstance(value, int | float) else 'other'}")
+    out: set[str] = set()
+    held = [("$", value)]
+    while held:
+        at, v = held.pop()
+        if isinstance(v, str) or v is None:
+            out.add(at + ":string")
+        elif isinstance(v, dict):
+            out.add(at + ":object")
+            held += [(f"{at}.{k}", x) for k, x in v.items()]
+        elif isinstance(v, list):
+            out.add(at + ":array")
+            held += [(at + "[]", x) for x in v]
+        else:
+            out.add(at + ":number")
     return out
 
 
 def hashed(paths: set[str]) -> str:
-    return xxhash.xxh64_hexdigest("\n".join(sorted(paths)))
+    return xxhash.xxh64_hexdigest("\n".join(sorted(paths)).encode("utf-8", "surrogatepass"))
 
 
 def fingerprint(value: object) -> str:
@@ -67,34 +70,113 @@ class Mapping:
     role: str = "role"
     text: str = "content"
     roles: tuple[tuple[str, str], ...] = ()
-
-    def read(self, record: dict) -> list[tuple[str, str]]:
-        out = [(role, said(record.get(field))) for field, role in self.turns]
+    #: A field that holds earlier exchanges, as pairs of a user's and an assistant's text.
+    pairs: str | None = None
+
+    def read(self, record: dict) -> list[tuple[str, str]] | None:
+        """The turns; None where the record holds texts that the mapping would lose, or values of other kinds."""
+        try:
+            turns = self._read(record)
+            "".join(t for turn in turns for t in turn).encode()  # halves of a character are no text
+        except (Unreadable, UnicodeEncodeError):
+            return None
+        return turns
+
+    def _read(self, record: dict) -> list[tuple[str, str]]:
+        known = {field for field, _ in self.turns} | {self.many, self.pairs}
+        if any(field not in known and lost(field, value) for field, value in record.items()):
+            raise Unreadable
+        out: list[tuple[str, str]] = []
+        for field, role in self.turns:
+            text = said(record.get(field))
+            if out and out[-1][0] == role:  # a second field of one speaker goes on with the turn
+                out[-1] = role, "\n\n".join(t for t in (out[-1][1], text) if t)
+            else:
+                out.append((role, text))
+        if self.pairs:
+            earlier = record.get(self.pairs) or []
+            if not isinstance(earlier, list) or not all(isinstance(p, list) and len(p) == 2 for p in earlier):
+                raise Unreadable
+            at = next((k for k, (role, _) in enumerate(out) if role == "user"), len(out))
+            out[at:at] = [turn for a, b in earlier for turn in (("user", said(a)), ("assistant", said(b)))]
         names = dict(self.roles)
-        for turn in record.get(self.many) or () if self.many else ():
-            role = turn.get(self.role) or ""
-            out.append((names.get(role, role), said(turn.get(self.text))))
+        turns = record.get(self.many) if self.many else None
+        if not isinstance(turns, list | None):
+            raise Unreadable
+        for turn in turns or ():
+            if not isinstance(turn, dict) or any(field not in (self.role, self.text) and lost(field, value) for field, value in turn.items()):
+                raise Unreadable
+            role = turn.get(self.role)
+            if not isinstance(role, str | None):
+                raise Unreadable
+            out.append((names.get(role, role) if role else "", said(turn.get(self.text))))
         return out
 
 
+class Unreadable(Exception):
+    """A record that its mapping cannot read whole."""
+
+
+#: Fields that tell about a record or a turn, and whose texts are not part of the talk.
+ABOUT = frozenset("id uid uuid conv_id conversation_id source dataset origin url date created created_at updated_at timestamp time model version lang language license category tags tag type name weight score rating split meta metadata".split())
+
+
+def lost(field: str, value: object) -> bool:
+    """Whether a field without a mapping holds text of the talk."""
+    return field not in ABOUT and holds_text(value)
+
+
+def holds_text(value: object) -> bool:
+    held = [value]
+    while held:
+        v = held.pop()
+        if isinstance(v, str) and v.strip():
+            return True
+        held += v.values() if isinstance(v, dict) else v if isinstance(v, list) else ()
+    return False
+
+
 def said(content: object) -> str:
-    """A text, or the texts of a list of parts joined; other parts (images, say) have none."""
-    if isinstance(content, list):
-        return "".join(p if isinstance(p, str) else p.get("text") or "" for p in content if isinstance(p, str | dict))
-    return content or ""
+    """A text, or the texts of a list of parts joined; parts without a text (images, say) have none."""
+    if content is None or isinstance(content, str):
+        return content or ""
+    if not isinstance(content, list):
+        raise Unreadable
+    out = []
+    for part in content:
+        text = part.get("text") if isinstance(part, dict) else part
+        if not isinstance(text, str | None) or isinstance(part, dict) and any(k not in ("text", "type") and lost(k, v) and k not in MEDIA for k, v in part.items()):
+            raise Unreadable
+        out.append(text or "")
+    return "".join(out)
+
+
+#: Fields of parts that are no text: what they hold is a picture or a sound, or where it lies.
+MEDIA = frozenset("image image_url audio input_audio video file".split())
 
 
 SPEAKERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("ai", "assistant"), ("model", "assistant"))
 _PARTS = [{"type": "", "text": ""}]
 _many = lambda **x: Mapping(roles=SPEAKERS, **x)
 _lead = (("system", "system"),)
+_ALPACA = (("instruction", "user"), ("input", "user"), ("output", "assistant"))
 #: A sample of each layout, and how it is read. Names of speakers become roles in all but the last, which keeps them.
 LAYOUTS: list[tuple[dict, Mapping]] = [
     ({"prompt": "", "response": ""}, Mapping(turns=(("prompt", "user"), ("response", "assistant")))),
     ({"prompt": "", "completion": ""}, Mapping(turns=(("prompt", "user"), ("completion", "assistant")))),
     ({"question": "", "answer": ""}, Mapping(turns=(("question", "user"), ("answer", "assistant")))),
-    ({"instruction": "", "output": ""}, Mapping(turns=(("instruction", "user"), ("output", "assistant")))),
-    ({"system": "", "instruction": "", "output": ""}, Mapping(turns=(*_lead, ("instruction", "user"), ("output", "assistant")))),
+    ({"instruction": "", "output": ""}, Mapping(turns=_ALPACA)),
+    ({"instruction": "", "response": ""}, Mapping(turns=(("instruction", "user"), ("response", "assistant")))),
+    ({"instruction": "", "context": "", "response": ""}, Mapping(turns=(("instruction", "user"), ("context", "user"), ("response", "assistant")))),
+    ({"instruction": "", "input": "", "output": ""}, Mapping(turns=_ALPACA)),
+    ({"instruction": "", "input": "", "output": "", "history": []}, Mapping(turns=_ALPACA, pairs="history")),
+    ({"instruction": "", "input": "", "output": "", "history": [[""]]}, Mapping(turns=_ALPACA, pairs="history")),
+    ({"system": "", "instruction": "", "input": "", "output": "", "history": [[""]]}, Mapping(turns=(*_lead, *_ALPACA), pairs="history")),
+    ({"system": "", "instruction": "", "input": "", "output": ""}, Mapping(turns=(*_lead, *_ALPACA))),
+    ({"system": "", "instruction": "", "output": ""}, Mapping(turns=(*_lead, *_ALPACA))),
+    ({"system_prompt": "", "question": "", "response": ""}, Mapping(turns=(("system_prompt", "system"), ("question", "user"), ("response", "assistant")))),
+    ({"question": "", "response": ""}, Mapping(turns=(("question", "user"), ("response", "assistant")))),
+    ({"input": "", "output": ""}, Mapping(turns=(("input", "user"), ("output", "assistant")))),
     ({"messages": [{"role": "", "content": ""}]}, _many(many="messages")),
     ({"messages": []}, _many(many="messages")),
     ({"messages": [{"role": "", "text": ""}]}, _many(many="messages", text="text")),
@@ -131,20 +213,21 @@ def canonical_turns(records: DataFrame, layouts: list[tuple[dict, Mapping]] = LA
     """(conv_id, record: JSON) -> conv_id, layout (the fingerprint), turns; turns are null where no mapping fits."""
     known = Layouts(layouts)
 
-    def read(batch: pa.RecordBatch) -> tuple[None, list]:
+    def made(batch: pa.RecordBatch) -> tuple[None, list]:
         found, turns = [], []
         for text in values(batch, "record"):
             try:
                 value = json.loads(text or "null")
-            except ValueError:
+            except (ValueError, RecursionError):  # no JSON, or nested beyond any layout
                 value = None
             paths = field_paths(value)
             found.append(hashed(paths))
             mapping = known.of(found[-1], paths) if isinstance(value, dict) else None
-            turns.append(None if mapping is None else [{"role": r, "text": t} for r, t in mapping.read(value)])
+            read = mapping.read(value) if mapping else None
+            turns.append(None if read is None else [{"role": r, "text": t} for r, t in read])
         return None, [found, turns]
 
-    return batched(records.select(F.col("conv_id").cast("long"), "record"), ["conv_id"], f"layout string, turns {TURNS}", read)
+    return batched(records.select(F.col("conv_id").cast("long"), "record"), ["conv_id"], f"layout string, turns {TURNS}", made)
 
 
 def as_records(conversations: DataFrame) -> DataFrame:

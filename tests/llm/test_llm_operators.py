@@ -583,37 +583,68 @@ def test_pii_plan_is_native(spark, documents):
 # --- 7 licenses ---------------------------------------------------------------------------------
 
 
+def plain_licenses(words, templates=licenses.TEMPLATES):
+    """Labels beside the base ones, from the definition: whole short templates, ordered words of longer ones in half overlapping windows."""
+    out = {}
+    for label, text in templates:
+        whole = re.findall("[0-9a-z]+", text.lower())
+        distinct = list(dict.fromkeys(whole))
+        if len(distinct) < 10:
+            if any(words[k: k + len(whole)] == whole for k in range(len(words))):
+                out[label] = 1.0
+            continue
+        size = next(n for n in (16, 32, 64, 128) if n >= len(whole))
+        for k in range(0, max(1, len(words)), size):
+            best = [0] * (len(distinct) + 1)
+            for w in words[k: k + 2 * size]:
+                best = [0, *(max(best[j + 1], best[j] + 1) if d == w else best[j + 1] for j, d in enumerate(distinct))]
+                for j in range(1, len(best)):
+                    best[j] = max(best[j], best[j - 1])
+            if best[-1] >= 0.8 * len(distinct) - 1e-9:
+                out[label] = max(out.get(label, 0), best[-1] / len(distinct))
+    return out
+
+
 def test_license_scan_against_brute_force(spark, documents, odd):
+    rng = np.random.default_rng(11)
     text = "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of it"
-    own = spark.createDataFrame([(70_001, text), (70_002, "the general public license mit license MIT-License"), (70_003, "released under the mit")], "doc_id long, text string")
-    docs = documents.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 50_000).alias("doc_id"), "text")).unionByName(own)
+    own = ["the general public license mit license MIT-License", "released under the mit", text]
+    for _, t in licenses.TEMPLATES:
+        words = t.split()
+        holed = " ".join(w for w in words if rng.random() > 0.12)
+        mixed = " ".join(rng.permutation(words))
+        # The template whole, with gaps and out of order, amidst words of other templates and of no template.
+        filler = lambda n: " ".join(rng.choice(["stone", "the", "of", "license", "river", "version", "software", "in"], n))
+        own += [filler(n) + " " + x + " " + filler(40) for n in (0, 7, 33) for x in (t, holed, mixed)]
+    docs = documents.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 50_000).alias("doc_id"), "text")).unionByName(spark.createDataFrame([(70_000 + i, t) for i, t in enumerate(own)], "doc_id long, text string"))
     got = licenses.license_scan(docs).collect()
     assert len(got) == docs.count()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    split = lambda t: [w for w in re.split(licenses.GAP, (t or "").translate(low)) if w]
+    seen = set()
     for r in got:
-        t = texts[r["doc_id"]]
-        words = split(t)
+        words = [w for w in re.split(licenses.GAP, (texts[r["doc_id"]] or "").translate(low)) if w]
         places = [(k, label) for p, label in licenses.PHRASES.items() for q in [p.split()] for k in range(len(words)) if words[k: k + len(q)] == q]
-        labels = {label for _, label in places}
-        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(words), len(places), ",".join(sorted(labels)))
+        base, more = {label for _, label in places}, plain_licenses(words)
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(words), len(places), ",".join(sorted(base)))
         assert (r["first_word"], r["last_word"]) == (min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
-        for block in re.split(licenses.BLOCK_END, t or ""):
-            have = set(split(block))
-            for label, template in licenses.TEMPLATES:
-                want = set(licenses.template_words(template))
-                if len(want & have) >= (len(want) if len(want) < 10 else 0.8 * len(want) - 1e-9):
-                    labels.add(label)
-        assert r["labels"] == ",".join(sorted(labels)), r["doc_id"]
+        assert r["labels"] == ",".join(sorted(base | set(more))), r["doc_id"]
+        assert r["score"] == pytest.approx(1.0 if places else max(more.values(), default=0.0))
+        seen |= set(more)
+    assert seen == {label for label, _ in licenses.TEMPLATES}
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
 def test_license_labels_by_hand(spark):
+    header = dict(licenses.TEMPLATES)["apache-2.0-header"]
+    line = "stone river " * 1500
     texts = {
         "Licensed under CC BY-SA 4.0": "cc-by-sa-4.0", "Licensed under CC BY-NC 4.0": "cc-by-nc-4.0", "He released it late. Under no license did the team act.": "", "Released under the MIT License.": "mit,mit-notice",
         "We are licensed under some terms.\n\nThe Apache tribe has a license.": "", "Version 2.0 of the Apache License": "apache", "Licensed under the Apache License, Version 2.0": "apache,apache-2.0-notice",
         "This is a free program and the software can be modified.": "", "": "",
+        "He was released under pressure. The MIT team lost its fishing license.": "", "Licensed dealers sold 4 cars; 0 came by train. Under BY law the CC and SA groups met.": "",
+        "The GNU herd. This work, version 3, is licensed under general public review; a license.": "", line + header + line: "apache,apache-2.0-header,apache-2.0-notice", line + " ".join(reversed(header.split())) + line: "",
+        "This work is licensed under the GNU General Public License, version 3": "gpl,gpl-3.0-notice",
     }
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(docs).collect()}
@@ -725,7 +756,7 @@ def test_layouts_become_turns(spark):
     assert got == {0: [("user", "p"), ("assistant", "r")], 1: [("system", "s"), ("user", "i"), ("assistant", "")], 2: [("user", "h"), ("assistant", "g")], 3: [("tool", "x")], 4: None, 8: None, 9: None}
     odd_ones = [
         ({"messages": [{"role": "human", "content": "h", "name": "n"}, {"role": "gpt", "content": "g", "weight": 1}]}, [("user", "h"), ("assistant", "g")]),
-        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": "c"}], "id": 7}, [("user", "ab"), ("assistant", "c")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "image_url": {"link": "u"}}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": "c"}], "id": 7}, [("user", "ab"), ("assistant", "c")]),
         ({"prompt": "p", "response": "r", "meta": {"score": 1.5}}, [("user", "p"), ("assistant", "r")]), ({"turns": [{"speaker": "human", "text": "t"}]}, [("human", "t")]),
     ]
     df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(odd_ones)], "conv_id long, record string")
@@ -734,6 +765,54 @@ def test_layouts_become_turns(spark):
     assert chat.fingerprint({"a": [{"b": "x"}, {"b": None}]}) == chat.fingerprint({"a": [{"b": "y"}]})
 
 
+@pytest.mark.parametrize("record, want", [
+    ({"instruction": "do", "input": "this", "output": "done"}, [("user", "do\n\nthis"), ("assistant", "done")]),
+    ({"instruction": "do", "input": "", "output": "done"}, [("user", "do"), ("assistant", "done")]),
+    ({"instruction": "do", "input": "", "output": "done", "history": [["a", "b"], ["c", "d"]]}, [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d"), ("user", "do"), ("assistant", "done")]),
+    ({"system": "s", "instruction": "do", "input": "", "output": "x", "history": [["a", "b"]]}, [("system", "s"), ("user", "a"), ("assistant", "b"), ("user", "do"), ("assistant", "x")]),
+    ({"instruction": "do", "input": "", "output": "x", "history": [["a"]]}, None),
+    ({"system": "s", "instruction": "do", "input": "it", "output": "x"}, [("system", "s"), ("user", "do\n\nit"), ("assistant", "x")]),
+    ({"instruction": "i", "context": "c", "response": "r", "category": "qa"}, [("user", "i\n\nc"), ("assistant", "r")]),
+    ({"system_prompt": "s", "question": "q", "response": "r", "id": "flan.1"}, [("system", "s"), ("user", "q"), ("assistant", "r")]),
+    ({"input": "q", "output": "r"}, [("user", "q"), ("assistant", "r")]),
+    ({"prompt": "p", "response": "r", "rejected": "other"}, None),
+    ({"messages": [{"role": "user", "content": "a"}, {"role": "user", "content": 3}]}, None),
+    ({"messages": [{"role": "user", "content": "a"}, {"role": "user", "content": {"x": "y"}}]}, None),
+    ({"messages": [{"role": "user", "content": "a"}, "b"]}, None), ({"messages": [{"role": "user", "content": "a"}, {"role": 1, "content": "a"}]}, None),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": 2}]}]}, None),
+    ({"messages": [{"role": "assistant", "content": "a", "tool_calls": [{"function": {"arguments": "{}"}}]}]}, None),
+    ({"messages": [{"role": "user", "content": "\ud800"}]}, None),
+])
+def test_no_layout_loses_text(record, want):
+    known = chat.Layouts(chat.LAYOUTS)
+    paths = chat.field_paths(record)
+    mapping = known.of(chat.hashed(paths), paths)
+    assert (mapping.read(record) if mapping else None) == want
+
+
+_NAMES = st.sampled_from(["prompt", "response", "instruction", "input", "output", "history", "system", "messages", "conversations", "turns", "role", "content", "text", "from", "value", "type", "id", "x"])
+_JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=4), lambda inner: st.lists(inner, max_size=3) | st.dictionaries(_NAMES, inner, max_size=4), max_leaves=12)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.dictionaries(_NAMES, _JSON, max_size=5))
+def test_any_record_is_read_whole_or_not_at_all(record):
+    known = chat.Layouts(chat.LAYOUTS)
+    paths = chat.field_paths(record)
+    mapping = known.of(chat.hashed(paths), paths)
+    turns = mapping.read(record) if mapping else None
+    if turns is None:
+        return
+    held, told = [("", record)], "\n".join(t for turn in turns for t in turn)
+    while held:
+        name, v = held.pop()
+        if name in chat.ABOUT | {"role", "from", "speaker"}:
+            continue
+        if isinstance(v, str):
+            assert v in told or not v.strip()
+        held += v.items() if isinstance(v, dict) else [(name, x) for x in v] if isinstance(v, list) else []
+
+
 def test_op10_against_brute_force(spark, sf):
     got = {r["conv_id"]: r for r in queries.op10_chat_layouts(spark, sf).collect()}
     rows = spark.read.parquet(f"{sf}/conversations.parquet").collect() + [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
