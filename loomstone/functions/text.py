@@ -157,10 +157,13 @@ def redact_map(m: Column) -> Column:
 
 
 def redact_json(x: Column) -> Column:
-    """A JSON text with its secrets gone, at any depth and within arrays; what is no JSON is redacted as a text.
+    """A JSON text with its secrets gone, at any depth and within arrays.
 
-    The value of a sensitive key goes, whatever its type; other strings are redacted as texts; numbers, booleans and
-    nulls stay as they are. SQL has no walk over a value of unknown depth, so this runs in Arrow batches.
+    The value of a sensitive key goes, whatever its type; other strings are redacted as texts, and so are keys; numbers,
+    booleans and nulls stay as they are. A text that is no JSON (cut off, followed by something else, nested deeper than the parser
+    goes) is redacted as a text, and what follows a quoted sensitive key goes by pattern: a whole string, a scalar, or all
+    that is left of the text where an object or array begins, since its end cannot be told. SQL has no walk over a value of unknown depth, so this
+    runs in Arrow batches.
     """
 
     @F.pandas_udf("string")
@@ -174,20 +177,43 @@ def redact_json(x: Column) -> Column:
                 s = p.sub(r, s)
             return s
 
-        def walk(v: object) -> object:
-            if isinstance(v, dict):
-                return {k: "[REDACTED]" if sensitive.search(k) else walk(i) for k, i in v.items()}
-            if isinstance(v, list):
-                return [walk(i) for i in v]
-            return plain(v) if isinstance(v, str) else v
+        # A quoted key that holds a sensitive word, its colon, and the value: a string (whole or cut off), the rest from a bracket on, or a scalar.
+        keyed = re.compile(rf'("(?:[^"\\]|\\.)*?(?:{SENSITIVE_KEY[4:]})(?:[^"\\]|\\.)*"\s*:\s*)("(?:[^"\\]|\\.)*"?|[\[{{].*|[^\s,\]}}]+)', re.I | re.S)
+
+        def broken(s: str) -> str:
+            return plain(keyed.sub(r'\1"[REDACTED]"', s))
+
+        def walked_value(top: object) -> object:
+            out: list = [top]
+            held = [(out, 0)]  # containers and the places in them that are still to be looked at
+            while held:
+                into, at = held.pop()
+                v = into[at]
+                if isinstance(v, str):
+                    into[at] = plain(v)
+                elif isinstance(v, list):
+                    into[at] = list(v)
+                    held += [(into[at], k) for k in range(len(v))]
+                elif isinstance(v, dict):
+                    # A key that is a secret itself goes, too; equal ones are told apart by their number.
+                    into[at] = new = {}
+                    for k, i in v.items():
+                        name, n = plain(k), 1
+                        while name in new:
+                            n += 1
+                            name = f"{plain(k)} {n}"
+                        new[name] = "[REDACTED]" if sensitive.search(k) else i
+                        if not sensitive.search(k):
+                            held.append((new, name))
+            return out[0]
 
         def one(t: str | None) -> str | None:
             if t is None:
                 return None
             try:
-                return json.dumps(walk(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
+                return json.dumps(walked_value(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
             except (ValueError, RecursionError):
-                return plain(t)
+                return broken(t)
 
         return texts.map(one)
 

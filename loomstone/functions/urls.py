@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,3 +89,34 @@ def ipv4_number(x: Column) -> Column:
     parts = F.split(x, r"\.")
     value = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p.cast("long"))
     return F.when(x.rlike(rf"^{IPV4}$"), value)
+
+
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once however often it is used."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
+def address_words(x: Column) -> Column:
+    """struct<hi: bigint, lo: bigint>: an address as 128 bits; IPv4 as its form within IPv6 (::ffff:a.b.c.d); null where it is neither.
+
+    Any spelling of IPv6 is read: short forms, upper case, a dotted end, a zone, brackets.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"^\[|\]$", ""), r"%.*$", "")
+
+    def in_groups(t: Column) -> Column:
+        """A dotted end as two groups."""
+        dotted = F.regexp_extract(t, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+        hexed = lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(0xFFFF)))))
+        return let(dotted, lambda d: F.when(d == "", t).otherwise(F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(d)), let(ipv4_number(d), hexed))))
+
+    def eight(halves: Column) -> Column:
+        """The groups, with those that :: stands for."""
+        side = lambda h: F.when(h == "", F.array().cast("array<string>")).otherwise(F.split(h, ":"))
+        filled = lambda a: let(side(F.get(halves, F.lit(1))), lambda b: F.when(F.size(a) + F.size(b) <= 7, F.concat(a, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(a) - F.size(b))), b)))
+        return let(side(F.get(halves, F.lit(0))), lambda a: F.when(F.size(halves) == 1, a).when(F.size(halves) == 2, filled(a)))
+
+    word = lambda g, a: F.aggregate(F.slice(g, a, 4), F.lit(0).cast("long"), lambda h, p: F.shiftleft(h, 16).bitwiseOR(F.conv(p, 16, 10).cast("long")))
+    sound = lambda g: (F.size(g) == 8) & F.forall(g, lambda p: p.rlike("^[0-9a-f]{1,4}$"))
+    words = lambda t: let(eight(F.split(in_groups(t), "::")), lambda g: F.when(sound(g), F.struct(word(g, 1).alias("hi"), word(g, 5).alias("lo"))))
+    four = lambda n: F.struct(F.lit(0).cast("long").alias("hi"), n.bitwiseOR(F.lit(0xFFFF << 32)).alias("lo"))
+    return let(text, lambda t: F.when(F.contains(t, F.lit(":")), words(t)).otherwise(let(ipv4_number(t), lambda n: F.when(n.isNotNull(), four(n)))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,13 @@ ISSUE = ["code", "message", "key"]
 
 #: IPv4 ranges that are not public.
 BLOCKED = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4"]
+#: IPv6 ranges that are allocated to registries, and the one among them that is for documentation. Other IPv6 addresses are not public.
+ALLOCATED = [
+    "2001:200::/23", "2001:400::/23", "2001:600::/23", "2001:800::/22", "2001:c00::/23", "2001:e00::/23", "2001:1200::/23", "2001:1400::/22", "2001:1800::/23", "2001:1a00::/23", "2001:1c00::/22", "2001:2000::/19",
+    "2001:4000::/23", "2001:4200::/23", "2001:4400::/23", "2001:4600::/23", "2001:4800::/23", "2001:4a00::/23", "2001:4c00::/23", "2001:5000::/20", "2001:8000::/19", "2001:a000::/20", "2001:b000::/20", "2003::/18",
+    "2400::/12", "2410::/12", "2600::/12", "2610::/23", "2620::/23", "2630::/12", "2800::/12", "2a00::/12", "2a10::/12", "2c00::/12",
+]
+DOCUMENTATION = ["2001:db8::/32"]
 PORTS = [80, 443]
 LOCAL_NAMES = r"^localhost$|\.localhost$|\.local$|\.internal$"
 
@@ -89,22 +98,62 @@ def blocked_ranges() -> list[tuple[int, int]]:
     return out
 
 
+def range_words(cidr: str) -> tuple[int, int, int]:
+    """(bits, hi, lo) of a range, IPv4 within IPv6; hi and lo as signed longs."""
+    net = ipaddress.ip_network(cidr)
+    bits, value = (net.prefixlen, int(net.network_address)) if net.version == 6 else (net.prefixlen + 96, int(net.network_address) | 0xFFFF << 32)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    return bits, signed(value >> 64), signed(value & (1 << 64) - 1)
+
+
+def public_ranges() -> list[tuple[int, int, int, bool]]:
+    """(bits, hi, lo, public): all IPv4 but what is blocked, and the allocated IPv6; the longest range that holds an address decides."""
+    told = [(c, True) for c in ("0.0.0.0/0", *ALLOCATED)] + [(c, False) for c in (*BLOCKED, *DOCUMENTATION)]
+    return [(*range_words(c), public) for c, public in told]
+
+
+def longest_prefix(rows: DataFrame, ranges: DataFrame, value: str) -> DataFrame:
+    """rows (hi, lo, ...) with the value of the longest range (bits, hi, lo, value) that holds them, null where none does.
+
+    Each distinct address is looked up by equi-joins, once per prefix length that the ranges have, so the ranges may be of any number.
+    """
+    lengths = sorted(r[0] for r in ranges.select("bits").distinct().collect())  # at most 129
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    masks = [signed((1 << 128) - (1 << 128 - b) >> 64) for b in lengths], [signed((1 << 128) - (1 << 128 - b) & (1 << 64) - 1) for b in lengths]
+    cut = F.array(*[F.struct(F.lit(b).alias("bits"), F.col("hi").bitwiseAND(F.lit(h).cast("long")).alias("m_hi"), F.col("lo").bitwiseAND(F.lit(w).cast("long")).alias("m_lo")) for b, h, w in zip(lengths, *masks, strict=True)])
+    if not lengths:
+        return rows.withColumn(value, F.lit(None).cast(ranges.schema[value].dataType))
+    asked = rows.where("hi is not null").select("hi", "lo").distinct().select("hi", "lo", F.explode(cut).alias("c")).select("hi", "lo", "c.*")
+    met = asked.join(ranges.select("bits", F.col("hi").alias("m_hi"), F.col("lo").alias("m_lo"), value), ["bits", "m_hi", "m_lo"])
+    return rows.join(met.groupBy("hi", "lo").agg(F.max_by(value, "bits").alias(value)), ["hi", "lo"], "left")
+
+
+def with_public(rows: DataFrame, ip: str = "ip") -> DataFrame:
+    """rows with public: whether the address may be fetched; false for what is no address, null for null."""
+    ranges = rows.sparkSession.createDataFrame(public_ranges(), "bits int, hi long, lo long, public boolean")
+    words = rows.withColumn("_w", urls.address_words(F.col(ip))).withColumns({"hi": F.col("_w.hi"), "lo": F.col("_w.lo")}).drop("_w", "public")
+    return longest_prefix(words, ranges, "public").withColumn("public", F.when(F.col(ip).isNotNull(), F.coalesce("public", F.lit(False)))).drop("hi", "lo")
+
+
 def public_address(ip: Column) -> Column:
-    """A public IPv4, or an IPv6 of the allocated ranges that is not for documentation; IPv4 within IPv6 counts as IPv4."""
-    x = F.lower(F.trim(ip))
-    mapped = F.regexp_extract(x, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    v4 = urls.ipv4_number(F.when(mapped != "", mapped).otherwise(x))
-    blocked = F.lit(False)
-    for low, high in blocked_ranges():
-        blocked = blocked | v4.between(low, high)
-    v6 = x.rlike(r"^[23][0-9a-f]{3}:") & ~x.rlike(r"^2001:0?db8:|^2002:|^2001:0{0,4}:|^3fff:")
-    return F.when(v4.isNotNull(), ~blocked).otherwise(F.contains(x, F.lit(":")) & v6)
+    """The same as an expression, by comparing with every range: for a few addresses."""
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+
+    def decided(w: Column) -> Column:
+        rules_ = []
+        for bits, hi, lo, public in sorted(public_ranges(), reverse=True):  # the longest range first
+            mask = (1 << 128) - (1 << 128 - bits)
+            held = (w["hi"].bitwiseAND(F.lit(signed(mask >> 64)).cast("long")) == hi) & (w["lo"].bitwiseAND(F.lit(signed(mask & (1 << 64) - 1)).cast("long")) == lo)
+            rules_.append(F.when(held, F.lit(public)))
+        return F.coalesce(*rules_, F.lit(False))
+
+    return urls.let(urls.address_words(ip), decided)
 
 
 def url_safety(resolved: DataFrame) -> DataFrame:
     """(url, ip) rows, a row per address -> (url, reason): null where the URL may be fetched."""
     u = F.col("url")
-    seen = resolved.groupBy("url").agg(F.count("ip").alias("n"), F.bool_and(public_address(F.col("ip"))).alias("public"))
+    seen = with_public(resolved.select("url", "ip")).groupBy("url").agg(F.count("ip").alias("n"), F.bool_and("public").alias("public"))
     reason = (
         F.when(F.coalesce(urls.scheme(u), F.lit("")).isin("http", "https") == False, "SCHEME")  # noqa: E712
         .when(F.contains(urls.authority(u), F.lit("@")), "CREDENTIALS").when(urls.host(u).rlike(LOCAL_NAMES), "LOCAL_HOST")

@@ -80,15 +80,48 @@ def sync_plan(manifest: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def execution_slice(manifest: DataFrame, source: str | None = None, after: tuple[str, str] | None = None, limit: int | None = None) -> DataFrame:
-    """The enabled documents to take next, in manifest order, strictly after a (source, key); next is the cursor, only where a limit cut."""
+def document_plan(manifest: DataFrame, sources: DataFrame) -> DataFrame:
+    """What a run would do with each configured document: planned, or skipped with a reason.
+
+    manifest: source_key, stable_key, title, url, language, mime_type, enabled; sources: source_key, enabled. A document of an unknown
+    source is not planned, nor is one that is disabled itself or by its source.
+    """
+    s = sources.select("source_key", F.col("enabled").alias("_source"))
+    joined = manifest.join(s, "source_key", "left")
+    reason = F.when(F.col("_source").isNull(), "SOURCE_NOT_FOUND").when(~F.coalesce("enabled", F.lit(True)) | ~F.col("_source"), "DISABLED")
+    return joined.select(*manifest.columns, F.when(reason.isNull(), "planned").otherwise("skipped").alias("status"), reason.alias("reason"))
+
+
+def manifest_fingerprint(manifest: DataFrame) -> str:
+    """The same for the same enabled documents in the same order, however the rows lie; made of sums, without a sort."""
+    row = [c for c in ("source_ord", "document_ord", "source_key", "stable_key", "url") if c in manifest.columns]
+    h = [F.xxhash64(F.lit(k), *row) for k in range(4)]
+    r = manifest.where("enabled").agg(F.count("*").alias("n"), *[F.coalesce(F.bit_xor(x), F.lit(0)).alias(f"x{k}") for k, x in enumerate(h)], F.coalesce(F.sum(F.pmod(h[0], F.lit(1 << 32))), F.lit(0)).alias("s"))
+    return r.select(F.sha2(F.concat_ws(":", "n", "x0", "x1", "x2", "x3", "s"), 256)).first()[0]
+
+
+def execution_slice(manifest: DataFrame, source: str | None = None, after: tuple[str, str] | None = None, limit: int | None = None, fingerprint: str | None = None) -> DataFrame:
+    """The enabled documents to take next, in manifest order, strictly after a (source, key).
+
+    Each row has next_source and next_key, the cursor for the next call: the last row of the slice, null where nothing is left behind it. A
+    fingerprint (of manifest_fingerprint) that no longer fits is an error, since the cursor was of another manifest, and so is a cursor that it does not have.
+    """
+    if fingerprint is not None and fingerprint != manifest_fingerprint(manifest):
+        raise ValueError("the manifest has changed since the cursor was made")
     rows = manifest.where("enabled") if source is None else manifest.where("enabled").where(F.col("source_key") == source)
     place = F.struct("source_ord", "document_ord")
     if after is not None:
         at = manifest.where((F.col("source_key") == after[0]) & (F.col("stable_key") == after[1])).agg(F.max(place).alias("cursor"))
-        rows = rows.join(F.broadcast(at), place > F.col("cursor"))
-    rows = rows.orderBy("source_ord", "document_ord")
-    return rows.limit(limit) if limit is not None else rows
+        if at.first()["cursor"] is None:
+            raise ValueError("the manifest does not have the document of the cursor")
+        rows = rows.join(F.broadcast(at), place > F.col("cursor")).drop("cursor")
+    cut = rows.orderBy("source_ord", "document_ord").limit(limit + 1) if limit is not None else rows
+    if limit is None:
+        return cut.withColumns({"next_source": F.lit(None).cast("string"), "next_key": F.lit(None).cast("string")}).orderBy("source_ord", "document_ord")
+    order, every = Window.orderBy("source_ord", "document_ord"), Window.partitionBy()  # at most limit + 1 rows
+    numbered = cut.withColumns({"_n": F.row_number().over(order), "_more": F.count("*").over(every) > limit}).where(F.col("_n") <= limit)
+    last = F.when(F.col("_more"), F.max(F.struct("_n", "source_key", "stable_key")).over(every))
+    return numbered.withColumn("_last", last).select(*manifest.columns, F.col("_last.source_key").alias("next_source"), F.col("_last.stable_key").alias("next_key")).orderBy("source_ord", "document_ord")
 
 
 def outcomes(manifest: DataFrame, log: DataFrame, sources: DataFrame, documents: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,12 +102,15 @@ def extracted(pages: DataFrame) -> DataFrame:
     A null page is empty; a page without title is named by its host; a bad canonical link falls back to the page's URL.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [page_parts(h or "", u or "") for u, h in zip(batch["url"], batch["html"], strict=True)]
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "title": [r[0] for r in rows], "link": [r[1] for r in rows], "markdown": [r[2] for r in rows], "found": [r[3] for r in rows]})
+            page_id, url, page = (batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "html"))
+            rows = [page_parts(h or "", u or "") for u, h in zip(url.to_pylist(), page.to_pylist(), strict=True)]
+            title, link, markdown = (pa.array([r[k] for r in rows], pa.string()) for k in range(3))
+            # The id and the address go on as they came: null and 64-bit ids stay exact.
+            yield pa.RecordBatch.from_arrays([page_id, url, title, link, markdown, pa.array([r[3] for r in rows], pa.list_(pa.string()))], names=["page_id", "url", "title", "link", "markdown", "found"])
 
-    raw = pages.select("page_id", "url", "html").mapInPandas(read, "page_id long, url string, title string, link string, markdown string, found array<string>")
+    raw = pages.select("page_id", "url", "html").mapInArrow(read, f"page_id {dict(pages.dtypes)['page_id']}, url string, title string, link string, markdown string, found array<string>")
     links = F.array_distinct(F.filter(F.transform("found", urls.canonical_url), lambda u: u.isNotNull()))
     return raw.select(
         "page_id", "url", F.coalesce(F.nullif("title", F.lit("")), urls.host(F.col("url"))).alias("title"),
@@ -117,7 +120,27 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 def first_links(pages: DataFrame, blocked_hosts: DataFrame, n: int, look_at: int | None = None) -> DataFrame:
     """The first n links of each page whose host is not blocked; at most max(32, 4n) are looked at."""
+    return _first(_looked_at(pages, n, look_at).join(blocked_hosts.select("host").distinct(), "host", "left_anti"), n)
+
+
+def approved_links(pages: DataFrame, addresses: DataFrame, n: int, look_at: int | None = None) -> DataFrame:
+    """The first n links of each page that may be fetched; addresses (host, ip) has a row for each address of a host, null where it has none.
+
+    Every link looked at is audited by its own address, and a link whose host is in no row counts as one without address;
+    links are ranked after that, so one that is turned down makes room for the next.
+    """
+    from .audit import url_safety
+
+    found = _looked_at(pages, n, look_at)
+    asked = found.select(F.col("link").alias("url"), "host").distinct().join(addresses.select("host", "ip"), "host", "left").select("url", "ip")
+    good = url_safety(asked).where("reason is null").select(F.col("url").alias("link"))
+    return _first(found.join(good, "link", "left_semi"), n)
+
+
+def _looked_at(pages: DataFrame, n: int, look_at: int | None) -> DataFrame:
     most = look_at or max(32, 4 * n)
-    found = pages.select("page_id", F.posexplode(F.slice("links", 1, most)).alias("at", "link")).withColumn("host", urls.host(F.col("link")))
-    open_ = found.join(blocked_hosts.select("host").distinct(), "host", "left_anti")
-    return open_.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("at"))).where(F.col("n") <= n).select("page_id", "n", "link")
+    return pages.select("page_id", F.posexplode(F.slice("links", 1, most)).alias("at", "link")).withColumn("host", urls.host(F.col("link")))
+
+
+def _first(links: DataFrame, n: int) -> DataFrame:
+    return links.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("at"))).where(F.col("n") <= n).select("page_id", "n", "link")

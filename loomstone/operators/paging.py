@@ -33,8 +33,26 @@ def next_offset(total: int, offset: int, limit: int) -> int | None:
 
 
 def key_page(rows: DataFrame, key: str, before: int | None, limit: int) -> DataFrame:
-    """The newest rows before a key; one more than asked for tells that there is a next page."""
-    return (rows if before is None else rows.where(F.col(key) < before)).orderBy(F.col(key).desc()).limit(limit + 1)
+    """The newest rows before a key, with next_before (the key to go on from, on all rows; null on the last page) and total.
+
+    total counts all rows, whatever the key. One row more than asked for is looked at, and tells whether there is a next page.
+    """
+    total = rows.agg(F.count("*").alias("total"))
+    page = (rows if before is None else rows.where(F.col(key) < before)).orderBy(F.col(key).desc()).limit(limit + 1)
+    every = Window.partitionBy()  # at most limit + 1 rows
+    page = page.withColumns({"_n": F.row_number().over(Window.orderBy(F.col(key).desc())), "_more": F.count("*").over(every) > limit}).where(F.col("_n") <= limit)
+    last = F.when(F.col("_more"), F.min(key).over(every)).alias("next_before")
+    return page.select(*rows.columns, last).join(F.broadcast(total))
+
+
+def key_pages(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Every row with its page (from 0, newest key first), next_before (null on the last page) and total: what key_page gives, page after page."""
+    ranked = running(rows, [key], F.lit(1), desc=True)
+    page = F.floor((F.col("rank") - 1) / size).cast("long")
+    numbered = ranked.select(*rows.columns, page.alias("page"), F.col("n").alias("total"))
+    last = numbered.groupBy("page").agg(F.min(key).alias("_last"))
+    out = numbered.join(last, "page")
+    return out.select(*rows.columns, "page", F.when((F.col("page") + 1) * size < F.col("total"), F.col("_last")).alias("next_before"), "total")
 
 
 def paged(rows: DataFrame, key: str, size: int = 20) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +17,8 @@ DIMENSIONS = 64
 TOKEN, STEM, PAIR = 1.0, 0.6, 0.75
 LEXICAL, RERANK = 0.65, 0.35
 FUSION_K, FUSION_DEPTH = 60, 40
+#: Vectors and queries of a block.
+VECTORS, ASKED = 8192, 1024
 
 
 def hashed_vector(x: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -73,37 +75,50 @@ def reranked(hits: DataFrame, limit: int = 10, candidates: int | None = None) ->
     return scored.withColumn("new_position", F.row_number().over(best)).where(F.col("new_position") <= limit)
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """(query_id, embedding) against (vec_id, embedding): the k largest inner products per query.
+def sound_vector(e: Column) -> Column:
+    """Not null, not empty, and every entry a finite number."""
+    return F.coalesce((F.size(e) > 0) & F.forall(e, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))), F.lit(False))
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = VECTORS, query_block: int = ASKED) -> DataFrame:
+    """(query_id, embedding) against (vec_id, embedding): the k largest inner products per query, ties by vec_id.
 
-    Each task scores its vectors against blocks of the query table and keeps k per query before anything moves.
-    The query table is written out with the tasks in blocks of a bounded number of rows.
+    Both sides are dealt to blocks of a bounded number of rows, each pair of blocks is one group of a cogroup and
+    keeps k rows a query, and those are ranked; the vectors are scanned once, and nothing passes through the driver. Vectors meet
+    queries of their own length only; a vector or query that is null, empty, or holds null or non-finite entries takes no part; an
+    empty table on either side gives an empty result. Ids may be of any type that sorts, and stay as they are.
     """
-    out = None
-    numbered = queries.select("query_id", "embedding").orderBy("query_id")
-    total, at, last = numbered.count(), 0, None
-    while at < total:
-        part = numbered if last is None else numbered.where(F.col("query_id") > last)
-        rows = part.limit(block).collect()  # a block of queries, not of the corpus
-        if not rows:
-            break
-        last, at = rows[-1]["query_id"], at + len(rows)
-        ids, matrix = [r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], float)
-
-        def scored(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            held: list[pd.DataFrame] = []
-            for batch in batches:
-                x = np.stack(batch["embedding"].to_numpy()).astype(float)
-                s = x @ matrix.T
-                top = np.argsort(-s, axis=0, kind="stable")[:k]
-                got = pd.DataFrame({"query_id": np.repeat(ids, len(top)), "vec_id": batch["vec_id"].to_numpy()[top.T.ravel()], "similarity": np.take_along_axis(s, top, 0).T.ravel()})
-                held = [pd.concat([*held, got]).sort_values(["query_id", "similarity", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)]
-            yield from held
-
-        found = vectors.select("vec_id", "embedding").where(F.col("embedding").isNotNull()).mapInPandas(scored, "query_id long, vec_id long, similarity double")
-        out = found if out is None else out.unionByName(found)
-    best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("vec_id"))
-    return out.withColumn("position", F.row_number().over(best)).where(F.col("position") <= k)
+    kind, held = (dict(d.dtypes)[c] for d, c in ((queries, "query_id"), (vectors, "vec_id")))
+    x = F.col("embedding").cast("array<double>")
+    asked = queries.select("query_id", x.alias("x")).where(sound_vector(F.col("x")))
+    rows = vectors.select("vec_id", x.alias("y")).where(sound_vector(F.col("y")))
+    groups, lanes = (max(1, -(-n // size)) for n, size in ((queries.count(), query_block), (vectors.count(), block)))
+    deal = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("query_id", "x", F.size("x").alias("q_width"), deal(groups, "query_id", "x").alias("q_g")).withColumn("q_l", every(lanes))
+    right = rows.select("vec_id", "y", F.size("y").alias("width"), deal(lanes, "vec_id", "y").alias("l")).withColumn("g", every(groups))
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def best(q: pa.Table, v: pa.Table) -> pa.Table:
+        v = v.take(pc.sort_indices(v, [("vec_id", "ascending")])) if v.num_rows else v
+        at, row, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if q.num_rows and v.num_rows:
+            s = matrix(q.column("x")) @ matrix(v.column("y")).T
+            n = min(k, s.shape[1])
+            least = -np.partition(-s, n - 1, axis=1)[:, n - 1]
+            at, row = np.nonzero(s >= least[:, None])
+            score = s[at, row]
+            order = np.lexsort((row, -score, at))
+            first = np.searchsorted(at, np.arange(len(s)))  # at is in order, and so is at[order]
+            order = order[np.arange(len(order)) - first[at] < k]
+            at, row, score = at[order], row[order], score[order]
+        return pa.table([q.column("query_id").take(pa.array(at)), v.column("vec_id").take(pa.array(row)), pa.array(score)], names=["query_id", "vec_id", "similarity"])
+
+    met = left.groupBy("q_g", "q_l", "q_width").cogroup(right.groupBy("g", "l", "width")).applyInArrow(best, f"query_id {kind}, vec_id {held}, similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("vec_id"))
+    return met.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
 def fused(rankings: list[DataFrame], item: str = "section_id", k: int = FUSION_K, depth: int = FUSION_DEPTH, limit: int = 10) -> DataFrame:

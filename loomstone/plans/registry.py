@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, urls
 from ..functions import text as T
 from ..operators import audit, catalog, evaluate, paging, retention, search, sections, vectors, webrank
-from ..operators.pages import extracted, first_links
+from ..operators.pages import extracted
 from ..sources.readers import table
 from ..sources.sinks import shared_folder
 from ..streaming.jobs import redacted_history
@@ -262,12 +262,6 @@ def page_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return extracted(table(spark, sf, "pages"))
 
 
-@query()
-def page_links(spark: SparkSession, sf: str) -> DataFrame:
-    pages = extracted(table(spark, sf, "pages"))
-    return first_links(pages, table(spark, sf, "pages").select(urls.host(F.col("url")).alias("host")).where("host like 'm.%'"), 5)
-
-
 @query()
 def page_selection(spark: SparkSession, sf: str) -> DataFrame:
     pages = extracted(table(spark, sf, "pages"))
@@ -306,8 +300,11 @@ def dense_search(spark: SparkSession, sf: str) -> DataFrame:
 def dense_quality(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", "label")
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    qrels = asked.join(e, "label").select("query_id", "vec_id", F.lit(1).alias("grade"))
-    return evaluate.summary(evaluate.query_quality(asked.select("query_id"), _dense(spark, sf, 10), qrels, "vec_id"))
+    # Relevant are the vectors of the query's label: those of the ten first are looked up, all are only counted.
+    top = evaluate.first_ten(_dense(spark, sf, 10), "vec_id").join(asked.withColumnRenamed("label", "wanted"), "query_id").join(e, "vec_id")
+    graded = top.select("query_id", "rank", F.when(F.col("label") == F.col("wanted"), 1).alias("grade"))
+    totals = asked.join(e.groupBy("label").agg(F.count("*").alias("n")), "label").select("query_id", F.lit(1).alias("grade"), "n")
+    return evaluate.summary(evaluate.graded_quality(asked.select("query_id"), graded, totals))
 
 
 @query(f"""
@@ -320,8 +317,9 @@ def dense_quality(spark: SparkSession, sf: str) -> DataFrame:
 def rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", "label")
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    same = asked.join(e, "label").withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("label", "vec_id")))
-    out = vectors.fused([_dense(spark, sf, 40), same], "vec_id")
+    # The second ranking is that of the label, by id; all queries of a label have the same one, cut to what fusion reads.
+    near = e.withColumn("position", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where(F.col("position") <= vectors.FUSION_DEPTH)
+    out = vectors.fused([_dense(spark, sf, 40), asked.join(near, "label").select("query_id", "vec_id", "position")], "vec_id")
     return out.select("query_id", "vec_id", F.round("fused", 6).alias("fused"), F.col("position").cast("long"))
 
 

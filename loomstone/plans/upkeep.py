@@ -123,11 +123,23 @@ def offset_page(spark: SparkSession, sf: str) -> DataFrame:
     return paging.offset_page(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey", 20, 80)
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_id < 500 ORDER BY event_id DESC LIMIT 21")
+@query("""
+    WITH p AS (SELECT event_id, user_id FROM events WHERE event_id < 500 ORDER BY event_id DESC LIMIT 20)
+    SELECT event_id, user_id, (SELECT min(event_id) FROM p HAVING (SELECT count(*) FROM events WHERE event_id < 500) > 20) AS next_before, (SELECT count(*) FROM events) AS total FROM p
+""")
 def key_page(spark: SparkSession, sf: str) -> DataFrame:
     return paging.key_page(table(spark, sf, "events").select("event_id", "user_id"), "event_id", 500, 20)
 
 
+@query("""
+    WITH r AS (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id DESC) AS k, count(*) OVER () AS total FROM events), p AS (SELECT *, (k - 1) // 70 AS page FROM r)
+    SELECT event_id, user_id, CAST(page AS BIGINT) AS page, CASE WHEN (page + 1) * 70 < total THEN min(event_id) OVER (PARTITION BY page) END AS next_before, total FROM p
+""")
+def key_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event with the page it is on, and the key that the next page goes on from."""
+    return paging.key_pages(table(spark, sf, "events").select("event_id", "user_id"), "event_id", 70)
+
+
 @query("""
     WITH s AS (SELECT o_custkey, o_orderkey, length('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || '}') + 1 AS n FROM orders),
     r AS (SELECT o_custkey, o_orderkey, sum(n) OVER w AS used, row_number() OVER w AS k FROM s WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
@@ -221,14 +233,27 @@ def sync_plans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT c_nationkey AS source_key, c_custkey AS stable_key FROM customer WHERE c_nationkey % 4 <> 0), spot AS (SELECT c_nationkey AS s, c_custkey AS k FROM customer WHERE c_custkey = 10)
-    SELECT source_key, stable_key FROM r, spot WHERE source_key > s OR (source_key = s AND stable_key > k) ORDER BY 1, 2 LIMIT 40
+    WITH m AS (SELECT c_nationkey AS source_key, c_custkey AS stable_key, c_custkey % 9 <> 0 AS enabled FROM customer), s AS (SELECT n_nationkey AS source_key, n_nationkey % 4 <> 0 AS on_ FROM nation WHERE n_nationkey < 22)
+    SELECT source_key, stable_key, enabled, CASE WHEN on_ IS NOT NULL AND on_ AND enabled THEN 'planned' ELSE 'skipped' END AS status,
+           CASE WHEN on_ IS NULL THEN 'SOURCE_NOT_FOUND' WHEN NOT on_ OR NOT enabled THEN 'DISABLED' END AS reason FROM m LEFT JOIN s USING (source_key)
+""")
+def document_plans(spark: SparkSession, sf: str) -> DataFrame:
+    manifest = table(spark, sf, "customer").select(F.col("c_nationkey").alias("source_key"), F.col("c_custkey").alias("stable_key"), (F.col("c_custkey") % 9 != 0).alias("enabled"))
+    sources = table(spark, sf, "nation").where("n_nationkey < 22").select(F.col("n_nationkey").alias("source_key"), (F.col("n_nationkey") % 4 != 0).alias("enabled"))
+    return catalog.document_plan(manifest, sources)
+
+
+@query("""
+    WITH r AS (SELECT c_nationkey AS source_key, c_custkey AS stable_key FROM customer WHERE c_nationkey % 4 <> 0), spot AS (SELECT c_nationkey AS s, c_custkey AS k FROM customer WHERE c_custkey = 10),
+    left_ AS (SELECT source_key, stable_key FROM r, spot WHERE source_key > s OR (source_key = s AND stable_key > k)), p AS (SELECT * FROM left_ ORDER BY 1, 2 LIMIT 40), last AS (SELECT * FROM p ORDER BY 1 DESC, 2 DESC LIMIT 1)
+    SELECT source_key, stable_key, (SELECT source_key FROM last WHERE (SELECT count(*) FROM left_) > 40) AS next_source, (SELECT stable_key FROM last WHERE (SELECT count(*) FROM left_) > 40) AS next_key FROM p
 """)
 def next_slice(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
     manifest = c.select(F.col("c_nationkey").alias("source_ord"), F.col("c_custkey").alias("document_ord"), F.col("c_nationkey").alias("source_key"), F.col("c_custkey").alias("stable_key"), (F.col("c_nationkey") % 4 != 0).alias("enabled"))
     nation = c.where("c_custkey = 10").select("c_nationkey").first()
-    return catalog.execution_slice(manifest, after=(nation[0] if nation else -1, 10), limit=40).select("source_key", "stable_key")
+    found = catalog.execution_slice(manifest, after=(nation[0], 10), limit=40, fingerprint=catalog.manifest_fingerprint(manifest))
+    return found.select("source_key", "stable_key", "next_source", "next_key")
 
 
 _VERSIONS = """

@@ -136,12 +136,12 @@ class Store:
     def parts(self, name: str) -> list[str]:
         return sorted(self.manifest()["tables"].get(name, {"parts": {}})["parts"])
 
-    def commit(self, changes: dict[str, Change], batch: tuple[str, int] | None = None) -> bool:
-        """All changes as one; false where the batch (stream, number) has been committed before."""
+    def commit(self, changes: dict[str, Change | list[Change]], batch: tuple[str, int] | None = None) -> bool:
+        """All changes as one, those of a table in their order; false where the batch (stream, number) has been committed before."""
         told = self.manifest()
         if batch and told["batches"].get(batch[0], -1) >= batch[1]:
             return False
-        for name, change in changes.items():
+        for name, change in [(n, c) for n, given in changes.items() for c in (given if isinstance(given, list) else [given])]:
             table = told["tables"].setdefault(name, {"parts": {}, "schema": None})
             if change.parts is None and not change.add and change.rows is not None:
                 table["parts"] = {}

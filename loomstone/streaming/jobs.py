@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as T
+from ..operators import commits
 from ..operators.catalog import upserted
 from ..sources import sinks
 
@@ -22,6 +23,30 @@ def history_stream(rows: DataFrame, target: str, checkpoint: str, retention: str
     return unique.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def kept_history_stream(rows: DataFrame, base: str, checkpoint: str, days: int = 90) -> StreamingQuery:
+    """Redacted history in the store under base, by day, each request_id once; a batch that appends also drops what is past its days."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        commits.append_history(sinks.Store(batch.sparkSession, base), redacted_history(batch), days, ("history", number))
+
+    return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def version_stream(observations: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
+    """Observed versions, each row with its sections (array of ordinal, heading, content), committed batch by batch to the store under base.
+
+    A batch is one commit of versions, sections and pointers; where it fails, readers see what was before, and its replay is
+    recognised by its number.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        sections = batch.select("document_id", "content_hash", F.inline("sections"))
+        once = sections.dropDuplicates(["document_id", "content_hash", "ordinal"])
+        commits.commit(sinks.Store(batch.sparkSession, base), batch.drop("sections"), once, ("versions", number))
+
+    return observations.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_activity(rows: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Requests per tool and event-time window; what comes later than the watermark is left out."""
     return rows.withWatermark("executed_at", late).groupBy(F.window("executed_at", width).alias("w"), "tool").agg(F.count("*").alias("requests"), F.avg("duration_ms").alias("mean_ms")).select(F.col("w.start").alias("start"), "tool", "requests", "mean_ms")

@@ -307,7 +307,19 @@ def test_retention(spark):
 def test_pages_of_results(spark):
     d = spark.range(45).withColumnRenamed("id", "k")
     assert rows_of(paging.offset_page(d, "k", 40, 20), "k") == [(k,) for k in range(40, 45)] and paging.next_offset(45, 40, 20) is None and paging.next_offset(45, 0, 20) == 20
-    assert rows_of(paging.key_page(d, "k", 10, 3), "k") == [(9,), (8,), (7,), (6,)]
+    n = d.count()
+    assert rows_of(paging.key_page(d, "k", 10, 3), "k", "next_before", "total") == [(9, 7, n), (8, 7, n), (7, 7, n)]
+    # Page after page every row comes once, and the last page has no key to go on from.
+    walked, before = [], None
+    while True:
+        page = paging.key_page(d, "k", before, 7).collect()
+        walked += [r["k"] for r in page]
+        before = page[-1]["next_before"]
+        if before is None:
+            break
+    assert walked == sorted((r["k"] for r in d.collect()), reverse=True)
+    paged = {r["k"]: (r["page"], r["next_before"]) for r in paging.key_pages(d, "k", 7).collect()}
+    assert all(paged[k] == (i // 7, walked[i // 7 * 7 + 6] if (i // 7 + 1) * 7 < n else None) for i, k in enumerate(walked))
     assert {(r["page_id"], r["n"]) for r in paging.paged(d, "k").groupBy("page_id").agg(F.count("*").alias("n")).collect()} == {(0, 20), (1, 20), (2, 5)}
     kept = paging.within_budget(d.withColumn("g", F.lit(1)), ["g"], [F.col("k")], 60)
     assert kept.agg(F.max("used")).first()[0] <= 60 and kept.count() > 2
