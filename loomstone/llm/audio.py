@@ -2,10 +2,11 @@
 
 G.711 samples are expanded by lookup tables of 256 entries, made from the coding rule. ADPCM blocks
 are coded and decoded by numpy across blocks: step i of every block of a batch at once. A stored file is
-a RIFF container; what is read back is parsed from its bytes. Beside each file its sound is stored as
-16-bit PCM of another rate.
+a RIFF container; what is read back is parsed from its bytes. Beside each mu-law file its sound is stored at 6 kHz, coded
+as ADPCM; what is read back of that is decoded, and the result holds the expanded, resampled sound as 16-bit PCM files.
 
-Edge cases: a null payload is empty and still gets a block of zeros; a null file has a null PCM; a file that
+Edge cases: a null payload is empty and still gets a block of zeros; a sound that ends within an ADPCM block is filled up with its last
+sample, and its length is in the file's fact chunk; a null file has a null PCM; a file that
 is not RIFF/WAVE, or cut short, is an error; equal payloads give equal files and features; a null doc_id
 stays null, and no id passes through Python; an empty table gives an empty result.
 """
@@ -35,8 +36,9 @@ STEP = np.array([
 ])
 STEPS = len(STEP)
 RATE, BLOCK = 8000, 64
-#: The stored PCM has this share of the rate.
-UP, DOWN = 1, 4
+#: The share of the rate at which a sound is resampled; samples of an ADPCM block, one and two for each byte behind its header.
+UP, DOWN = 3, 4
+PER_BLOCK = 2 * (BLOCK - 4) + 1
 #: Blocks decoded at once, and samples resampled at once.
 BLOCKS_AT_ONCE, SAMPLES_AT_ONCE = 4096, 1 << 18
 
@@ -79,8 +81,11 @@ def adpcm_blocks(data: np.ndarray) -> np.ndarray:
 def adpcm_coded(pcm: np.ndarray) -> np.ndarray:
     """Rows of an odd number of int16 samples -> IMA ADPCM blocks, a row of bytes each; the inverse of adpcm_blocks but for rounding."""
     out = np.zeros((len(pcm), 4 + pcm.shape[1] // 2), np.uint8)
-    value, index = pcm[:, 0].astype(np.int32), np.zeros(len(pcm), np.int32)
-    out[:, 0], out[:, 1] = value & 0xFF, value >> 8 & 0xFF
+    value = pcm[:, 0].astype(np.int32)
+    # Blocks are coded side by side, so none has a step from the one before: it starts with one as large as its first moves.
+    moves = np.abs(np.diff(pcm[:, :4].astype(np.int32), axis=1)).max(axis=1, initial=0)
+    index = np.minimum(np.searchsorted(STEP, moves), STEPS - 1).astype(np.int32)
+    out[:, 0], out[:, 1], out[:, 2] = value & 0xFF, value >> 8 & 0xFF, index
     step32 = STEP.astype(np.int32)
     for i in range(pcm.shape[1] - 1):
         step = step32[index]
@@ -136,13 +141,13 @@ def _resampled(pcm: np.ndarray, up: int, down: int, taps: int) -> np.ndarray:
     return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
 
 
-def wave(tag: int, samples: bytes, rate: int = RATE, bits: int = 8, align: int = 1) -> bytes:
-    """A one-channel RIFF/WAVE file."""
+def wave(tag: int, samples: bytes, rate: int = RATE, bits: int = 8, align: int = 1, count: int | None = None) -> bytes:
+    """A one-channel RIFF/WAVE file; count: its samples, where they do not fill its blocks."""
     per_block = 2 * (align - 4) + 1
     extra = struct.pack("<HH", 2, per_block) if tag == IMA_ADPCM else struct.pack("<H", 0) if tag != PCM else b""
     second = rate * align if tag != IMA_ADPCM else rate * align // per_block
     fmt = struct.pack("<HHIIHH", tag, 1, rate, second, align, bits) + extra
-    count = len(samples) // align * (per_block if tag == IMA_ADPCM else 1)
+    count = len(samples) // align * (per_block if tag == IMA_ADPCM else 1) if count is None else count
     fact = b"" if tag == PCM else struct.pack("<4sII", b"fact", 4, count)
     body = b"WAVE" + struct.pack("<4sI", b"fmt ", len(fmt)) + fmt + fact + struct.pack("<4sI", b"data", len(samples)) + samples + b"\0" * (len(samples) % 2)
     return struct.pack("<4sI", b"RIFF", len(body)) + body
@@ -167,6 +172,12 @@ def parse_wave(media: bytes) -> tuple[int, int, int, memoryview]:
     return fmt[0], fmt[2], fmt[4], data
 
 
+def sample_count(media: bytes) -> int | None:
+    """The samples that a file's fact chunk, which stands before its data, tells of."""
+    at = media.find(b"fact", 12, 128)
+    return struct.unpack_from("<I", media, at + 8)[0] if at >= 0 else None
+
+
 def expand(tag: int, align: int, data: memoryview) -> np.ndarray:
     """A file's samples as int16 PCM."""
     raw = np.frombuffer(data, np.uint8)
@@ -191,20 +202,33 @@ def level(pcm: np.ndarray) -> str:
     return f"{int(np.abs(x).max())}/{rms:.3f}/{int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))}"
 
 
+def adpcm_files(sounds: list[np.ndarray], rate: int) -> list[bytes]:
+    """ADPCM files of some sounds, coded across the blocks of all of them."""
+    filled = [np.concatenate([x, np.full(-len(x) % PER_BLOCK, x[-1] if len(x) else 0, np.int16)]).reshape(-1, PER_BLOCK) for x in sounds]
+    joined = np.concatenate([np.zeros((0, PER_BLOCK), np.int16), *filled])
+    coded = np.concatenate([np.zeros((0, BLOCK), np.uint8), *(adpcm_coded(joined[i: i + BLOCKS_AT_ONCE]) for i in range(0, len(joined), BLOCKS_AT_ONCE))])
+    cut = np.cumsum([len(f) for f in filled])[:-1]
+    return [wave(IMA_ADPCM, c.tobytes(), rate, 4, BLOCK, len(x)) for c, x in zip(np.split(coded, cut), sounds, strict=True)] if sounds else []
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_bytes, media, pcm: the text's bytes, padded to whole blocks, as mu-law samples of a WAVE file; and its sound."""
+    """(doc_id, text) -> doc_id, n_bytes, media, adpcm: the text's bytes, padded to whole blocks, as mu-law samples of a WAVE file; and its sound at 6 kHz as ADPCM."""
 
     def files(batch: pa.RecordBatch) -> tuple[None, list]:
-        sizes, media, sounds = [], [], []
+        sizes, media, coded = [], [], []
+        held, n = [], 0
         for t in values(batch, "text"):
             d = (t or "").encode()
             d_all = d + b"\0" * (max(1, -(-len(d) // BLOCK)) * BLOCK - len(d))
             sizes.append(len(d))
             media.append(wave(MU_LAW, d_all))
-            sounds.append(pcm_file(MU[np.frombuffer(d_all, np.uint8)], RATE, UP, DOWN))
-        return None, [sizes, media, sounds]
+            held.append(resampled(MU[np.frombuffer(d_all, np.uint8)], UP, DOWN))
+            n += len(held[-1])
+            if n >= PER_BLOCK * BLOCKS_AT_ONCE:
+                coded, held, n = coded + adpcm_files(held, RATE * UP // DOWN), [], 0
+        return None, [sizes, media, coded + adpcm_files(held, RATE * UP // DOWN)]
 
-    return batched(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], "n_bytes long, media binary, pcm binary", files)
+    return batched(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], "n_bytes long, media binary, adpcm binary", files)
 
 
 def pcm_file(sound: np.ndarray, rate: int, up: int, down: int) -> bytes:
@@ -214,17 +238,16 @@ def pcm_file(sound: np.ndarray, rate: int, up: int, down: int) -> bytes:
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """Digests of the stored files and of their samples read back, and features of the expanded sound.
+    """Digests of the stored files and of their samples read back, features of the sounds, and the resampled sound as a PCM file.
 
-    feature: peak/rms/sign changes of the samples as mu-law at 8 kHz, then of the stored PCM at 2 kHz, then of
-    the same bytes read as A-law, and as ADPCM blocks of 64 bytes.
+    feature: peak/rms/sign changes of the samples as mu-law at 8 kHz, then of the PCM at 6 kHz, then of that sound decoded from its
+    ADPCM file, then of the same bytes read as A-law.
     """
 
     def features(batch: pa.RecordBatch) -> tuple[None, list]:
-        rows, files = [], values(batch, "media")
-        parts = [parse_wave(m) for m in files]
-        raw = [np.frombuffer(p[3], np.uint8) for p in parts]
-        blocks = [r[: len(r) // BLOCK * BLOCK].reshape(-1, BLOCK) for r in raw]
+        rows, files, coded = [], values(batch, "media"), values(batch, "adpcm")
+        parts = [parse_wave(m) for m in coded]
+        blocks = [np.frombuffer(p[3], np.uint8).reshape(-1, p[2]) for p in parts]
         # ADPCM: blocks of many files at once.
         at, sizes, sounds = 0, [len(b) for b in blocks], []
         while at < len(blocks):
@@ -233,19 +256,22 @@ def media_features(stored: DataFrame) -> DataFrame:
                 n += sizes[end]
                 end += 1
             joined = np.concatenate(blocks[at:end])
-            decoded = np.concatenate([adpcm_blocks(joined[i: i + BLOCKS_AT_ONCE]) for i in range(0, max(1, len(joined)), BLOCKS_AT_ONCE)])
+            read = np.concatenate([adpcm_blocks(joined[i: i + BLOCKS_AT_ONCE]) for i in range(0, max(1, len(joined)), BLOCKS_AT_ONCE)])
             cut = np.cumsum(sizes[at:end])[:-1]
-            sounds += [level(d.ravel()) for d in np.split(decoded, cut)]
+            sounds += [level(d.ravel()[: sample_count(coded[at + k])]) for k, d in enumerate(np.split(read, cut))]
             at = end
-        for media, pcm, (tag, _, align, data), sound in zip(files, values(batch, "pcm"), parts, sounds, strict=True):
-            other, same = parse_wave(pcm), np.frombuffer(data, np.uint8)
+        for media, sound in zip(files, sounds, strict=True):
+            tag, rate, align, data = parse_wave(media)
+            samples = expand(tag, align, data)
+            pcm = pcm_file(samples, rate, UP, DOWN)
+            _, to, _, slow = parse_wave(pcm)
             rows.append((
                 len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(),
-                f"mu={level(expand(tag, align, data))};pcm{other[1]}={level(expand(other[0], other[2], other[3]))};a={level(A[same])};adpcm={sound}",
+                f"mu={level(samples)};pcm{to}={level(np.frombuffer(slow, '<i2'))};adpcm{to}={sound};a={level(A[np.frombuffer(data, np.uint8)])}", pcm,
             ))
-        return None, list(zip(*rows, strict=True)) or [[]] * 6
+        return None, list(zip(*rows, strict=True)) or [[]] * 7
 
-    schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
     return batched(stored, ["doc_id", "n_bytes"], schema, features)
 
 
@@ -264,5 +290,5 @@ def decoded(media: DataFrame, up: int = 1, down: int = 1) -> DataFrame:
 
 
 def texts_as_audio(docs: DataFrame) -> DataFrame:
-    """Store every text as a media column of a written table, its sound beside it, read both back, and describe them."""
+    """Store every text as a media column of a written table, its sound as ADPCM beside it, read both back, and describe them."""
     return media_features(written(store_texts(docs), "media"))

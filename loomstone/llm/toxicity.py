@@ -1,8 +1,9 @@
 """Toxicity by noisy-channel deobfuscation: restore what was written over, then score the restored text.
 
 Words written in leetspeak, spaced out or with letters repeated are character lattices: every observed
-character may stand for some letters, a run for one letter or two, a separator for nothing, a mask within a
-word for any letter or none. Viterbi decoding
+character may stand for some letters, a run for one letter or two, a separator for nothing, one mask or two in a row within a
+word for as many letters of any kind or none. Three masks in a row and more are read as separators, since so many unknown letters
+fit too many words; words cut by separators are joined again up to 24 letters. Viterbi decoding
 under a trigram character model picks the likeliest letters. The character model counts all documents, mixed
 with the words of the learned lexicon. Words of plain letters have one path and are left as they are.
 

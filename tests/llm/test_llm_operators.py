@@ -488,7 +488,7 @@ def test_adpcm_coded_sound_is_kept():
     t = np.arange(1010) / 8000
     tone = (6000 * np.sin(2 * np.pi * 300 * t)).astype(np.int16).reshape(10, 101)
     blocks = audio.adpcm_coded(tone)
-    assert blocks.shape == (10, 54) and np.abs(audio.adpcm_blocks(blocks)[:, 40:].astype(int) - tone[:, 40:]).max() < 700
+    assert blocks.shape == (10, 54) and np.abs(audio.adpcm_blocks(blocks).astype(int) - tone).max() < 700
     media = audio.wave(audio.IMA_ADPCM, blocks.tobytes(), bits=4, align=54)
     tag, rate, align, data = audio.parse_wave(media)
     assert (tag, rate, align) == (audio.IMA_ADPCM, 8000, 54) and np.array_equal(audio.expand(tag, align, data), audio.adpcm_blocks(blocks).ravel())
@@ -501,11 +501,33 @@ def test_long_sounds_have_no_seams():
         assert np.array_equal(audio.resampled(sound, up, down), audio._resampled(sound, up, down, 8))
 
 
-def test_stored_pcm_is_the_expanded_sound(spark, odd):
-    for r in audio.store_texts(odd).collect():
-        tag, rate, align, data = audio.parse_wave(bytes(r["pcm"]))
-        mu = audio.parse_wave(bytes(r["media"]))[3]
-        assert (tag, rate) == (audio.PCM, 2000) and np.array_equal(np.frombuffer(data, "<i2"), audio.resampled(audio.MU[np.frombuffer(mu, np.uint8)], 1, 4))
+def test_stored_sounds_are_the_expanded_one(spark, odd):
+    stored = audio.store_texts(odd)
+    out = {(r["doc_id"], r["n_bytes"]): r for r in audio.media_features(stored).collect()}
+    for r in stored.collect():
+        want = audio.resampled(audio.MU[np.frombuffer(audio.parse_wave(bytes(r["media"]))[3], np.uint8)], 3, 4)
+        done = out[r["doc_id"], r["n_bytes"]]
+        tag, rate, align, data = audio.parse_wave(bytes(done["pcm"]))
+        assert (tag, rate) == (audio.PCM, 6000) and np.array_equal(np.frombuffer(data, "<i2"), want)
+        # The ADPCM file holds the same sound: each block begins with its sample, and steps follow it as far as they reach.
+        tag, rate, align, data = audio.parse_wave(bytes(r["adpcm"]))
+        assert (tag, rate, align, audio.sample_count(bytes(r["adpcm"]))) == (audio.IMA_ADPCM, 6000, 64, len(want))
+        read = audio.expand(tag, align, data)
+        assert len(read) >= len(want) > len(read) - audio.PER_BLOCK and np.array_equal(read[: len(want): audio.PER_BLOCK], want[:: audio.PER_BLOCK])
+        assert f"adpcm6000={audio.level(read[: len(want)])}" in done["feature"] and f"pcm6000={audio.level(want)}" in done["feature"]
+
+
+def test_speech_like_sound_survives_adpcm():
+    t = np.arange(20_000) / 6000
+    tone = (5000 * np.sin(2 * np.pi * 220 * t) + 1500 * np.sin(2 * np.pi * 700 * t)).astype(np.int16)
+    for sound in (tone, tone[:1], tone[:121], tone[:122], tone[:0]):
+        media, = audio.adpcm_files([sound], 6000)
+        tag, _, align, data = audio.parse_wave(media)
+        read = audio.expand(tag, align, data)[: audio.sample_count(media)]
+        assert len(read) == len(sound)
+    media, = audio.adpcm_files([tone], 6000)
+    read = audio.expand(audio.IMA_ADPCM, 64, audio.parse_wave(media)[3])[: len(tone)].astype(float)
+    assert np.square(read - tone).mean() < 0.02 * np.square(tone.astype(float)).mean()
 
 
 def test_resampling_keeps_a_tone(spark):
