@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,17 +48,39 @@ def manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").select(*rows.columns), marked.where("reason is not null").select("source_key", "schema_version", "reason")
 
 
+def pretty_json(x: Column) -> Column:
+    """JSON with an indent of two; null where the text is none. Whole numbers are written without a point, as a browser does."""
+
+    @F.pandas_udf("string")
+    def laid_out(texts: pd.Series) -> pd.Series:
+        def number(t: str) -> float | int:
+            v = float(t)
+            return int(v) if v.is_integer() and abs(v) < 1e21 else v
+
+        def one(t: str | None) -> str | None:
+            try:
+                return None if t is None else json.dumps(json.loads(t, parse_float=number), indent=2, ensure_ascii=False)
+            except (ValueError, RecursionError):
+                return None
+
+        return texts.map(one)
+
+    return laid_out(x)
+
+
 def crawled(resources: DataFrame) -> DataFrame:
     """(page_id, url, content_type, body) -> page_id, url, markdown by content type; other types are not here."""
     kind = F.lower(F.trim(F.substring_index("content_type", ";", 1)))
     rows = resources.withColumn("kind", kind)
     as_html = extracted(rows.where(kind.isin("text/html", "application/xhtml+xml")).select("page_id", "url", F.col("body").alias("html"))).select("page_id", "url", "markdown")
     fence = lambda name, body: F.concat(F.lit(f"```{name}\n"), body, F.lit("\n```"))
-    pretty = F.when(F.try_parse_json("body").isNotNull(), F.to_json(F.try_parse_json("body")))
+    pretty = pretty_json(F.col("body"))
     is_json, is_xml, is_yaml = kind.rlike(r"^application/(?:.+\+)?json$"), kind.rlike(r"^(?:application|text)/(?:.+\+)?xml$"), kind.rlike(r"ya?ml$")
     body = F.trim("body")
-    other = F.when(is_json, fence("json", F.coalesce(pretty, body))).when(is_xml, fence("xml", body)).when(is_yaml, fence("yaml", body)).when(F.startswith(kind, F.lit("text/")) & (kind != "text/html"), body)
-    rest = rows.where(~kind.isin("text/html", "application/xhtml+xml")).select("page_id", "url", other.alias("markdown")).where("markdown is not null")
+    other = F.when(is_json, fence("json", F.coalesce("pretty", body))).when(is_xml, fence("xml", body)).when(is_yaml, fence("yaml", body)).when(F.startswith(kind, F.lit("text/")) & (kind != "text/html"), body)
+    told = rows.where(~kind.isin("text/html", "application/xhtml+xml"))
+    told = told.where(is_json).withColumn("pretty", pretty).unionByName(told.where(~F.coalesce(is_json, F.lit(False))).withColumn("pretty", F.lit(None).cast("string")))
+    rest = told.select("page_id", "url", other.alias("markdown")).where("markdown is not null")
     return as_html.unionByName(rest)
 
 

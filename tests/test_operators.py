@@ -390,7 +390,7 @@ def test_sources_and_sinks(spark, tmp_path):
     good, bad = readers.text_files(spark, str(tmp_path / "texts"), 50)
     assert rows_of(good, "text") == [("é",)] and sorted(r[0] for r in rows_of(bad, "reason")) == ["NOT_UTF8", "TOO_LARGE"]
     c = spark.createDataFrame([(1, "u", "application/json", '{"a":1}'), (2, "u", "text/plain; charset=x", " t "), (3, "u", "application/pdf", "x"), (4, "https://e.com/", "text/html", "<p>hi</p>")], "page_id long, url string, content_type string, body string")
-    assert dict(rows_of(readers.crawled(c), "page_id", "markdown")) == {1: '```json\n{"a":1}\n```', 2: "t", 4: "hi"}
+    assert dict(rows_of(readers.crawled(c), "page_id", "markdown")) == {1: '```json\n{\n  "a": 1\n}\n```', 2: "t", 4: "hi"}
     p = spark.createDataFrame([(1, "q", '{"results":[{"url":"https://e.com","engine":"g","publishedDate":"bad","language":"EN"},{"title":"t","url":"u","engines":["a"],"publishedDate":"2024-01-02"}]}')], "query_id long, query string, response string")
     got = readers.provider_results(p).orderBy("rank").collect()
     assert got[0]["engines"] == ["g"] and got[0]["title"] == "" and got[0]["published_at"] is None and got[0]["language"] == "en" and got[1]["published_at"].startswith("2024-01-02")

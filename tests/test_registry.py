@@ -8,7 +8,7 @@ import sys
 import duckdb
 import pytest
 
-from loomstone.plans import registry, upkeep  # noqa: F401
+from loomstone.plans import parts, registry, stored, upkeep  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
