@@ -124,19 +124,20 @@ def _resampled(pcm: np.ndarray, up: int, down: int, taps: int) -> np.ndarray:
     t = np.arange(-wide, wide + 1)
     kernel = np.sinc(t / max(up, down)) * (0.5 + 0.5 * np.cos(np.pi * t / (wide + 1)))
     kernel *= up / kernel.sum()
-    x = pcm.astype(np.float32)
+    reach = wide // up + 2
+    x = np.zeros(len(pcm) + 2 * reach + down, np.float32)  # silence on both sides
+    x[reach: reach + len(pcm)] = pcm
     out = np.zeros(n, np.float32)
     for phase in range(min(up, n)):
-        at = np.arange(phase, n, up) * down  # positions in the raised rate; all have one residue mod up
-        first = -(-(at[0] - wide) // up)
-        offsets = np.arange(first, (at[0] + wide) // up + 1)
-        weights = kernel[(at[0] - offsets * up) + wide].astype(np.float32)
-        hop = down  # input samples between outputs of a phase
-        total = np.zeros(len(at), np.float32)
-        for o, w in zip(offsets, weights, strict=True):
-            src = o + hop * np.arange(len(at))
-            ok = (src >= 0) & (src < len(x))
-            total[ok] += w * x[src[ok]]
+        count = -(-(n - phase) // up)
+        first_at = phase * down  # positions in the raised rate; all of a phase have one residue mod up
+        first = -(-(first_at - wide) // up)
+        offsets = np.arange(first, (first_at + wide) // up + 1)
+        weights = kernel[(first_at - offsets * up) + wide].astype(np.float32)
+        total = np.zeros(count, np.float32)
+        # Outputs of a phase are `down` input samples apart, so each tap is one strided run of the input.
+        for o, w in zip(offsets + reach, weights, strict=True):
+            total += w * x[o: o + down * count: down][:count]
         out[phase::up] = total
     return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
 
