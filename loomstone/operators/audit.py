@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, urls
 from ..functions import text as T
+from ..sources.sinks import materialized
+from .sections import expanded
 
 ISSUE = ["code", "message", "key"]
 
@@ -89,6 +91,15 @@ def index_drift(stored: DataFrame, fresh: DataFrame, key: str = "section_id") ->
     return one.exceptAll(two).withColumn("side", F.lit("stored")).unionByName(two.exceptAll(one).withColumn("side", F.lit("fresh")))
 
 
+def token_drift(stored: DataFrame, fresh: DataFrame, key: str = "section_id") -> DataFrame:
+    """The same from token arrays (key, fields, of tokens_by_field): sections are compared whole, and only those that differ become postings."""
+    digest = lambda d, name: d.select(key, F.struct(F.xxhash64("fields").alias("x"), F.xxhash64(F.lit(1), "fields").alias("y")).alias(name))
+    differ = digest(stored, "a").join(digest(fresh, "b"), key, "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(key)
+    differ = materialized(differ.distinct(), "drift")
+    one, two = (expanded(d.join(differ, key, "left_semi"), key) for d in (stored, fresh))
+    return one.exceptAll(two).withColumn("side", F.lit("stored")).unionByName(two.exceptAll(one).withColumn("side", F.lit("fresh")))
+
+
 def blocked_ranges() -> list[tuple[int, int]]:
     out = []
     for r in BLOCKED:

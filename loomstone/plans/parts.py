@@ -186,3 +186,49 @@ def search_warnings(spark: SparkSession, sf: str) -> DataFrame:
     queries = table(spark, sf, "customer").select(k.alias("query_id"), F.element_at(F.array(F.lit("any"), F.lit("prefer"), F.lit("strict")), (k % 3 + 1).cast("int")).alias("policy"), F.lit(5).alias("wanted"), (k % 7 == 0).alias("degraded"), (k % 4 + 3).alias("found"))
     results = table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.when(o % 2 == 0, "VERIFIED_OFFICIAL").otherwise("UNKNOWN").alias("source_status"), F.when(o % 13 != 0, "2024").alias("published_at"), (o % 11 == 0).alias("fell_back"))
     return search.result_warnings(queries, results).select("query_id", "n_results", F.array_join("warnings", ",").alias("warnings"), "status")
+
+
+@query("""
+    WITH d AS (SELECT o_orderkey AS k, o_orderkey % 6 AS kind FROM orders)
+    SELECT k, CASE kind WHEN 1 THEN 'TITLE_INVALID' WHEN 2 THEN 'STABLE_KEY_INVALID' WHEN 3 THEN 'URL_INVALID' WHEN 4 THEN 'LANGUAGE_TAG_INVALID,MIME_TYPE_INVALID' ELSE '' END AS errors FROM d
+""")
+def descriptor_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as document descriptors, accepted ones without errors beside rejected ones with theirs."""
+    k = F.col("o_orderkey")
+    kind = k % 6
+    rows = table(spark, sf, "orders").select(
+        k.alias("k"), F.when(kind == 1, "  ").otherwise("A title").alias("title"), F.when(kind == 2, "a\x00b").otherwise(k.cast("string")).alias("stable_key"), F.when(kind == 3, "ftp://e.com/").otherwise("https://e.com/a").alias("url"),
+        F.when(kind == 4, "no tag!").otherwise("en").alias("language"), F.when(kind == 4, "text").otherwise("text/html").alias("mime_type"),
+    )
+    good, bad = audit.accepted_rejected(rows, audit.document_errors())
+    return good.select("k", F.lit("").alias("errors")).unionByName(bad.select("k", F.array_join("errors", ",").alias("errors")))
+
+
+@query("""
+    WITH d AS (SELECT c_custkey AS k, c_custkey % 4 AS kind FROM customer) SELECT k, CASE kind WHEN 1 THEN 'SOURCE_KEY_INVALID' WHEN 2 THEN 'BASE_URL_INVALID,SOURCE_TYPE_INVALID' WHEN 3 THEN 'DISPLAY_NAME_INVALID' END AS errors FROM d WHERE kind <> 0
+""")
+def source_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as source descriptors that are rejected, and why."""
+    k = F.col("c_custkey")
+    kind = k % 4
+    rows = table(spark, sf, "customer").select(
+        k.alias("k"), F.when(kind == 1, "Upper Case").otherwise(F.concat(F.lit("source-"), k.cast("string"))).alias("source_key"), F.when(kind == 3, "").otherwise(F.col("c_name")).alias("display_name"),
+        F.when(kind == 2, "nothing").otherwise("https://e.com/").alias("base_url"), F.when(kind == 2, "shop").otherwise("blog").alias("source_type"), F.lit("de").alias("language"),
+    )
+    return audit.accepted_rejected(rows, audit.source_errors())[1].select("k", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""
+    SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'https://e.com/new' ELSE 'https://e.com/old' END AS final_url, CASE WHEN c_custkey % 2 = 0 THEN 'b' ELSE 'a' END AS etag,
+           CASE WHEN c_custkey % 2 = 0 THEN 'kept=1,seen=2' ELSE 'kept=1,seen=1' END AS metadata FROM customer
+""")
+def merged_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Cached pages, half of them answered with 304: address, validators and metadata of the answer win, what it does not say stays."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    url = F.concat(F.lit("https://e.com/"), k.cast("string"))
+    pair = lambda *kv: F.create_map(*map(F.lit, kv))
+    cached = c.select(k.alias("k"), url.alias("url"), F.lit("https://e.com/old").alias("final_url"), F.lit("a").alias("etag"), F.lit("m").alias("last_modified"), pair("kept", "1", "seen", "1").alias("metadata"))
+    answers = c.where(k % 2 == 0).select(url.alias("url"), F.lit("https://e.com/new").alias("final_url"), F.lit("b").alias("etag"), F.lit(None).cast("string").alias("last_modified"), pair("seen", "2").alias("metadata"))
+    merged = catalog.merged_not_modified(cached, answers)
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return merged.select("k", "final_url", "etag", shown.alias("metadata"))

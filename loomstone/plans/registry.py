@@ -179,17 +179,64 @@ def document_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(benchmark_queries(spark, sf), index).select("query_id", F.col("position").cast("long"), "section_id", "score")
 
 
-@query()
+# The snippet of a hit: of windows of 160 characters around the query's words (32 words, 16 places each) the one with the most of them, then the tightest, then the first.
+_SNIPPETS = """
+    shown AS (SELECT query_id, section_id, position, score, rank, title, query, coalesce(text, '') AS content FROM found JOIN bench USING (query_id) JOIN (SELECT section_id, text FROM s) USING (section_id)),
+    wanted AS (SELECT DISTINCT query_id, unnest(list_slice(list_distinct_ordered, 1, 32)) AS word FROM (SELECT query_id, list_filter(ws, lambda w, i: list_position(ws, w) = i) AS list_distinct_ordered
+               FROM (SELECT query_id, regexp_extract_all(strip_accents(lower(query)), '[\\p{L}\\p{N}]+') AS ws FROM bench))),
+    runs AS (SELECT query_id, section_id, unnest(ps) AS word, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT query_id, section_id, regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+') AS ps FROM shown)),
+    at_ AS (SELECT *, sum(length(word)) OVER (PARTITION BY query_id, section_id ORDER BY i) - length(word) AS a FROM runs),
+    hit_ AS (SELECT query_id, section_id, word, a, row_number() OVER (PARTITION BY query_id, section_id, word ORDER BY a) AS k FROM at_ JOIN wanted USING (query_id, word)),
+    spots AS (SELECT query_id, section_id, word, CAST(a AS BIGINT) AS a, CAST(a AS BIGINT) + length(word) AS e FROM hit_ WHERE k <= 16),
+    opens AS (SELECT DISTINCT query_id, section_id, least(greatest(0, a - 80), greatest(0, length(content) - 160)) AS b FROM spots JOIN shown USING (query_id, section_id)),
+    weighed AS (SELECT o.query_id, o.section_id, b, count(DISTINCT word) AS n, least(max(e), b + 160) - min(a) AS width FROM opens o JOIN spots p ON p.query_id = o.query_id AND p.section_id = o.section_id AND a >= b AND a < b + 160 GROUP BY 1, 2, 3),
+    picked AS (SELECT query_id, section_id, arg_min(b, (-n, width, b)) AS b FROM weighed GROUP BY 1, 2),
+    raw AS (SELECT shown.*, coalesce(b, 0) AS b, regexp_replace(substr(content, CAST(coalesce(b, 0) + 1 AS BIGINT), 320), '^\\s+|\\s+$', '', 'g') AS r FROM shown LEFT JOIN picked USING (query_id, section_id)),
+    body AS (SELECT *, CASE WHEN length(r) <= 160 THEN r ELSE regexp_replace(substr(r, 1, 159), '\\s+$', '') || '…' END AS body FROM raw),
+    snip AS (SELECT *, CASE WHEN b > 0 THEN '…' ELSE '' END || body || CASE WHEN b + 320 < length(content) AND NOT ends_with(body, '…') THEN '…' ELSE '' END AS snippet FROM body)
+"""
+
+
+@query(f"""
+    WITH {_BM25}, {_HITS},
+    rest AS (SELECT * FROM bench WHERE query_id NOT IN (SELECT query_id FROM hits)),
+    sub AS (SELECT query_id, section_id, CAST(NULL AS DOUBLE) AS rank, CASE WHEN contains(lower(title), lower(query)) THEN 4 ELSE 1 END AS score, title FROM rest, s WHERE contains(lower(title), lower(query)) OR contains(lower(text), lower(query))),
+    found AS (SELECT query_id, section_id, rank, score, title, position FROM best WHERE position <= 10
+              UNION ALL SELECT query_id, section_id, rank, score, title, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lower(title), section_id) AS position FROM sub QUALIFY position <= 10), {_SNIPPETS}
+    SELECT query_id, CAST(position AS BIGINT) AS position, section_id, title, title AS heading, split_part(title, ' ', 1) AS source_key, split_part(title, ' ', 2) AS language, score, round(rank, 5) AS rank, snippet FROM snip
+""")
 def search_with_snippets(spark: SparkSession, sf: str) -> DataFrame:
     index = search.Index.build(document_sections(spark, sf))
-    return search.projected(search.with_snippets(search.search(benchmark_queries(spark, sf), index)))
+    found = search.projected(search.with_snippets(search.search(benchmark_queries(spark, sf), index)))
+    return found.withColumns({"position": F.col("position").cast("long"), "rank": F.round("rank", 5)})
 
 
-@query()
+# Features of a text and their hashed places, as for the hashed vectors.
+_HASHED = f"""
+    list_filter(regexp_extract_all(lower(strip_accents({{}})), '[a-z0-9]+'), lambda x: length(x) > 1 AND NOT list_contains({T.STOP_WORDS}, x))
+"""
+_STEM = "t"
+for _ending, _new in T.SUFFIXES:
+    _STEM = f"regexp_replace({_STEM}, '{_ending}', '{_new}')"
+_FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
+
+@query(f"""
+    WITH {_BM25}, {_HITS}, found AS (SELECT query_id, section_id, rank, score, title, position FROM best WHERE position <= 40), {_SNIPPETS},
+    texts AS (SELECT query_id, section_id, 0 AS side, {_HASHED.format("title || ' ' || snippet || ' ' || content")} AS ts FROM snip UNION ALL SELECT query_id, section_id, 1, {_HASHED.format('query')} FROM snip),
+    fe AS (SELECT query_id, section_id, side, unnest(ts) AS f, 1.0 AS w FROM texts UNION ALL SELECT query_id, section_id, side, {_STEM}, 0.6 FROM (SELECT query_id, section_id, side, unnest(ts) AS t FROM texts)
+           UNION ALL SELECT query_id, section_id, side, ts[i] || ' ' || ts[i + 1], 0.75 FROM (SELECT query_id, section_id, side, ts, unnest(range(1, len(ts))) AS i FROM texts)),
+    fh AS (SELECT query_id, section_id, side, w, {_FNV.format('f')} AS h FROM fe),
+    fp AS (SELECT query_id, section_id, side, h % 64 AS place, CAST(sum(CASE WHEN h % 2 = 0 THEN w ELSE -w END) AS DOUBLE) AS v FROM fh GROUP BY 1, 2, 3, 4), fn AS (SELECT query_id, section_id, side, sqrt(sum(v * v)) AS norm FROM fp GROUP BY 1, 2, 3),
+    unit AS (SELECT query_id, section_id, side, place, CASE WHEN norm > 0 THEN v / norm ELSE 0 END AS v FROM fp JOIN fn USING (query_id, section_id, side)),
+    near AS (SELECT a.query_id, a.section_id, greatest(0.0, sum(a.v * b.v)) AS near FROM unit a JOIN unit b ON a.query_id = b.query_id AND a.section_id = b.section_id AND a.place = b.place AND a.side = 0 AND b.side = 1 GROUP BY 1, 2),
+    mixed AS (SELECT query_id, section_id, position, 0.65 * score / greatest(1, max(score) OVER (PARTITION BY query_id)) + 0.35 * coalesce(near, 0) AS combined FROM found LEFT JOIN near USING (query_id, section_id))
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, position) AS new_position, section_id, round(combined, 5) AS combined FROM mixed QUALIFY new_position <= 10
+""")
 def reranked_search(spark: SparkSession, sf: str) -> DataFrame:
     index = search.Index.build(document_sections(spark, sf))
     hits = search.with_snippets(search.search(benchmark_queries(spark, sf), index, limit=50, fallback=False))
-    return vectors.reranked(hits).select("query_id", "new_position", "section_id", F.round("combined", 6).alias("combined"))
+    return vectors.reranked(hits).select("query_id", F.col("new_position").cast("long"), "section_id", F.round("combined", 5).alias("combined"))
 
 
 # Names under which the same was asked before.
@@ -513,7 +560,7 @@ _POST = "SELECT doc_id, unnest(tok) AS term, unnest(range(len(tok))) AS pos FROM
 def drift_audit(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("section_id"), "lang", F.col("text").alias("content"))
     new = d.withColumn("content", F.when(F.col("lang") == "de", F.replace("content", F.lit("und"), F.lit("oder"))).otherwise(F.col("content")))
-    drift = audit.index_drift(sections.postings(d, ["content"]), sections.postings(new, ["content"]))
+    drift = audit.token_drift(sections.tokens_by_field(d, ["content"]), sections.tokens_by_field(new, ["content"]))
     return drift.groupBy("section_id", "side").agg(F.count("*").alias("n"))
 
 

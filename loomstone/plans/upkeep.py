@@ -12,7 +12,7 @@ from ..functions import rules, urls
 from ..functions import text as T
 from ..operators import audit, catalog, evaluate, paging, retention, sections, vectors, webrank
 from ..sources.readers import lookup, table
-from .registry import _DENSE, _IP, _TOKENS, _URLS, _dense, own_registry, query
+from .registry import _DENSE, _FNV, _IP, _STEM, _TOKENS, _URLS, _dense, own_registry, query
 
 # --- functions ----------------------------------------------------------------------------------
 
@@ -65,12 +65,6 @@ def status_classes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", rules.http_class(status).alias("class"), rules.freshness(F.col("ts"), now, "10 DAYS").alias("freshness"), rules.clamp_score(F.col("value") / 100).alias("score"))
 
 
-_FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
-_STEM = "t"
-for _ending, _new in T.SUFFIXES:
-    _STEM = f"regexp_replace({_STEM}, '{_ending}', '{_new}')"
-
-
 @query(f"""
     WITH t AS (SELECT item_id, list_filter(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+'), lambda x: length(x) > 1 AND NOT list_contains({T.STOP_WORDS}, x)) AS ts FROM benchmark),
     f AS (SELECT item_id, unnest(ts) AS f, 1.0 AS w FROM t UNION ALL SELECT item_id, {_STEM}, 0.6 FROM (SELECT item_id, unnest(ts) AS t FROM t)

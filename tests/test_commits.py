@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
-from loomstone.operators import audit, catalog, commits, evaluate, pages, retention, vectors
+from loomstone.operators import audit, catalog, commits, evaluate, pages, retention, sections, vectors
 from loomstone.sources.sinks import Store
 from loomstone.streaming import jobs
 
@@ -169,6 +169,16 @@ def test_dense_search_keeps_ids_and_ties(spark):
     assert vectors.dense_top_k(frame([], "query_id"), frame(rows, "vec_id"), 5).count() == 0 and vectors.dense_top_k(frame(asked, "query_id"), frame([], "vec_id"), 5).count() == 0
 
 
+def test_token_drift_equals_index_drift(spark):
+    texts = [("a b c", "a b c"), ("a b c", "a c b"), ("x", None), (None, "y"), ("a a", "a"), ("é", "e")]
+    frame = lambda k: spark.createDataFrame([(i, t[k]) for i, t in enumerate(texts) if t[k] is not None], "section_id long, content string")
+    both = [frame(0), frame(1)]
+    whole = audit.index_drift(*[sections.postings(d, ["content"]) for d in both])
+    short = audit.token_drift(*[sections.tokens_by_field(d, ["content"]) for d in both])
+    columns = ["section_id", "side", "field", "pos", "term"]
+    assert sorted(map(tuple, short.select(columns).collect())) == sorted(map(tuple, whole.select(columns).collect())) and {r["section_id"] for r in short.collect()} == {1, 2, 3, 4}
+
+
 def test_page_ids_and_links(spark):
     big = (1 << 60) + 1
     html = "".join(f'<a href="https://h{i}.example.org/p">x</a>' for i in range(6))
