@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, urls
 from ..functions import text as T
+from ..sources.sinks import materialized
+from .retention import running
+from .search import containing
 
 #: What a source's class adds to a score.
 SIGNAL = {"VERIFIED_OFFICIAL": 0.5, "LIKELY_OFFICIAL": 0.28, "THIRD_PARTY": -0.08, "UNKNOWN": 0.0}
@@ -33,9 +36,14 @@ def registry_match(rows: DataFrame, registry: DataFrame, key: list[str], url: st
 
 
 def keyword_routes(queries: DataFrame, registry: DataFrame) -> DataFrame:
-    """Enabled registry entries any keyword of which stands in the query, by priority."""
-    words = F.broadcast(registry.where("enabled").select("id", "priority", F.explode("keywords").alias("keyword")))
-    return queries.join(words, F.contains(F.lower("query"), F.lower("keyword"))).select("query_id", "id", "priority").distinct()
+    """Enabled registry entries any keyword of which stands in the query, case aside. Blank keywords fit nothing.
+
+    Queries and keywords meet by equi-joins on words or character grams, so either side may be large.
+    """
+    words = registry.where("enabled").select("id", "priority", F.explode(F.transform("keywords", lambda k: F.lower(T.trimmed(k)))).alias("keyword"))
+    asked = words.select(F.col("keyword").alias("query_id"), F.col("keyword").alias("query")).distinct()
+    met = containing(queries.select(F.col("query_id").alias("section_id"), F.col("query").alias("content")), asked, ["content"])
+    return met.select(F.col("section_id"), F.col("query_id").alias("keyword")).join(words, "keyword").select(F.col("section_id").alias("query_id"), "id", "priority").distinct()
 
 
 def result_score(query: Column, title: Column, url: Column, provider: Column, status: Column, priority: Column) -> Column:
@@ -80,12 +88,22 @@ def policy_filtered(rows: DataFrame, policies: DataFrame) -> DataFrame:
     return rows.join(policies, "query_id", "left").where((F.coalesce("policy", F.lit("any")) != "strict") | (F.col("source_status") == "VERIFIED_OFFICIAL"))
 
 
-def ranked(rows: DataFrame, limit: int, oversample: int = 3) -> DataFrame:
-    """One row per query and URL, the best one; then the best so many. The first oversample * limit of a provider count."""
+def ranked(rows: DataFrame, limit: int | None, oversample: int = 3) -> DataFrame:
+    """One row per query and URL, the best one; then the best so many. The first oversample * limit of a provider count.
+
+    With a limit each task keeps so many rows of a query before any move. Without one every row is ranked: by ranges of
+    the whole order, less the rank that the query begins at, so a query of any number of results is no task of its own.
+    """
     order = [F.col("score").desc(), F.lower("title"), F.col("url")]
-    early = rows.where(F.col("rank") < oversample * limit)
+    early = rows if limit is None else rows.where(F.col("rank") < oversample * limit)
     one = early.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "url").orderBy(*order, "rank"))).where("k = 1").drop("k")
-    return one.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("position") <= limit)
+    if limit is not None:
+        return one.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("position") <= limit)
+    keys = {"by_query": F.col("query_id"), "by_score": -F.coalesce("score", F.lit(0)), "by_title": F.coalesce(F.lower("title"), F.lit("")), "by_url": F.col("url")}
+    keyed = materialized(one.withColumns(keys).withColumnRenamed("rank", "provider_rank"), "ranked")
+    placed = materialized(running(keyed, list(keys), F.lit(1)).select(*keyed.columns, F.col("rank").alias("place")), "placed")
+    begins = placed.groupBy("by_query").agg(F.min("place").alias("begin"))
+    return placed.join(begins, "by_query").withColumnRenamed("provider_rank", "rank").withColumn("position", F.col("place") - F.col("begin") + 1).select(*one.columns, "position")
 
 
 def unresponsive(a: Column, b: Column) -> Column:

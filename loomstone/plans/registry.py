@@ -19,8 +19,6 @@ from ..sources.readers import table
 from ..sources.sinks import shared_folder
 from ..streaming.jobs import redacted_history
 
-#: A limit that no query reaches.
-MOST_RANKS = 1 << 40
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -87,7 +85,7 @@ def deduplicated_ranking(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "pages").select(
         "page_id", F.col("page_id").alias("rank"), F.col("url").alias("title"), urls.canonical_url(F.col("url")).alias("url"), urls.host(F.col("url")).alias("query_id"), F.length("html").alias("score"),
     )
-    found = webrank.ranked(rows, MOST_RANKS, 1)
+    found = webrank.ranked(rows, None)
     return found.select(F.col("query_id").alias("host"), F.col("url").alias("canonical"), "page_id", F.col("position").cast("long"))
 
 
