@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.sinks import materialized
+from ..sources.sinks import materialized, removed
 
 #: Thresholds of the gates.
 RECALL, MRR, NDCG, P95_MS, GAIN, LATENCY_RATIO, SLICE_GAIN = 0.85, 0.70, 0.75, 150.0, 0.02, 2.5, 0.10
@@ -90,7 +90,8 @@ def nearest_ranks(rows: DataFrame, x: str, fractions: dict[str, float], *by: str
         cut = cut.where((F.col("_ahead") < F.col("_rank")) & (F.col("_rank") <= F.col("_ahead") + F.col("_k")))
         cut = cut.select(*[f"w.{k}" for k in keys], (F.col("_rank") - F.col("_ahead")).alias("_rank"), F.col("_k").alias("_n"), F.col("_l").alias("_lo"), F.col("_h").alias("_hi"))
         done = open_.where(~((F.col("_n") > small) & (F.col("_lo") < F.col("_hi"))))
-        open_ = materialized(done.unionByName(cut), "ranks")
+        spent, open_ = open_, materialized(done.unionByName(cut), "ranks")
+        removed(spent)
     # What is left of a group lies between two values: few rows, or equal ones, which one row stands for.
     left = held.alias("a").join(open_.alias("b"), same("a", "b") & F.col("_d").between(F.col("_lo"), F.col("_hi")))
     distinct = left.groupBy(*[F.col(f"b.{k}").alias(k) for k in keys], "_rank", "_x").agg(F.count("*").alias("_k"))

@@ -319,10 +319,34 @@ def page_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return extracted(table(spark, sf, "pages")).withColumn("links", F.array_join("links", " "))
 
 
-@query()
+_TOLD = "list_filter(regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}.]+'), lambda t: length(t) >= 2)"
+_ALLOWED = "least(5000, left_ - CASE WHEN taken > 0 THEN 2 ELSE 0 END)"
+
+
+@query(f"""
+    WITH RECURSIVE t AS (SELECT conv_id, turn, role || ' ' || turn AS heading, translate(coalesce(text, ''), '#`~' || chr(13) || chr(9), '     ') AS x FROM conversations),
+    k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, heading, x) - 1 AS i, last_value(x) OVER (PARTITION BY conv_id ORDER BY turn, heading, x ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ask FROM t),
+    b AS (SELECT conv_id, i, heading, regexp_replace(regexp_replace(x, '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS body, list_distinct(list_slice({_TOLD.format('ask')}, 1, 64)) AS terms FROM k),
+    w AS (SELECT *, '# ' || heading || CASE WHEN body = '' THEN '' ELSE chr(10) || chr(10) || body END AS shown, list_intersect(terms, list_slice({_TOLD.format("heading || ' ' || body")}, 1, 2048)) AS hit, list_slice({_TOLD.format('heading')}, 1, 64) AS head FROM b),
+    r AS (SELECT *, CASE WHEN len(terms) = 0 THEN 1.0 / (i + 1) WHEN len(hit) = 0 THEN 0 ELSE least(1.0, list_sum(list_transform(hit, lambda h: 1.0 + CASE WHEN list_contains(head, h) THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(h, '^v?\\d+(?:\\.\\d+)+$') THEN 0.25 ELSE 0 END)) / greatest(1.0, len(terms) * 1.75 + 0.1)) END AS score FROM w),
+    o AS (SELECT conv_id, shown, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, i) AS n, count(*) OVER (PARTITION BY conv_id) AS kept FROM r WHERE score > 0),
+    f AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, CAST(400 AS BIGINT) AS left_, false AS stopped, CAST(0 AS BIGINT) AS taken, '' AS text, false AS clipped FROM k
+          UNION ALL SELECT conv_id, n, CASE WHEN stop THEN left_now ELSE left_now - length(value) END, stop, CASE WHEN stop THEN taken ELSE taken + 1 END, CASE WHEN stop THEN text WHEN taken = 0 THEN value ELSE text || chr(10) || chr(10) || value END, CASE WHEN stop THEN clipped ELSE clipped OR cut END
+          FROM (SELECT conv_id, n, left_now, stopped OR left_now <= 0 AS stop, taken, text, clipped, length(shown) > allowed AS cut,
+                       CASE WHEN length(shown) <= allowed THEN shown WHEN allowed <= 0 THEN '' WHEN allowed = 1 THEN '…' ELSE regexp_replace(substr(shown, 1, CASE WHEN gap > 0 AND allowed - 1 - gap >= floor(allowed * 0.7) THEN allowed - 1 - gap ELSE allowed - 1 END), '\\s+$', '') || '…' END AS value
+                FROM (SELECT f.conv_id, o.n, left_ - CASE WHEN taken > 0 THEN 2 ELSE 0 END AS left_now, stopped, taken, text, clipped, shown, {_ALLOWED} AS allowed, instr(reverse(replace(substr(shown, 1, CAST(greatest(0, {_ALLOWED} - 1) AS BIGINT)), chr(10), ' ')), ' ') AS gap
+                      FROM f JOIN o ON o.conv_id = f.conv_id AND o.n = f.n + 1 WHERE o.n <= 5))),
+    last AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1), c AS (SELECT conv_id, count(*) AS kept FROM o GROUP BY 1)
+    SELECT conv_id AS page_id, conv_id AS query_id, text, coalesce(kept, 0) > 5 OR stopped OR clipped AS truncated, clipped AS section_truncated, coalesce(kept, 0) = 0 AS none_relevant FROM last LEFT JOIN c USING (conv_id)
+""")
 def page_selection(spark: SparkSession, sf: str) -> DataFrame:
-    pages = extracted(table(spark, sf, "pages"))
-    return vectors.selected(pages, pages.select("page_id", F.col("page_id").alias("query_id"), F.col("title").alias("query")), 2000, 5).drop("sections")
+    """Conversations as pages with a heading per turn; the sections that answer their last turn, within 400 characters."""
+    said = F.translate(F.coalesce("text", F.lit("")), "#`~\r\t", "     ")
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("heading"), said.alias("x")))).alias("turns"))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(F.lit("# "), t["heading"], F.lit("\n"), t["x"])), "\n")
+    pages = turns.select(F.col("conv_id").alias("page_id"), text.alias("markdown"))
+    asked = turns.select(F.col("conv_id").alias("page_id"), F.col("conv_id").alias("query_id"), F.element_at("turns", -1)["x"].alias("query"))
+    return vectors.selected(pages, asked, 400, 5).drop("sections")
 
 
 # --- vectors and evaluation ---------------------------------------------------------------------
