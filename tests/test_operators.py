@@ -223,6 +223,13 @@ def test_page_extraction(spark):
     assert pages.extracted(p).where("page_id = 2").first()["title"] == "e.com"
 
 
+def test_character_references_end_in_a_semicolon():
+    page = "<title>A &amp; B&amp</title><h1>C&amp;&amp</h1><p>&#233;&#x41;&#0;&#xD800;&copy;&quot;&Quot;&none;&am;&nbsp;x &copy"
+    title, _, body, _ = pages.page_parts(page, "https://e.com/")
+    assert title == "A & B&amp" and body == "# C&&amp\n\néA\ufffd\ufffd©\"\"&none;&am; x &copy"
+    assert pages.attributes(' href="/q?a=1&copy=2&amp;b=3"') == {"href": "/q?a=1&copy=2&b=3"}
+
+
 def test_hostile_pages_are_linear():
     import time
 
