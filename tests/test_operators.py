@@ -163,6 +163,13 @@ def test_rerank_and_fusion(spark):
     assert vectors.overlap_at(a, b, 2).first()[0] == 0.5
 
 
+def test_scores_that_differ_by_summing_alone_tie(spark):
+    rows = [(1, "cat", 1, 1, "", "", "", "", "cat den men pub"), (1, "cat", 2, 1, "", "", "", "", "cat dub pen bool")]
+    h = spark.createDataFrame(rows, "query_id long, query string, position int, score int, title string, heading string, heading_path string, snippet string, content string")
+    got = vectors.reranked(h, 2).orderBy("new_position").collect()
+    assert got[0]["combined"] < got[1]["combined"] < got[0]["combined"] + 1e-12 and [r["position"] for r in got] == [1, 2]
+
+
 def test_selection_stays_within_its_budget(spark):
     p = spark.createDataFrame([(1, "# Cats\n\ncats sleep\n\n# Dogs\n\n" + "dogs run " * 40 + "\n\n# Code v1.2\n\n```\nx\n```\ncats v1.2"), (2, "")], "page_id long, markdown string")
     q = spark.createDataFrame([(1, 1, "cats"), (1, 2, "zebra"), (1, 3, ""), (2, 1, "cats")], "page_id long, query_id long, query string")
