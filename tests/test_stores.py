@@ -90,3 +90,16 @@ def test_substrings_of_any_length_against_brute_force(spark):
     assert {tuple(r) for r in found.select("section_id", "query_id").collect()} == want
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
     assert search.containing(rows, queries.where("false"), ["content"]).count() == 0
+
+
+def test_grams_settle_short_substrings(spark):
+    """Grams of one to four characters of several fields, by code points; a short query needs no text, and none is met across fields."""
+    texts = [(1, "Aé\U0001f600b\0c", "xy"), (2, "", ""), (3, "z", "aé" * 40), (4, "ab ab", None)]
+    rows = spark.createDataFrame(texts, "section_id long, content string, title string")
+    want = {(i, g) for i, *fields in texts for t in fields if t for n in (1, 3, 4) for g in (t[k: k + n] for k in range(len(t) - n + 1))}
+    asked = spark.createDataFrame([(g,) for g in sorted({g for _, g in want})], "gram string").select("gram", *search.gram_code(F.col("gram")))
+    met = search.grams_by_row(rows.na.fill(""), "section_id", [1, 3, 4]).join(asked, ["head", "tail"], "left")
+    assert sorted((r["section_id"], r["gram"]) for r in met.collect()) == sorted(want)
+    queries = spark.createDataFrame([("é",), ("cx",), ("b ab",), ("éaéa",), ("b\0c",), ("aéaéa",), ("Ab",)], "query string").withColumn("query_id", F.col("query"))
+    found = search.containing(rows, queries, ["content", "title"])
+    assert sorted((r["section_id"], r["query_id"]) for r in found.collect()) == sorted([(1, "é"), (3, "é"), (4, "b ab"), (3, "éaéa"), (1, "b\0c"), (3, "aéaéa"), (4, "Ab")])
