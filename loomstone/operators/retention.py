@@ -10,6 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def range_of(at: Column, bounds: list[Column]) -> Column:
+    """How many of the ascending bounds a value has reached, by halving: a row meets the logarithm of their number."""
+
+    def within(a: int, b: int) -> Column:
+        m = (a + b) // 2
+        return F.lit(a) if a == b else F.when(at >= bounds[m], within(m + 1, b)).otherwise(within(a, m))
+
+    return within(0, len(bounds))
+
+
 def running(rows: DataFrame, keys: list[str], value: Column, desc: bool = False, partitions: int | None = None) -> DataFrame:
     """rows with before (the sum of value over all rows ahead in order) and rank (from 1), and the totals n and total.
 
@@ -23,7 +33,7 @@ def running(rows: DataFrame, keys: list[str], value: Column, desc: bool = False,
     types = dict(rows.select(*keys).dtypes)
     literal = [F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, b, strict=True)]) for b in bounds]
     at = F.struct(*[F.col(k) for k in keys])
-    place = F.size(F.filter(F.array(*literal), lambda b: at >= b)) if literal else F.lit(0)
+    place = range_of(at, literal)
     placed = rows.withColumn("_v", value).withColumn("_p", -place if desc else place)
     order = [F.col(k).desc() if desc else F.col(k) for k in keys]
     local = Window.partitionBy("_p").orderBy(*order)

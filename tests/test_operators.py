@@ -415,3 +415,19 @@ def test_sources_and_sinks(spark, tmp_path):
     paging.exported(spark.createDataFrame([(i, "x" * 9000) for i in range(3)], "k long, content string"), "k", str(tmp_path / "out"), size=2)
     back = spark.read.json(str(tmp_path / "out"))
     assert back.count() == 3 and back.where("contentTruncated").count() == 3
+
+
+def test_ranges_are_found_by_halving(spark):
+    from bisect import bisect_right
+
+    bounds = [(k // 3, str(k % 3)) for k in range(50)]
+    asked = [(k, t) for k in range(-1, 18) for t in ("", "0", "1", "11", "2", "3")]
+    rows = spark.createDataFrame([*asked, (None, "1"), (3, None)], "k int, t string")
+    place = retention.range_of(F.struct("k", "t"), [F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in bounds])
+    got = {(r["k"], r["t"]): r["p"] for r in rows.select("k", "t", place.alias("p")).collect()}
+    assert got == {**{v: bisect_right(bounds, v) for v in asked}, (None, "1"): 0, (3, None): 9}
+    # No row is compared with every bound.
+    numbers = spark.range(1000).withColumn("id", F.col("id") * 7 % 1000)
+    out = retention.running(numbers, ["id"], F.col("id"), partitions=40)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["id"], r["rank"], r["before"]) for r in out.collect()) == [(i, i + 1, i * (i - 1) // 2) for i in range(1000)]
