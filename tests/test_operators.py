@@ -1,6 +1,7 @@
 import math
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,6 +238,14 @@ def test_character_references_end_in_a_semicolon():
     assert pages.attributes(' href="/q?a=1&copy=2&amp;b=3"') == {"href": "/q?a=1&copy=2&b=3"}
 
 
+def test_pages_are_read_in_pieces_of_bounded_size():
+    texts = ["a" * n for n in (3, 4, 0, 3, 20, 1)] + [None, "é"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts, pa.string())], names=["page_id", "html"])
+    got = [p.to_pydict() for p in pages.pieces(batch, "html", 8)]
+    assert [g["page_id"] for g in got] == [[0, 1, 2], [3], [4], [5, 6, 7]] and [t for g in got for t in g["html"]] == texts
+    assert list(pages.pieces(batch.slice(0, 0), "html")) == []
+
+
 def test_hostile_pages_are_linear():
     import time
 
