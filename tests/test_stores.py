@@ -103,3 +103,15 @@ def test_grams_settle_short_substrings(spark):
     queries = spark.createDataFrame([("é",), ("cx",), ("b ab",), ("éaéa",), ("b\0c",), ("aéaéa",), ("Ab",)], "query string").withColumn("query_id", F.col("query"))
     found = search.containing(rows, queries, ["content", "title"])
     assert sorted((r["section_id"], r["query_id"]) for r in found.collect()) == sorted([(1, "é"), (3, "é"), (4, "b ab"), (3, "éaéa"), (1, "b\0c"), (3, "aéaéa"), (4, "Ab")])
+
+
+def test_a_kept_index_shuffles_token_arrays(spark):
+    """Postings are made behind the shuffle; an index of no tokens of its own keeps the same."""
+    index = search.Index.build(spark.createDataFrame([section(1, "b a b"), section(2, "", 7), section(3, "c", 7)], SECTION))
+    rows, within = index._kept(4, 2)["postings"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate") < plan.index("RepartitionByExpression")
+    plain = search.Index(index.sections, index.postings, index.lengths)._kept(4, 2)
+    for name in ("postings", "lengths"):
+        kept, other = index._kept(4, 2)[name][0], plain[name][0]
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, other.select(*kept.columns).collect()))
