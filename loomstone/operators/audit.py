@@ -78,6 +78,14 @@ def catalog_summary(sources: DataFrame, documents: DataFrame, sections: DataFram
     return s.join(F.broadcast(d)).join(F.broadcast(c)).join(F.broadcast(i))
 
 
+def one_sided(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The rows that a side has more often than the other, as often as it has more of them, with the side; both are read once."""
+    both = stored.withColumn("_d", F.lit(1)).unionByName(fresh.withColumn("_d", F.lit(-1)))
+    net = both.groupBy(*stored.columns).agg(F.sum("_d").alias("_d")).where("_d <> 0")
+    side = F.when(F.col("_d") > 0, F.lit("stored")).otherwise(F.lit("fresh")).alias("side")
+    return net.select(*stored.columns, side, F.explode(F.sequence(F.lit(1), F.abs("_d"))).alias("_n")).drop("_n")
+
+
 def index_drift(stored: DataFrame, fresh: DataFrame, key: str = "section_id") -> DataFrame:
     """(key, side, field, pos, term) of postings that only one side has. Digests per section are compared first."""
     item = [key, "field", "pos", "term"]
@@ -88,16 +96,18 @@ def index_drift(stored: DataFrame, fresh: DataFrame, key: str = "section_id") ->
 
     differ = digest(stored, "a").join(digest(fresh, "b"), key, "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(key)
     one, two = stored.select(*item).join(differ, key, "left_semi"), fresh.select(*item).join(differ, key, "left_semi")
-    return one.exceptAll(two).withColumn("side", F.lit("stored")).unionByName(two.exceptAll(one).withColumn("side", F.lit("fresh")))
+    return one_sided(one, two)
 
 
 def token_drift(stored: DataFrame, fresh: DataFrame, key: str = "section_id") -> DataFrame:
     """The same from token arrays (key, fields, of tokens_by_field): sections are compared whole, and only those that differ become postings."""
+    # Written, so that the texts behind them are tokenised once.
+    stored, fresh = materialized(stored, "drift-stored"), materialized(fresh, "drift-fresh")
     digest = lambda d, name: d.select(key, F.struct(F.xxhash64("fields").alias("x"), F.xxhash64(F.lit(1), "fields").alias("y")).alias(name))
     differ = digest(stored, "a").join(digest(fresh, "b"), key, "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(key)
     differ = materialized(differ.distinct(), "drift")
     one, two = (expanded(d.join(differ, key, "left_semi"), key) for d in (stored, fresh))
-    return one.exceptAll(two).withColumn("side", F.lit("stored")).unionByName(two.exceptAll(one).withColumn("side", F.lit("fresh")))
+    return one_sided(one, two)
 
 
 def blocked_ranges() -> list[tuple[int, int]]:

@@ -440,3 +440,16 @@ def test_ranges_are_found_by_halving(spark):
     out = retention.running(numbers, ["id"], F.col("id"), partitions=40)
     assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["id"], r["rank"], r["before"]) for r in out.collect()) == [(i, i + 1, i * (i - 1) // 2) for i in range(1000)]
+
+
+def test_drift_reads_its_sides_once(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "section_id long, content string")
+    a, b = rows((1, "x y x"), (2, "same"), (3, "gone"), (5, "p"), (5, "p")), rows((1, "x z x"), (2, "same"), (4, "new"), (5, "p"))
+    held = [sections.tokens_by_field(d, ["content"]) for d in (a, b)]
+    want = sorted([(1, "stored", 1, "y"), (1, "fresh", 1, "z"), (3, "stored", 0, "gone"), (4, "fresh", 0, "new"), (5, "stored", 0, "p")])
+    found = audit.index_drift(*(sections.expanded(d) for d in held))
+    drift = audit.token_drift(*held)
+    # Whole sections have one row a key; postings may repeat.
+    for got, rest in ((found, want), (drift, [w for w in want if w[0] != 5])):
+        assert sorted(map(tuple, got.select("section_id", "side", "pos", "term").collect())) == rest
+    assert "regexp" not in drift._jdf.queryExecution().optimizedPlan().toString()
