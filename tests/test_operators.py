@@ -1,4 +1,5 @@
 import math
+import os
 from datetime import datetime, timedelta
 
 import pyarrow as pa
@@ -97,6 +98,27 @@ def test_whole_benchmark_texts_against_brute_force(spark, tmp_path):
         assert [best[k] for k in sorted(best) if k[0] == q] == sorted((d for a, d in want if a == q), key=lambda d: want[q, d])  # noqa: B023
 
 
+def test_search_writes_no_row_per_place_and_no_texts(spark):
+    rows = [(i, i, "", "", "", "word " * 500 + f"other{i}", 0, "s", "en") for i in range(4)]
+    built = search.Index.build(spark.createDataFrame(rows, "section_id long, doc_id long, title string, heading string, heading_path string, content string, ordinal int, source_key string, language string"))
+    folder = f"{sinks.shared_folder(spark)}/loomstone"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = search.search(spark.createDataFrame([(1, "word other1")], "query_id long, query string"), built, fallback=False).collect()
+    written = [spark.read.parquet(f"{folder}/{name}") for name in set(os.listdir(folder)) - before]
+    assert [(r["section_id"], r["content"]) for r in got] == [(1, rows[1][5])]
+    # The terms asked for, and one row more a section.
+    assert max(d.count() for d in written) <= 9 and not any({"content", "fields"} & set(d.columns) for d in written)
+
+
+def test_one_index_serves_terms_across_fields_and_sections_without_tokens(spark):
+    rows = [(1, 1, "alpha", "beta", None, "gamma gamma well-known", 0, "s", "en"), (2, 2, "alpha", "", "beta", "known well", 0, "s", "en"), (3, 3, "", "", "", "--", 0, "s", "en"), (4, 4, "", "", "", None, 0, "s", "en")]
+    built = search.Index.build(spark.createDataFrame(rows, "section_id long, doc_id long, title string, heading string, heading_path string, content string, ordinal int, source_key string, language string"))
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "well-known gamma"), (3, "beta-gamma")], "query_id long, query string")
+    plain = search.Index(built.sections, built.postings, built.lengths)
+    first, second = (sorted(rows_of(search.bm25(q, index), "query_id", "section_id", "rank")) for index in (built, plain))
+    assert [r[:2] for r in first] == [(1, 1), (1, 2), (2, 1)] and first == second and sorted(rows_of(built.lengths, "section_id", "length")) == [(1, 6), (2, 4)]
+
+
 def test_snippets(spark):
     long = "filler " * 60 + "first needle here " + "filler " * 60 + "the needle and the thread lie close " + "filler " * 40
     h = spark.createDataFrame([(1, "needle thread", long), (2, "none", "short text"), (3, "é", "😀" * 250 + " é end")], "query_id long, query string, content string")
