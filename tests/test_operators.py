@@ -35,6 +35,28 @@ def test_page_sections_of_empty_text(spark):
     assert rows_of(sections.sections(d, "page"), "doc_id", "heading", "content") == [(2, "A", "# A\n\nb")]
 
 
+def test_sections_of_many_headings_and_lines(spark):
+    # More than 256 headings, in blocks, a fence between them; one heading behind 20,000 lines; one of over 256 characters.
+    parts = [(f"## Part {i}", f"body {i}\n```\n# not {i}\n```" if i % 100 == 55 else f"body {i}") for i in range(1030)]
+    parts += [("## Late", "x\n" * 20_000 + "x"), ("## After", "end"), ("## " + "long " * 100 + "tail", "of it")]
+    text = "lead\n# Top\n" + "\n".join(f"{h}\n{b}" for h, b in parts)
+    d = spark.createDataFrame([(1, "T", text)], "doc_id long, title string, text string")
+    page = rows_of(sections.sections(d, "page").orderBy("ordinal"), "ordinal", "content")
+    assert page == list(enumerate(["lead", "# Top", *(f"{h}\n\n{b}" for h, b in parts)]))
+    got = sections.sections(d).orderBy("ordinal").collect()
+    assert [(r["ordinal"], r["content"]) for r in got] == list(enumerate(["lead", "# Top", *(f"{h}\n{b}" for h, b in parts)]))
+    assert [r["heading_path"] for r in got[2:-1]] == [f"Top > {h[3:]}" for h, _ in parts[:-1]] and len(got[-1]["heading"]) <= 256
+    chosen = vectors.selected(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("markdown")), spark.createDataFrame([(1, 1, "end"), (1, 2, "1029")], "page_id long, query_id long, query string"), 1000, 3)
+    assert sorted(rows_of(chosen, "query_id", "text")) == [(1, "## After\n\nend"), (2, "## Part 1029\n\nbody 1029")]
+
+
+def test_heading_paths_and_fences(spark):
+    text = "### Deep\n# One\n### Far\n### X\n###### Y\n## Two\n~~~~ js\n# no\n~~~\n```\n~~~~~ \n# Three\n  ```# open\n# never\n~~~"
+    d = spark.createDataFrame([(1, "T", text), (2, "T", "```\n# never\n``"), (3, "T", "# a\x01b\r\n```\r\n# no\r\n```\r\n## $0")], "doc_id long, title string, text string")
+    got = rows_of(sections.sections(d).orderBy("doc_id", "ordinal"), "doc_id", "heading_path")
+    assert got == [*((1, p) for p in ("Deep", "One", "One > Far", "One > Far > X", "One > Far > X > Y", "One > Two", "Three")), (2, "T"), (3, "a\x01b"), (3, "a\x01b > $0")]
+
+
 def test_chunks_cover_the_text(spark):
     text = "".join(chr(97 + i % 26) for i in range(1000))
     d = sections.measured(spark.createDataFrame([(1, 0, "a", text), (1, 1, "b", "short"), (2, 7, "c", "short")], "doc_id long, ordinal int, anchor string, content string"))
